@@ -6,6 +6,7 @@ inside the JVM next to the scan.
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column
@@ -97,43 +98,63 @@ def tokens(text) -> Column:
     return F.regexp_extract_all(normalize(text), F.lit(lexicon.TOKEN_PATTERN), F.lit(0))
 
 
-def language_vote(token_array) -> Column:
-    """Detected language of a token array, NULL when no stop word occurs.
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+@functools.lru_cache(maxsize=None)
+def _vote_sql(tok: str) -> str:
+    codes = lexicon.language_codes()
+    counts = {c: f"size(array_intersect(array({', '.join(_sql_str(w) for w in lexicon.stopwords(c))}), {tok}))"
+              for c in codes}
+    best = "greatest(" + ", ".join(counts.values()) + ")"
+    whens = " ".join(f"WHEN {counts[c]} = {best} THEN '{c}'" for c in codes)   # alphabetical: first wins ties
+    return f"CASE WHEN {best} = 0 THEN NULL {whens} END"
+
+
+def language_vote(token_array: str) -> Column:
+    """Detected language of a token-array column, NULL when no stop word occurs.
 
     Vote = number of distinct stop words of each language present; ties go
-    to the alphabetically first language code.
+    to the alphabetically first language code.  Built as one SQL expression
+    (a few hundred literals) rather than one API call per literal.
     """
-    toks = _col(token_array)
-    counts = {code: F.size(F.array_intersect(F.array(*[F.lit(w) for w in lexicon.stopwords(code)]), toks))
-              for code in lexicon.language_codes()}
-    best = F.greatest(*counts.values())
-    out = None
-    for code in lexicon.language_codes():          # alphabetical: first wins ties
-        cond = (best > 0) & (counts[code] == best)
-        out = F.when(cond, F.lit(code)) if out is None else out.when(cond, F.lit(code))
-    return out
+    return F.expr(_vote_sql(token_array))
+
+
+@functools.lru_cache(maxsize=None)
+def _stopword_sql(token: str, lang: str) -> str:
+    whens = " ".join(f"WHEN {lang} = '{c}' THEN {token} IN ({', '.join(_sql_str(w) for w in lexicon.stopwords(c))})"
+                     for c in lexicon.language_codes())
+    return f"CASE {whens} ELSE false END"
+
+
+def is_stopword(token: str, lang: str) -> Column:
+    """True when ``token`` is a stop word of ``lang`` (hash-set IN lists)."""
+    return F.expr(_stopword_sql(token, lang))
 
 
 def effective_language(detected) -> Column:
     return F.coalesce(_col(detected), F.lit(lexicon.FALLBACK_LANGUAGE))
 
 
-def stem(term, lang) -> Column:
-    """Light suffix stripping by language (rules in ``lexicon.STEM_RULES``)."""
-    term, lang = _col(term), _col(lang)
-    n = F.length(term)
-    out = None
+@functools.lru_cache(maxsize=None)
+def _stem_sql(term: str, lang: str) -> str:
+    outer = []
     for code, rules in lexicon.STEM_RULES.items():
-        per_lang = None
+        whens = []
         for suffix, repl, min_len, blockers in rules:
-            cond = term.endswith(suffix) & (n >= min_len)
-            for blk in blockers:
-                cond = cond & ~term.endswith(blk)
-            value = F.concat(term.substr(F.lit(1), n - len(suffix)), F.lit(repl))
-            per_lang = F.when(cond, value) if per_lang is None else per_lang.when(cond, value)
-        per_lang = per_lang.otherwise(term)
-        out = F.when(lang == code, per_lang) if out is None else out.when(lang == code, per_lang)
-    return out.otherwise(term)
+            cond = [f"endswith({term}, {_sql_str(suffix)})", f"char_length({term}) >= {min_len}"]
+            cond += [f"NOT endswith({term}, {_sql_str(b)})" for b in blockers]
+            whens.append(f"WHEN {' AND '.join(cond)} THEN "
+                         f"concat(substr({term}, 1, char_length({term}) - {len(suffix)}), {_sql_str(repl)})")
+        outer.append(f"WHEN {lang} = '{code}' THEN CASE {' '.join(whens)} ELSE {term} END")
+    return f"CASE {' '.join(outer)} ELSE {term} END"
+
+
+def stem(term: str, lang: str) -> Column:
+    """Light suffix stripping by language (rules in ``lexicon.STEM_RULES``)."""
+    return F.expr(_stem_sql(term, lang))
 
 
 def term_index(term) -> Column:

@@ -24,14 +24,14 @@ def chunk_documents(docs: DataFrame, size: int = DEFAULT_CHUNK_SIZE,
     """
     docs = balance_scan(docs)
     starts = (docs.select(F.col(key), F.col(text_col).alias("_t"))
-                  .where(F.col("_t").isNotNull() & (F.length("_t") > 0))
+                  .where(F.col(key).isNotNull() & F.col("_t").isNotNull() & (F.length("_t") > 0))
                   .select(key, F.encode("_t", "UTF-8").alias("_b"),
                           T.chunk_starts("_t", size, delimiters).alias("_s")))
     pieces = starts.select(key, T.slice_bytes("_b", "_s").alias("_c"))
     # The outer form keeps Spark from inferring a size filter on the array,
     # which would inline (and re-run) the whole cutting expression.
     out = (pieces.select(key, F.posexplode_outer("_c").alias("chunk_no", "_bin"))
-                 .where(F.col("_bin").isNotNull())
+                 .where(F.col("_bin").isNotNull() & F.col("chunk_no").isNotNull())
                  .select(key, F.col("chunk_no").cast("int").alias("chunk_no"),
                          T.lossy_text("_bin").alias("content"),
                          F.octet_length("_bin").cast("int").alias("n_bytes")))

@@ -34,15 +34,27 @@ def _small(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def search_scores(qvec: DataFrame, dvec: DataFrame) -> DataFrame:
+def batch_bounds(queries: DataFrame) -> dict:
+    """One aggregate over the raw query batch: count, largest k, and an upper
+    bound of query-term rows (tokens before stop-word removal)."""
+    from quarry.functions.text import tokens
+    r = queries.agg(F.count(F.lit(1)).alias("n"), F.max("limit").alias("k"),
+                    F.sum(F.size(tokens("query"))).alias("t")).first()
+    return {"n_queries": int(r["n"] or 0), "max_k": int(r["k"] or 0), "max_terms": int(r["t"] or 0)}
+
+
+def search_scores(qvec: DataFrame, dvec: DataFrame, max_query_terms: int | None = None) -> DataFrame:
     """``query_id, doc_id, chunk_no, score`` = dot product over shared indices.
 
-    The query side is broadcast only after its row count is checked; a larger
-    batch falls back to a shuffle join on ``term_index`` (AQE splits hot
-    terms).  Only keys and weights travel; text joins after the top-k.
+    The query side is broadcast only under a checked bound of its rows
+    (``max_query_terms``, or a count when no bound is given); a larger batch
+    falls back to a shuffle join on ``term_index`` (AQE splits hot terms).
+    Only keys and weights travel; text joins after the top-k.
     """
     q = qvec.select("query_id", "term_index", F.col("weight").alias("qw"))
-    if _small(q, BROADCAST_QUERY_TERMS_MAX_ROWS):
+    small = (max_query_terms <= BROADCAST_QUERY_TERMS_MAX_ROWS if max_query_terms is not None
+             else _small(q, BROADCAST_QUERY_TERMS_MAX_ROWS))
+    if small:
         q = F.broadcast(q)
     d = dvec.select("doc_id", "chunk_no", "term_index", F.col("weight").alias("dw"))
     pairs = d.join(q, "term_index")
@@ -56,7 +68,8 @@ def max_limit(limits: DataFrame) -> int:
     return int(v or 0)
 
 
-def search_topk(scores: DataFrame, limits: DataFrame) -> DataFrame:
+def search_topk(scores: DataFrame, limits: DataFrame, max_k: int | None = None,
+                n_queries: int | None = None) -> DataFrame:
     """``query_id, rank, doc_id, chunk_no, score``: best ``limit`` per query.
 
     Ties break on ``doc_id, chunk_no``.  The literal bound lets Spark trim
@@ -64,12 +77,14 @@ def search_topk(scores: DataFrame, limits: DataFrame) -> DataFrame:
     (WindowGroupLimit), so a query that matches a huge share of the corpus
     never gathers all its candidates in one task.
     """
-    max_k = max_limit(limits)
+    if max_k is None:
+        max_k = max_limit(limits)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id", "chunk_no")
     ranked = (scores.withColumn("rank", F.row_number().over(w))
                     .where(F.col("rank") <= F.lit(max_k)))
     lim = limits.select("query_id", F.col("limit").alias("_lim"))
-    if _small(lim, BROADCAST_HITS_MAX_ROWS):
+    if (n_queries <= BROADCAST_HITS_MAX_ROWS if n_queries is not None
+            else _small(lim, BROADCAST_HITS_MAX_ROWS)):
         lim = F.broadcast(lim)
     return (ranked.join(lim, "query_id")
                   .where(F.col("rank") <= F.col("_lim"))
@@ -84,14 +99,17 @@ def search_single(qvec: DataFrame, dvec: DataFrame, query_id: int, k: int) -> Da
             .orderBy(F.col("score").desc(), "doc_id", "chunk_no").limit(k))
 
 
-def attach_content(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Late join of ranked keys to chunk text; hits without content are skipped."""
+def attach_content(hits: DataFrame, chunks: DataFrame, max_hits: int | None = None) -> DataFrame:
+    """Late join of ranked keys to chunk text (inner: hits without a chunk are skipped).
+
+    ``max_hits`` is an upper bound of the hit count (queries x k), known
+    without running the search; the hits are broadcast only under the cap.
+    """
     h = hits
-    if _small(h, BROADCAST_HITS_MAX_ROWS):
+    if max_hits is not None and max_hits <= BROADCAST_HITS_MAX_ROWS:
         h = F.broadcast(h)
     return (chunks.select("doc_id", "chunk_no", "content")
                   .join(h, ["doc_id", "chunk_no"])
-                  .where(F.col("content").isNotNull())
                   .select("query_id", "rank", "doc_id", "chunk_no", "score", "content"))
 
 

@@ -32,24 +32,15 @@ def analyze(texts: DataFrame, keys=CHUNK_KEYS, text_col: str = "content") -> Dat
                 .withColumn("lang", T.effective_language("lang_detected")))
 
 
-def is_stopword(token, lang):
-    """True when ``token`` is a stop word of ``lang`` (hash-set IN lists)."""
-    token, lang = F.col(token) if isinstance(token, str) else token, F.col(lang) if isinstance(lang, str) else lang
-    out = None
-    for code in lexicon.language_codes():
-        cond = lang == code
-        val = token.isin(list(lexicon.stopwords(code)))
-        out = F.when(cond, val) if out is None else out.when(cond, val)
-    return out.otherwise(F.lit(False))
-
-
 def token_rows(analyzed: DataFrame, keys=CHUNK_KEYS, drop_stopwords: bool = True,
                stemming: bool = True) -> DataFrame:
     """One row per token occurrence: ``keys, lang, term`` (after E4/E5)."""
     keys = list(keys)
-    rows = analyzed.select(*keys, "lang", F.explode("tokens").alias("token"))
+    # explode_outer: no inferred size filter, which would tokenize twice.
+    rows = (analyzed.select(*keys, "lang", F.explode_outer("tokens").alias("token"))
+                    .where(F.col("token").isNotNull()))
     if drop_stopwords:
-        rows = rows.where(~is_stopword("token", "lang"))
+        rows = rows.where(~T.is_stopword("token", "lang"))
     term = T.stem("token", "lang") if stemming else F.col("token")
     return rows.select(*keys, "lang", term.alias("term"))
 

@@ -43,9 +43,11 @@ class Answered:
 def retrieve(queries: DataFrame, index: Index, settings: Settings = Settings()) -> Answered:
     """A whole batch of queries: embed, score, rank, fetch content, build prompts."""
     qd = search.query_defaults(queries, settings)
+    bounds = search.batch_bounds(qd)
     qvec = search.query_vectors(qd, settings)
-    scores = search.search_scores(qvec, index.vectors)
-    ranked = search.search_topk(scores, qd.select("query_id", "limit"))
-    hits = search.attach_content(ranked, index.chunks)
+    scores = search.search_scores(qvec, index.vectors, bounds["max_terms"])
+    limits = qd.select("query_id", "limit")
+    ranked = search.search_topk(scores, limits, bounds["max_k"], bounds["n_queries"])
+    hits = search.attach_content(ranked, index.chunks, bounds["n_queries"] * bounds["max_k"])
     ctx = prompts.retrieval_context(hits, qd)
     return Answered(qd, hits, ctx, prompts.prompts(ctx, qd))
