@@ -1,4 +1,8 @@
-"""Registered queries: name -> (spark, sf_dir) -> DataFrame, and their SQL twins."""
+"""Registered queries: name -> (spark, sf_dir) -> DataFrame, and their SQL twins.
+
+Every query reads the driver's tables (or what Spark derives from them) in
+full.  ``ORACLE`` holds the DuckDB SQL for each query that SQL can express.
+"""
 
 from __future__ import annotations
 
@@ -6,70 +10,448 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import oracle as O
-from quarry.config import Settings
-from quarry.operators import chunking, prompts, search, terms
+from quarry.config import DEFAULT_MODEL, DEFAULT_SEARCH_LIMIT, Settings
+from quarry.functions import text as T
+from quarry.operators import chunking, collection, prompts, search, terms
 from quarry.plans.retrieval import build_index, retrieve
-from quarry.sources import tables
+from quarry.session import scratch_path
+from quarry.sources import files, tables
+from quarry.streaming import jobs
 
 S = Settings()
+QUERIES: dict = {}
+ORACLE: dict = {}
+
+
+def register(name: str, sql: str | None = None):
+    def deco(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLE[name] = sql
+        return fn
+    return deco
+
+
+def _index(spark, sf):
+    return build_index(tables.documents(spark, sf), S)
+
+
+def _r6(c):
+    return F.round(F.col(c), 6).alias(c)
+
+
+# SQL building blocks ---------------------------------------------------------
+WITH_CHUNKS = f"WITH RECURSIVE {O.chunks_cte()}"
+WITH_DOC_POSTINGS = f"{WITH_CHUNKS}, {O.postings_cte('dpost', 'chunks', ['doc_id', 'chunk_no'], 'content')}"
+WITH_SEARCH_BENCH = f"WITH RECURSIVE {O.benchmark_queries_cte()}, {O.search_ctes()}"
+WITH_SEARCH_CONV = f"WITH RECURSIVE {O.conversation_queries_cte()}, {O.search_ctes()}"
+FILES_SQL = f"""
+files AS (
+  SELECT 'corpus/' || source || '/doc-' || CAST(doc_id AS VARCHAR) || '.txt' AS path,
+         CAST(strlen(text) AS BIGINT) AS length, text AS body
+  FROM documents
+  UNION ALL
+  SELECT 'web/page-' || CAST(page_id AS VARCHAR) || '.html', CAST(strlen(html) AS BIGINT), html FROM pages
+),
+routed AS (
+  SELECT *, regexp_extract(path, '\\.([^./]+)$', 1) AS ext FROM files
+),
+routes AS (
+  SELECT *, CASE WHEN ext = '' THEN 'no_extension' WHEN ext IN ('md', 'txt') THEN 'text'
+                 WHEN ext = 'pdf' THEN 'pdf' ELSE 'unsupported' END AS route FROM routed
+),
+parsed AS (
+  SELECT CAST(CAST('0x' || substr(md5(path), 1, 15) AS UBIGINT) AS BIGINT) AS doc_id, path, ext,
+         body AS text, length AS n_bytes, sha256(body) AS content_sha
+  FROM routes WHERE route = 'text'
+)"""
 
 
 # ---------------------------------------------------------------------------
-# Chunking
+# Sources (S1-S9)
 # ---------------------------------------------------------------------------
+@register("file_manifest")
+def q_file_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """A real directory scan (``binaryFile``, non-recursive) of the input folder."""
+    m = files.manifest(files.scan_directory(spark, sf))
+    return m.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+
+
+@register("file_routing", f"WITH {FILES_SQL} SELECT path, ext, route FROM routes")
+def q_file_routing(spark: SparkSession, sf: str) -> DataFrame:
+    return files.route(tables.corpus_files(spark, sf)).select("path", "ext", "route")
+
+
+@register("file_quarantine", f"""WITH {FILES_SQL}
+SELECT path, CASE WHEN route = 'no_extension' THEN 'no file extension'
+                  ELSE 'unsupported extension: ' || ext END AS reason
+FROM routes WHERE route IN ('unsupported', 'no_extension')""")
+def q_file_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    routed = files.route(tables.corpus_files(spark, sf))
+    _, rejected = files.read_text_files(routed)
+    return files.quarantine(routed, rejected)
+
+
+@register("read_text_files", f"WITH {FILES_SQL} SELECT doc_id, path, ext, text, n_bytes, content_sha FROM parsed")
+def q_read_text_files(spark: SparkSession, sf: str) -> DataFrame:
+    parsed, _ = files.read_text_files(files.route(tables.corpus_files(spark, sf)))
+    return parsed.select("doc_id", "path", "ext", "text", "n_bytes", "content_sha")
+
+
+@register("extract_text")
+def q_extract_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The raw pages through a registered HTML extractor (``mapInPandas``)."""
+    ex = {"html": files.html_to_text}
+    parsed, rejected = files.extract_text(files.route(tables.corpus_files(spark, sf), ex), ex)
+    return parsed.select("doc_id", "path", "ext", "text", "n_bytes")
+
+
+@register("incremental_diff", f"""WITH {FILES_SQL}
+SELECT f.path, f.length FROM files f ANTI JOIN parsed p ON f.path = p.path AND f.length = p.n_bytes""")
+def q_incremental_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """Files still to ingest once the text files are parsed (the pages)."""
+    current = tables.corpus_files(spark, sf)
+    parsed, _ = files.read_text_files(files.route(current))
+    return files.incremental_diff(current, parsed).select("path", "length")
+
+
+@register("cache_integrity", f"WITH {FILES_SQL} SELECT path, content_sha, sha256(text) = content_sha AS ok FROM parsed")
+def q_cache_integrity(spark: SparkSession, sf: str) -> DataFrame:
+    parsed, _ = files.read_text_files(files.route(tables.corpus_files(spark, sf)))
+    return files.cache_integrity(parsed)
+
+
+@register("text_sizes", "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, "
+                        "CAST(length(text) AS BIGINT) AS n_chars FROM documents")
+def q_text_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return chunking.text_sizes(tables.documents(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# Chunking (C1-C4)
+# ---------------------------------------------------------------------------
+@register("chunk_documents", f"{WITH_CHUNKS} SELECT doc_id, chunk_no, content, n_bytes FROM chunks")
 def q_chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.chunk_documents(tables.documents(spark, sf))
 
 
+@register("chunk_stats", f"""{WITH_CHUNKS}
+SELECT doc_id, count(*) AS n_chunks, sum(n_bytes) AS total_bytes, min(n_bytes) AS min_bytes,
+       max(n_bytes) AS max_bytes, round(avg(n_bytes), 6) AS avg_bytes
+FROM chunks GROUP BY doc_id""")
 def q_chunk_stats(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.chunk_stats(chunking.chunk_documents(tables.documents(spark, sf)))
 
 
+@register("chunk_lossy_cuts", f"""WITH RECURSIVE {O.chunks_cte(size=64)}
+SELECT doc_id, chunk_no, content, n_bytes FROM chunks WHERE contains(content, chr(65533))""")
 def q_chunk_lossy_cuts(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks of 64 bytes whose cut fell inside a multi-byte character."""
+    """64-byte chunks whose cut fell inside a multi-byte character."""
     ch = chunking.chunk_documents(tables.documents(spark, sf), size=64)
-    return ch.where(F.col("content").contains("�"))
+    return ch.where(F.col("content").contains("\ufffd"))
 
 
-def q_text_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.text_sizes(tables.documents(spark, sf))
+# ---------------------------------------------------------------------------
+# Terms and BM25
+# ---------------------------------------------------------------------------
+@register("detect_language", f"""WITH {O.analyzed_cte('an', 'documents', ['doc_id'], 'text')}
+SELECT a.doc_id, a.lang_detected, a.lang, d.lang AS label, a.lang = d.lang AS agrees
+FROM an a JOIN documents d USING (doc_id)""")
+def q_detect_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = tables.documents(spark, sf)
+    an = terms.analyze(docs, ["doc_id"], "text")
+    return (an.join(docs.select("doc_id", F.col("lang").alias("label")), "doc_id")
+              .select("doc_id", "lang_detected", "lang", "label", (F.col("lang") == F.col("label")).alias("agrees")))
 
 
-SQL_CHUNK_DOCUMENTS = f"WITH RECURSIVE {O.chunks_cte()} SELECT doc_id, chunk_no, content, n_bytes FROM chunks"
-SQL_CHUNK_STATS = f"""WITH RECURSIVE {O.chunks_cte()}
-SELECT doc_id, count(*) AS n_chunks, sum(n_bytes) AS total_bytes, min(n_bytes) AS min_bytes,
-       max(n_bytes) AS max_bytes, round(avg(n_bytes), 6) AS avg_bytes
-FROM chunks GROUP BY doc_id"""
-SQL_CHUNK_LOSSY_CUTS = (f"WITH RECURSIVE {O.chunks_cte(size=64)} SELECT doc_id, chunk_no, content, n_bytes "
-                        f"FROM chunks WHERE contains(content, chr(65533))")
-SQL_TEXT_SIZES = ("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, "
-                  "CAST(length(text) AS BIGINT) AS n_chars FROM documents")
+@register("tokenize", f"""SELECT doc_id, pos, token FROM (
+  SELECT doc_id, generate_subscripts(t, 1) - 1 AS pos, unnest(t) AS token
+  FROM (SELECT doc_id, {O.tokens_sql('text')} AS t FROM documents))""")
+def q_tokenize(spark: SparkSession, sf: str) -> DataFrame:
+    docs = tables.documents(spark, sf)
+    return docs.select("doc_id", F.posexplode(T.tokens("text")).alias("pos", "token")) \
+               .select("doc_id", F.col("pos").cast("bigint").alias("pos"), "token")
+
+
+@register("stopword_filter", f"""WITH {O.analyzed_cte('an', 'documents', ['doc_id'], 'text')}
+SELECT doc_id, lang, CAST(len(tokens) AS BIGINT) AS n_tokens,
+       CAST(len(list_filter(tokens, lambda t: NOT {O.stopword_sql('t', 'lang')})) AS BIGINT) AS n_kept
+FROM an""")
+def q_stopword_filter(spark: SparkSession, sf: str) -> DataFrame:
+    an = terms.analyze(tables.documents(spark, sf), ["doc_id"], "text")
+    kept = F.expr(f"size(filter(tokens, t -> NOT ({T._stopword_sql('t', 'lang')})))")
+    return an.select("doc_id", "lang", F.size("tokens").cast("bigint").alias("n_tokens"),
+                     kept.cast("bigint").alias("n_kept"))
+
+
+@register("stem_vocabulary", f"""{WITH_DOC_POSTINGS}
+SELECT lang, token, {O.stem_sql('token', 'lang')} AS term FROM (SELECT DISTINCT lang, token FROM dpost_tk)""")
+def q_stem_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    """E5: the distinct (language, token) vocabulary of the chunks, stemmed once."""
+    idx = chunking.chunk_documents(tables.documents(spark, sf))
+    toks = terms.token_rows(terms.analyze(idx), stemming=False)
+    vocab = toks.select("lang", F.col("term").alias("token")).distinct()
+    return vocab.select("lang", "token", T.stem("token", "lang").alias("term"))
+
+
+@register("term_index", f"""{WITH_DOC_POSTINGS}
+SELECT term, term_index, count(*) AS n_chunks FROM dpost GROUP BY term, term_index""")
+def q_term_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Vocabulary with its 32-bit index and chunk frequency."""
+    post = _index(spark, sf).postings
+    return post.groupBy("term", "term_index").agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
+@register("term_frequency", f"{WITH_DOC_POSTINGS} SELECT doc_id, chunk_no, lang, term, tf, dl FROM dpost")
+def q_term_frequency(spark: SparkSession, sf: str) -> DataFrame:
+    return _index(spark, sf).postings.select("doc_id", "chunk_no", "lang", "term", "tf", "dl")
+
+
+SQL_BM25 = (f"{WITH_DOC_POSTINGS} SELECT doc_id, chunk_no, term, term_index, tf, dl, "
+            f"round(weight, 6) AS weight FROM dpost")
+
+
+@register("bm25_weights", SQL_BM25)
+def q_bm25_weights(spark: SparkSession, sf: str) -> DataFrame:
+    p = _index(spark, sf).postings
+    return p.select("doc_id", "chunk_no", "term", "term_index", "tf", "dl", _r6("weight"))
+
+
+@register("folded_weights", f"""{WITH_DOC_POSTINGS}, {O.vectors_cte('dvec', 'dpost', ['doc_id', 'chunk_no'])}
+SELECT doc_id, chunk_no, term_index, round(weight, 6) AS weight FROM dvec""")
+def q_folded_weights(spark: SparkSession, sf: str) -> DataFrame:
+    return _index(spark, sf).vectors.select("doc_id", "chunk_no", "term_index", _r6("weight"))
+
+
+@register("sparse_vectors", f"""{WITH_DOC_POSTINGS}, {O.vectors_cte('dvec', 'dpost', ['doc_id', 'chunk_no'])}
+SELECT doc_id, chunk_no, CAST(count(*) AS INTEGER) AS n_entries,
+       string_agg(CAST(term_index AS VARCHAR), ',' ORDER BY term_index) AS indices,
+       arg_min(round(weight, 6), term_index) AS first_value,
+       arg_max(round(weight, 6), term_index) AS last_value
+FROM dvec GROUP BY doc_id, chunk_no""")
+def q_sparse_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    v = terms.sparse_vectors(_index(spark, sf).vectors)
+    return v.select("doc_id", "chunk_no", F.size("indices").alias("n_entries"),
+                    F.array_join(F.transform("indices", lambda x: x.cast("string")), ",").alias("indices"),
+                    F.element_at("values", 1).alias("first_value"),
+                    F.element_at("values", -1).alias("last_value"))
+
+
+@register("embed_chunks", f"""{WITH_DOC_POSTINGS}
+SELECT doc_id, chunk_no, lang, count(*) AS n_terms, max(dl) AS dl, round(sum(weight), 6) AS weight_sum
+FROM dpost GROUP BY doc_id, chunk_no, lang""")
+def q_embed_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Per-chunk summary of the embedded corpus (language detected per chunk)."""
+    p = _index(spark, sf).postings
+    return (p.groupBy("doc_id", "chunk_no", "lang")
+             .agg(F.count(F.lit(1)).alias("n_terms"), F.max("dl").alias("dl"),
+                  F.round(F.sum("weight"), 6).alias("weight_sum")))
+
+
+@register("embed_queries", f"""WITH {O.benchmark_queries_cte()}, {O.postings_cte('qpost', 'queries', ['query_id'], 'query')}
+SELECT query_id, lang, term, term_index, tf, dl, round(weight, 6) AS weight FROM qpost""")
+def q_embed_queries(spark: SparkSession, sf: str) -> DataFrame:
+    q = tables.benchmark_queries(spark, sf)
+    p = terms.embed(q, terms.QUERY_KEYS, "query", S)
+    return p.select("query_id", "lang", "term", "term_index", "tf", "dl", _r6("weight"))
 
 
 # ---------------------------------------------------------------------------
-# Search (flagship)
+# Search (J1-J3, A5-A9, P2-P4)
 # ---------------------------------------------------------------------------
+@register("query_defaults", f"""WITH {O.conversation_queries_cte()}
+SELECT query_id, query, CAST(coalesce("limit", {DEFAULT_SEARCH_LIMIT}) AS INTEGER) AS "limit",
+       coalesce(model, '{DEFAULT_MODEL}') AS model FROM queries""")
+def q_query_defaults(spark: SparkSession, sf: str) -> DataFrame:
+    return search.query_defaults(tables.conversation_queries(spark, sf), S)
+
+
+@register("search_scores", f"{WITH_SEARCH_BENCH} SELECT query_id, doc_id, chunk_no, score FROM scores")
+def q_search_scores(spark: SparkSession, sf: str) -> DataFrame:
+    qd = search.query_defaults(tables.benchmark_queries(spark, sf), S)
+    return search.search_scores(search.query_vectors(qd, S), _index(spark, sf).vectors)
+
+
+SQL_SEARCH_TOPK = f"{WITH_SEARCH_BENCH} SELECT query_id, rank, doc_id, chunk_no, score, content FROM hits"
+
+
+@register("search_topk", SQL_SEARCH_TOPK)
 def q_search_topk(spark: SparkSession, sf: str) -> DataFrame:
-    index = build_index(tables.documents(spark, sf), S)
-    return retrieve(tables.benchmark_queries(spark, sf), index, S).hits
+    """Flagship: top-10 BM25 chunks per benchmark query, with their text."""
+    return retrieve(tables.benchmark_queries(spark, sf), _index(spark, sf), S).hits
+
+
+@register("search_single", f"""{WITH_SEARCH_BENCH}
+SELECT query_id, doc_id, chunk_no, score FROM scores
+WHERE query_id = (SELECT min(query_id) FROM queries)
+ORDER BY score DESC, doc_id, chunk_no LIMIT {DEFAULT_SEARCH_LIMIT}""")
+def q_search_single(spark: SparkSession, sf: str) -> DataFrame:
+    """One request (the first benchmark item), ORDER BY + LIMIT."""
+    qd = search.query_defaults(tables.benchmark_queries(spark, sf), S)
+    first = qd.agg(F.min("query_id").alias("m")).first()["m"]
+    return search.search_single(search.query_vectors(qd, S), _index(spark, sf).vectors,
+                                first, DEFAULT_SEARCH_LIMIT)
+
+
+@register("retrieval_coverage", f"""{WITH_SEARCH_BENCH}
+SELECT q.query_id, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hits, CAST(q."limit" AS INTEGER) AS "limit",
+       CASE WHEN q."limit" > 0 THEN round(coalesce(h.n, 0) / q."limit", 6) END AS coverage
+FROM qdef q LEFT JOIN (SELECT query_id, count(*) AS n FROM hits GROUP BY query_id) h USING (query_id)""")
+def q_retrieval_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    a = retrieve(tables.benchmark_queries(spark, sf), _index(spark, sf), S)
+    return search.retrieval_coverage(a.hits, a.queries)
+
+
+SQL_CONTEXTS = f"""
+ctx AS (
+  SELECT q.query_id, CAST(coalesce(h.n, 0) AS INTEGER) AS n_hits, coalesce(h.context, '') AS context
+  FROM qdef q LEFT JOIN (
+    SELECT query_id, count(*) AS n, string_agg(content, {O.SEPARATOR_SQL} ORDER BY rank) AS context
+    FROM hits GROUP BY query_id) h USING (query_id)
+)"""
+
+
+@register("retrieval_context", f"{WITH_SEARCH_BENCH}, {SQL_CONTEXTS} SELECT query_id, n_hits, context FROM ctx")
+def q_retrieval_context(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieve(tables.benchmark_queries(spark, sf), _index(spark, sf), S).contexts
+
+
+# ---------------------------------------------------------------------------
+# Prompts and responses (Q1-Q7)
+# ---------------------------------------------------------------------------
+@register("prompts", f"""{WITH_SEARCH_BENCH}, {SQL_CONTEXTS}
+SELECT q.query_id, q.model, c.context, {O.prompt_sql('c.context', 'q.query')} AS prompt
+FROM qdef q JOIN ctx c USING (query_id)""")
+def q_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieve(tables.benchmark_queries(spark, sf), _index(spark, sf), S).prompts
+
+
+@register("responses")
+def q_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """Q6: conversation user turns answered by the following assistant turn."""
+    a = retrieve(tables.conversation_queries(spark, sf), _index(spark, sf), S)
+    return prompts.responses(tables.conversation_answers(spark, sf), a.hits, a.queries)
+
+
+@register("query_errors", f"""WITH {O.conversation_queries_cte()}, {O.conversation_answers_cte()}
+SELECT query_id, 422 AS status_code, 'limit must be a non-negative integer' AS detail
+FROM queries WHERE "limit" < 0
+UNION ALL
+SELECT q.query_id, 500, {O.NO_RESPONSE_SQL}
+FROM queries q WHERE (q."limit" IS NULL OR q."limit" >= 0)
+  AND NOT EXISTS (SELECT 1 FROM answers a WHERE a.query_id = q.query_id AND a.response IS NOT NULL)""")
+def q_query_errors(spark: SparkSession, sf: str) -> DataFrame:
+    qd = tables.conversation_queries(spark, sf)
+    return prompts.query_errors(tables.conversation_answers(spark, sf), qd)
+
+
+# ---------------------------------------------------------------------------
+# Collections
+# ---------------------------------------------------------------------------
+def _points(spark, sf):
+    idx = _index(spark, sf)
+    return collection.points(idx.chunks, idx.vectors)
+
+
+WITH_POINTS = f"""{WITH_DOC_POSTINGS}, {O.vectors_cte('dvec', 'dpost', ['doc_id', 'chunk_no'])},
+pts AS (SELECT doc_id, chunk_no, count(*) AS n_entries FROM dvec GROUP BY doc_id, chunk_no),
+ids AS (SELECT row_number() OVER (ORDER BY doc_id, chunk_no) AS point_id, doc_id, chunk_no, n_entries FROM pts)"""
+
+
+@register("point_ids", f"{WITH_POINTS} SELECT point_id, doc_id, chunk_no FROM ids")
+def q_point_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """K4: dense ids 1..N in (doc_id, chunk_no) order for a fresh collection."""
+    p = _points(spark, sf).select("doc_id", "chunk_no")
+    return collection.dense_ids(p, collection.POINT_KEYS, 0)
+
+
+@register("skipped_chunks", f"""{WITH_DOC_POSTINGS}
+SELECT c.doc_id, c.chunk_no, c.n_bytes, 'no terms after stop-word removal' AS reason
+FROM chunks c ANTI JOIN (SELECT DISTINCT doc_id, chunk_no FROM dpost) p USING (doc_id, chunk_no)""")
+def q_skipped_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    idx = _index(spark, sf)
+    return collection.skipped_chunks(idx.chunks, idx.vectors)
+
+
+def _loaded_collection(spark, sf, mode: str, loads: int) -> DataFrame:
+    path = scratch_path(spark, "collection")
+    collection.create_collection(spark, path)
+    pts = _points(spark, sf)
+    for _ in range(loads):
+        collection.upsert_collection(spark, path, pts, mode)
+    return collection.read_collection(spark, path)
+
+
+@register("collection_stats", f"""{WITH_POINTS}
+SELECT count(*) AS n_points, count(DISTINCT doc_id) AS n_docs, CAST(sum(n_entries) AS BIGINT) AS n_entries FROM ids""")
+def q_collection_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """K2 + K3 + K7: create, load once, count."""
+    return collection.collection_stats(_loaded_collection(spark, sf, "upsert", 1))
+
+
+@register("collection_upsert", f"{WITH_POINTS} SELECT point_id, doc_id, chunk_no, n_entries FROM ids")
+def q_collection_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """K3 + K5: loading the same corpus twice in upsert mode leaves one copy."""
+    c = _loaded_collection(spark, sf, "upsert", 2)
+    return c.select("point_id", "doc_id", "chunk_no", F.size("indices").cast("bigint").alias("n_entries"))
+
+
+@register("collection_append", f"""{WITH_POINTS}
+SELECT point_id, doc_id, chunk_no FROM ids
+UNION ALL SELECT point_id + (SELECT count(*) FROM ids), doc_id, chunk_no FROM ids""")
+def q_collection_append(spark: SparkSession, sf: str) -> DataFrame:
+    """K4 + K5 + A10: a second load in append mode adds a second copy with new ids."""
+    return _loaded_collection(spark, sf, "append", 2).select("point_id", "doc_id", "chunk_no")
+
+
+# ---------------------------------------------------------------------------
+# Streaming
+# ---------------------------------------------------------------------------
+def _stream_table(spark, sf, name):
+    schema = tables.table(spark, sf, name).schema
+    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+                 .option("maxFilesPerTrigger", "1").parquet(sf))
+
+
+@register("stream_ingest", SQL_BM25)
+def q_stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as a stream -> postings per micro-batch (equals the batch result)."""
+    sink, ck = scratch_path(spark, "ingest-sink"), scratch_path(spark, "ingest-ckpt")
+    jobs.ingest_stream(_stream_table(spark, sf, "documents"), sink, ck, S).awaitTermination()
+    p = jobs.read_sink(spark, sink)
+    return p.select("doc_id", "chunk_no", "term", "term_index", "tf", "dl", _r6("weight"))
+
+
+@register("stream_search", SQL_SEARCH_TOPK)
+def q_stream_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark queries as a stream, answered against the static index."""
+    sink, ck = scratch_path(spark, "search-sink"), scratch_path(spark, "search-ckpt")
+    qs = _stream_table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("query"),
+        F.lit(None).cast("int").alias("limit"), F.lit(None).cast("string").alias("model"))
+    jobs.search_stream(qs, _index(spark, sf), sink, ck, S).awaitTermination()
+    return jobs.read_sink(spark, sink)
+
 
+# Audit parameters for the registered queries: requests per user per day vs. 5.
+AUDIT_WINDOW, AUDIT_LIMIT = "1 day", 5
+SQL_RATE_AUDIT = f"""
+SELECT user_id, date_trunc('day', ts) AS window_start, count(*) AS n,
+       least(count(*), {AUDIT_LIMIT}) AS admitted, greatest(count(*) - {AUDIT_LIMIT}, 0) AS throttled
+FROM events GROUP BY user_id, date_trunc('day', ts)"""
 
-SQL_SEARCH_TOPK = f"""WITH RECURSIVE {O.benchmark_queries_cte()}, {O.search_ctes()}
-SELECT query_id, rank, doc_id, chunk_no, score, content FROM hits"""
 
+@register("rate_audit", SQL_RATE_AUDIT)
+def q_rate_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return jobs.rate_audit(tables.events(spark, sf), AUDIT_WINDOW, AUDIT_LIMIT)
 
-QUERIES = {
-    "chunk_documents": q_chunk_documents,
-    "chunk_stats": q_chunk_stats,
-    "chunk_lossy_cuts": q_chunk_lossy_cuts,
-    "text_sizes": q_text_sizes,
-    "search_topk": q_search_topk,
-}
 
-ORACLE = {
-    "chunk_documents": SQL_CHUNK_DOCUMENTS,
-    "chunk_stats": SQL_CHUNK_STATS,
-    "chunk_lossy_cuts": SQL_CHUNK_LOSSY_CUTS,
-    "text_sizes": SQL_TEXT_SIZES,
-    "search_topk": SQL_SEARCH_TOPK,
-}
+@register("stream_rate_audit", SQL_RATE_AUDIT)
+def q_stream_rate_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """The same audit as a watermarked streaming aggregation (update mode)."""
+    sink, ck = scratch_path(spark, "audit-sink"), scratch_path(spark, "audit-ckpt")
+    jobs.rate_audit_stream(_stream_table(spark, sf, "events"), sink, ck,
+                           AUDIT_WINDOW, AUDIT_LIMIT).awaitTermination()
+    r = jobs.read_rate_audit(spark, sink)
+    return r.select("user_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                    "n", "admitted", "throttled")

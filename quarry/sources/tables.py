@@ -45,3 +45,23 @@ def conversation_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events")
+
+
+# Fixed value: modification time given to files derived from table rows.
+DERIVED_FILE_MTIME = "2024-01-01 00:00:00"
+
+
+def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus as ``binaryFile``-shaped rows: documents as ``.txt`` files
+    under ``corpus/<source>/`` and raw pages as ``.html`` files under ``web/``."""
+    mtime = F.lit(DERIVED_FILE_MTIME).cast("timestamp")
+    d = documents(spark, sf_dir).select(
+        F.concat(F.lit("corpus/"), F.col("source"), F.lit("/doc-"), F.col("doc_id").cast("string"),
+                 F.lit(".txt")).alias("path"),
+        mtime.alias("modificationTime"), F.octet_length("text").cast("bigint").alias("length"),
+        F.encode("text", "UTF-8").alias("content"))
+    p = table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("web/page-"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"),
+        mtime.alias("modificationTime"), F.octet_length("html").cast("bigint").alias("length"),
+        F.encode("html", "UTF-8").alias("content"))
+    return d.unionByName(p)
