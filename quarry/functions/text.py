@@ -149,7 +149,8 @@ def _stem_sql(term: str, lang: str) -> str:
             whens.append(f"WHEN {' AND '.join(cond)} THEN "
                          f"concat(substr({term}, 1, char_length({term}) - {len(suffix)}), {_sql_str(repl)})")
         outer.append(f"WHEN {lang} = '{code}' THEN CASE {' '.join(whens)} ELSE {term} END")
-    return f"CASE {' '.join(outer)} ELSE {term} END"
+    shortest = min(r[2] for rules in lexicon.STEM_RULES.values() for r in rules)
+    return f"CASE WHEN char_length({term}) < {shortest} THEN {term} {' '.join(outer)} ELSE {term} END"
 
 
 def stem(term: str, lang: str) -> Column:

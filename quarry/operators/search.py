@@ -19,9 +19,14 @@ def query_defaults(queries: DataFrame, settings: Settings = Settings()) -> DataF
 
 
 def query_vectors(queries: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``query_id, term_index, weight``: queries embedded like chunks, folded by index."""
+    """``query_id, term_index, weight``: queries embedded like chunks (term level).
+
+    Terms that share an index are not folded here: the dot product over
+    term-level rows equals the one over folded vectors, since summing the
+    weights of one index distributes over the product.
+    """
     post = terms.embed(queries, terms.QUERY_KEYS, "query", settings)
-    return terms.folded_weights(post, terms.QUERY_KEYS)
+    return post.select("query_id", "term_index", "weight")
 
 
 def chunk_vectors(postings: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.config import SCORE_DECIMALS, Settings
@@ -34,26 +34,32 @@ def analyze(texts: DataFrame, keys=CHUNK_KEYS, text_col: str = "content") -> Dat
 
 def token_rows(analyzed: DataFrame, keys=CHUNK_KEYS, drop_stopwords: bool = True,
                stemming: bool = True) -> DataFrame:
-    """One row per token occurrence: ``keys, lang, term`` (after E4/E5)."""
+    """One row per kept token occurrence: ``keys, lang, dl, term``.
+
+    Stop words are dropped from the token array before the explode, so the
+    text length ``dl`` (kept tokens) is known row-locally and no per-text
+    window or join is needed later.
+    """
     keys = list(keys)
+    kept = (F.expr(f"filter(tokens, t -> NOT ({T._stopword_sql('t', 'lang')}))")
+            if drop_stopwords else F.col("tokens"))
+    rows = analyzed.select(*keys, "lang", kept.alias("_kept"))
     # explode_outer: no inferred size filter, which would tokenize twice.
-    rows = (analyzed.select(*keys, "lang", F.explode_outer("tokens").alias("token"))
-                    .where(F.col("token").isNotNull()))
-    if drop_stopwords:
-        rows = rows.where(~T.is_stopword("token", "lang"))
+    rows = (rows.select(*keys, "lang", F.size("_kept").alias("dl"), F.explode_outer("_kept").alias("token"))
+                .where(F.col("token").isNotNull()))
     term = T.stem("token", "lang") if stemming else F.col("token")
-    return rows.select(*keys, "lang", term.alias("term"))
+    return rows.select(*keys, "lang", "dl", term.alias("term"))
 
 
 def term_frequency(tokens: DataFrame, keys=CHUNK_KEYS) -> DataFrame:
-    """``keys, lang, term, tf, dl``; dl = kept tokens of the text.
+    """``keys, lang, term, tf, dl`` (dl = kept tokens of the text).
 
-    Chunk input is hash-partitioned on the chunk keys, so both the grouping
-    and the per-text window reuse that partitioning (no exchange).
+    Chunk input is hash-partitioned on the chunk keys, so the grouping reuses
+    that partitioning (no exchange).
     """
     keys = list(keys)
-    tf = tokens.groupBy(*keys, "lang", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return tf.withColumn("dl", F.sum("tf").over(Window.partitionBy(*keys)))
+    return (tokens.groupBy(*keys, "lang", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+                  .select(*keys, "lang", "term", "tf", F.col("dl").cast("bigint").alias("dl")))
 
 
 def bm25_weights(tf: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -269,7 +269,7 @@ def q_query_defaults(spark: SparkSession, sf: str) -> DataFrame:
 @register("search_scores", f"{WITH_SEARCH_BENCH} SELECT query_id, doc_id, chunk_no, score FROM scores")
 def q_search_scores(spark: SparkSession, sf: str) -> DataFrame:
     qd = search.query_defaults(tables.benchmark_queries(spark, sf), S)
-    return search.search_scores(search.query_vectors(qd, S), _index(spark, sf).vectors)
+    return search.search_scores(search.query_vectors(qd, S), _index(spark, sf).search_side)
 
 
 SQL_SEARCH_TOPK = f"{WITH_SEARCH_BENCH} SELECT query_id, rank, doc_id, chunk_no, score, content FROM hits"
@@ -289,7 +289,7 @@ def q_search_single(spark: SparkSession, sf: str) -> DataFrame:
     """One request (the first benchmark item), ORDER BY + LIMIT."""
     qd = search.query_defaults(tables.benchmark_queries(spark, sf), S)
     first = qd.agg(F.min("query_id").alias("m")).first()["m"]
-    return search.search_single(search.query_vectors(qd, S), _index(spark, sf).vectors,
+    return search.search_single(search.query_vectors(qd, S), _index(spark, sf).search_side,
                                 first, DEFAULT_SEARCH_LIMIT)
 
 

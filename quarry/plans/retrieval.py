@@ -16,6 +16,11 @@ class Index:
     postings: DataFrame   # doc_id, chunk_no, lang, term, tf, dl, term_index, weight
     vectors: DataFrame    # doc_id, chunk_no, term_index, weight (folded by index)
 
+    @property
+    def search_side(self) -> DataFrame:
+        """Term-level rows for scoring (same dot product as the folded vectors)."""
+        return self.postings.select("doc_id", "chunk_no", "term_index", "weight")
+
 
 def build_index(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id",
                 text_col: str = "text") -> Index:
@@ -45,7 +50,7 @@ def retrieve(queries: DataFrame, index: Index, settings: Settings = Settings())
     qd = search.query_defaults(queries, settings)
     bounds = search.batch_bounds(qd)
     qvec = search.query_vectors(qd, settings)
-    scores = search.search_scores(qvec, index.vectors, bounds["max_terms"])
+    scores = search.search_scores(qvec, index.search_side, bounds["max_terms"])
     limits = qd.select("query_id", "limit")
     ranked = search.search_topk(scores, limits, bounds["max_k"], bounds["n_queries"])
     hits = search.attach_content(ranked, index.chunks, bounds["n_queries"] * bounds["max_k"])
