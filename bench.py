@@ -16,7 +16,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from quarry.config import Settings  # noqa: E402
-from quarry.plans.retrieval import build_index, load_index, retrieve  # noqa: E402
+from quarry.plans.retrieval import build_index, read_index, retrieve, write_index  # noqa: E402
 from quarry.session import get_session, scratch_path  # noqa: E402
 from quarry.operators import chunking  # noqa: E402
 from quarry.sources import tables  # noqa: E402
@@ -56,13 +56,8 @@ def main() -> None:
     # load once (chunks + postings written as tables), then serve from them
     out = scratch_path(spark, "bench-index")
 
-    def load():
-        idx = build_index(docs, s)
-        idx.chunks.write.parquet(f"{out}/chunks")
-        idx.postings.write.parquet(f"{out}/postings")
-
-    timed("load_write", load)
-    stored = load_index(spark.read.parquet(f"{out}/chunks"), spark.read.parquet(f"{out}/postings"))
+    timed("load_write", lambda: write_index(build_index(docs, s), out))
+    stored = read_index(spark, out)
     timed("serve_from_tables", lambda: run(retrieve(bench_q, stored, s).prompts))
 
     print(json.dumps({"metric": "workload_total_sec", "value": round(sum(timings.values()), 3),

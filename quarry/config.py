@@ -26,6 +26,13 @@ SCORE_DECIMALS = 6
 BROADCAST_QUERY_TERMS_MAX_ROWS = 2_000_000
 # Hits (queries x k) under this count are broadcast to the chunk table for content lookup.
 BROADCAST_HITS_MAX_ROWS = 5_000_000
+# Shuffle-join path: a term is "hot" when it holds more than 1/MAX_HOT_TERMS of all
+# postings, so at most MAX_HOT_TERMS terms can be hot (a proven broadcast bound).
+MAX_HOT_TERMS = 10_000
+# Salt buckets a hot term's postings are spread over.
+HOT_TERM_SALTS = 32
+# Term buckets of a stored postings table.
+DEFAULT_TERM_BUCKETS = 64
 
 
 @dataclass(frozen=True)

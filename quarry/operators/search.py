@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.config import (BROADCAST_HITS_MAX_ROWS, BROADCAST_QUERY_TERMS_MAX_ROWS,
-                           SCORE_DECIMALS, Settings)
+                           HOT_TERM_SALTS, MAX_HOT_TERMS, SCORE_DECIMALS, Settings)
 from quarry.operators import terms
 
 
@@ -48,21 +48,60 @@ def batch_bounds(queries: DataFrame) -> dict:
     return {"n_queries": int(r["n"] or 0), "max_k": int(r["k"] or 0), "max_terms": int(r["t"] or 0)}
 
 
-def search_scores(qvec: DataFrame, dvec: DataFrame, max_query_terms: int | None = None) -> DataFrame:
+def term_stats(dvec: DataFrame) -> DataFrame:
+    """``term_index, n_postings``: posting-list length per index (partial aggregation)."""
+    return dvec.groupBy("term_index").agg(F.count(F.lit(1)).alias("n_postings"))
+
+
+def hot_terms(stats: DataFrame, max_hot: int = MAX_HOT_TERMS) -> DataFrame:
+    """Indices holding more than 1/``max_hot`` of all postings.
+
+    At most ``max_hot`` indices can pass, whatever the corpus size, so the
+    result is safe to broadcast.
+    """
+    total = stats.agg(F.sum("n_postings").alias("t")).first()["t"] or 0
+    return stats.where(F.col("n_postings") * F.lit(max_hot) > F.lit(total)).select("term_index")
+
+
+def search_scores(qvec: DataFrame, dvec: DataFrame, max_query_terms: int | None = None,
+                  hot: DataFrame | None = None, salts: int = HOT_TERM_SALTS,
+                  force_shuffle: bool = False, term_buckets: int | None = None) -> DataFrame:
     """``query_id, doc_id, chunk_no, score`` = dot product over shared indices.
 
-    The query side is broadcast only under a checked bound of its rows
-    (``max_query_terms``, or a count when no bound is given); a larger batch
-    falls back to a shuffle join on ``term_index`` (AQE splits hot terms).
-    Only keys and weights travel; text joins after the top-k.
+    Small batches: the query side is broadcast (its row bound, or a count, is
+    checked first) and the postings are streamed, with no shuffle of them.
+    Large batches: a shuffle join on ``term_index`` in which the postings of
+    hot terms are spread over ``salts`` buckets by ``(doc_id, chunk_no)`` and
+    the matching query rows are replicated once per bucket; other terms keep
+    salt 0.  Only keys and weights travel; text joins after the top-k.
+    With ``term_buckets`` (a stored postings table partitioned by
+    ``term_bucket = pmod(term_index, term_buckets)``) the join also matches
+    on the bucket, which lets Spark prune bucket directories.
     """
     q = qvec.select("query_id", "term_index", F.col("weight").alias("qw"))
+    d = dvec.select("doc_id", "chunk_no", "term_index", F.col("weight").alias("dw"),
+                    *(["term_bucket"] if "term_bucket" in dvec.columns else []))
+    keys = ["term_index"]
+    if term_buckets and "term_bucket" in d.columns:
+        q = q.withColumn("term_bucket", F.pmod(F.col("term_index"), F.lit(term_buckets)).cast("int"))
+        keys = ["term_bucket", "term_index"]
     small = (max_query_terms <= BROADCAST_QUERY_TERMS_MAX_ROWS if max_query_terms is not None
              else _small(q, BROADCAST_QUERY_TERMS_MAX_ROWS))
-    if small:
-        q = F.broadcast(q)
-    d = dvec.select("doc_id", "chunk_no", "term_index", F.col("weight").alias("dw"))
-    pairs = d.join(q, "term_index")
+    if small and not force_shuffle:
+        pairs = d.join(F.broadcast(q), keys)
+    else:
+        if hot is None:
+            hot = hot_terms(term_stats(d))
+        flag = F.broadcast(hot.select("term_index", F.lit(True).alias("_hot")))
+        d = (d.join(flag, "term_index", "left")
+              .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.hash("doc_id", "chunk_no"), F.lit(salts)))
+                                    .otherwise(F.lit(0)))
+              .drop("_hot"))
+        q = (q.join(flag, "term_index", "left")
+              .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
+                                              .otherwise(F.array(F.lit(0)))))
+              .drop("_hot"))
+        pairs = d.join(q, keys + ["_salt"])
     return (pairs.groupBy("query_id", "doc_id", "chunk_no")
                  .agg(F.round(F.sum(F.col("qw") * F.col("dw")), SCORE_DECIMALS).alias("score")))
 

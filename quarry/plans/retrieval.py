@@ -5,8 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from quarry.config import Settings
+from quarry.config import DEFAULT_TERM_BUCKETS, Settings
 from quarry.operators import chunking, prompts, search, terms
 
 
@@ -15,11 +16,15 @@ class Index:
     chunks: DataFrame     # doc_id, chunk_no, content, n_bytes
     postings: DataFrame   # doc_id, chunk_no, lang, term, tf, dl, term_index, weight
     vectors: DataFrame    # doc_id, chunk_no, term_index, weight (folded by index)
+    term_buckets: int | None = None   # set when postings carry term_bucket
 
     @property
     def search_side(self) -> DataFrame:
         """Term-level rows for scoring (same dot product as the folded vectors)."""
-        return self.postings.select("doc_id", "chunk_no", "term_index", "weight")
+        cols = ["doc_id", "chunk_no", "term_index", "weight"]
+        if "term_bucket" in self.postings.columns:
+            cols.append("term_bucket")
+        return self.postings.select(*cols)
 
 
 def build_index(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id",
@@ -32,9 +37,36 @@ def build_index(docs: DataFrame, settings: Settings = Settings(), key: str = "do
     return Index(chunks, postings, search.chunk_vectors(postings))
 
 
-def load_index(chunks: DataFrame, postings: DataFrame) -> Index:
+def load_index(chunks: DataFrame, postings: DataFrame, term_buckets: int | None = None) -> Index:
     """An index from stored ``chunks`` and ``postings`` tables."""
-    return Index(chunks, postings, search.chunk_vectors(postings))
+    return Index(chunks, postings, search.chunk_vectors(postings.drop("term_bucket")), term_buckets)
+
+
+def write_index(index: Index, path: str, n_buckets: int = DEFAULT_TERM_BUCKETS) -> None:
+    """Store chunks and postings; postings are partitioned by ``term_bucket``.
+
+    Postings are range-partitioned on ``(term_bucket, term_index, doc_id)``
+    before the write, so even a term held by a third of all chunks is written
+    by many tasks, and every file is sorted by term (tight parquet min/max).
+    """
+    index.chunks.write.parquet(f"{path}/chunks")
+    bucket = F.pmod(F.col("term_index"), F.lit(n_buckets)).cast("int")
+    (index.postings.withColumn("term_bucket", bucket)
+          .repartitionByRange("term_bucket", "term_index", "doc_id")
+          .sortWithinPartitions("term_bucket", "term_index", "doc_id", "chunk_no")
+          .write.partitionBy("term_bucket").parquet(f"{path}/postings_b{n_buckets}"))
+
+
+def read_index(spark, path: str) -> Index:
+    """Open an index written by :func:`write_index`."""
+    from quarry.operators.collection import _fs
+    fs, p, jvm = _fs(spark, path)
+    names = [st.getPath().getName() for st in fs.listStatus(p)]
+    post = [n for n in names if n.startswith("postings_b")]
+    if not post:
+        raise FileNotFoundError(f"no postings under {path}")
+    n_buckets = int(post[0][len("postings_b"):])
+    return load_index(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/{post[0]}"), n_buckets)
 
 
 @dataclass
@@ -45,12 +77,14 @@ class Answered:
     prompts: DataFrame    # query_id, model, context, prompt
 
 
-def retrieve(queries: DataFrame, index: Index, settings: Settings = Settings()) -> Answered:
+def retrieve(queries: DataFrame, index: Index, settings: Settings = Settings(),
+             force_shuffle: bool = False) -> Answered:
     """A whole batch of queries: embed, score, rank, fetch content, build prompts."""
     qd = search.query_defaults(queries, settings)
     bounds = search.batch_bounds(qd)
     qvec = search.query_vectors(qd, settings)
-    scores = search.search_scores(qvec, index.search_side, bounds["max_terms"])
+    scores = search.search_scores(qvec, index.search_side, bounds["max_terms"],
+                                  force_shuffle=force_shuffle, term_buckets=index.term_buckets)
     limits = qd.select("query_id", "limit")
     ranked = search.search_topk(scores, limits, bounds["max_k"], bounds["n_queries"])
     hits = search.attach_content(ranked, index.chunks, bounds["n_queries"] * bounds["max_k"])

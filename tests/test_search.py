@@ -69,3 +69,39 @@ def test_topk_plan_trims_before_shuffle(spark, sf_smoke):
     assert "WindowGroupLimit" in plan
     assert "BroadcastHashJoin" in plan
     assert "PythonUDF" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_salted_shuffle_path_equals_broadcast(spark, sf_smoke):
+    from quarry.sources import tables
+    idx = build_index(tables.documents(spark, sf_smoke))
+    q = tables.benchmark_queries(spark, sf_smoke)
+    b = retrieve(q, idx).hits.select("query_id", "rank", "doc_id", "chunk_no", "score")
+    s_ans = retrieve(q, idx, force_shuffle=True).hits
+    plan = s_ans._jdf.queryExecution().executedPlan().toString()
+    s = s_ans.select("query_id", "rank", "doc_id", "chunk_no", "score")
+    assert sorted(map(tuple, b.collect())) == sorted(map(tuple, s.collect()))
+    assert "_salt" in plan
+
+
+def test_hot_terms_bound(spark):
+    from quarry.operators.search import hot_terms
+    stats = spark.createDataFrame([(i, 1) for i in range(100)] + [(1000, 500)], "term_index long, n_postings long")
+    assert [r.term_index for r in hot_terms(stats, max_hot=4).collect()] == [1000]
+
+
+def test_stored_index_serves_same_hits(spark, sf_smoke):
+    from quarry.plans.retrieval import read_index, write_index
+    from quarry.session import scratch_path
+    from quarry.sources import tables
+    idx = build_index(tables.documents(spark, sf_smoke))
+    path = scratch_path(spark, "index")
+    write_index(idx, path, n_buckets=8)
+    stored = read_index(spark, path)
+    assert stored.term_buckets == 8
+    q = tables.benchmark_queries(spark, sf_smoke)
+    a = retrieve(q, idx).hits
+    b = retrieve(q, stored).hits
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    one = q.where("query_id = 0")
+    plan = retrieve(one, stored).hits._jdf.queryExecution().executedPlan().toString()
+    assert "term_bucket" in plan
