@@ -452,6 +452,4 @@ def q_stream_rate_audit(spark: SparkSession, sf: str) -> DataFrame:
     sink, ck = scratch_path(spark, "audit-sink"), scratch_path(spark, "audit-ckpt")
     jobs.rate_audit_stream(_stream_table(spark, sf, "events"), sink, ck,
                            AUDIT_WINDOW, AUDIT_LIMIT).awaitTermination()
-    r = jobs.read_rate_audit(spark, sink)
-    return r.select("user_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"),
-                    "n", "admitted", "throttled")
+    return jobs.read_rate_audit(spark, sink)

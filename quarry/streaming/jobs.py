@@ -69,12 +69,24 @@ def rate_audit_stream(events_stream: DataFrame, sink: str, checkpoint: str,
                       watermark: str = "10 minutes", available_now: bool = True):
     """Streaming audit in update mode; each batch appends changed windows.
 
-    ``ts`` is cast to TIMESTAMP (watermarks refuse TIMESTAMP_NTZ); rows later
-    than the watermark are dropped by Spark.  Read the result with
-    :func:`read_rate_audit`, which keeps the latest count per window.
+    A ``TIMESTAMP_NTZ`` ``ts`` is read as UTC wall-clock time and turned into
+    a TIMESTAMP (watermarks refuse NTZ), so windows align with the batch
+    audit whatever the session time zone; ``window_start`` is written back as
+    NTZ.  Rows later than the watermark are dropped by Spark.  Read the result
+    with :func:`read_rate_audit`, which keeps the latest count per window.
     """
-    ev = events_stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+    tz = events_stream.sparkSession.conf.get("spark.sql.session.timeZone")
+    ts_type = dict(events_stream.dtypes).get("ts")
+    if ts_type == "timestamp_ntz":
+        # instant whose UTC wall clock equals the NTZ value
+        ev = events_stream.withColumn("ts", F.from_utc_timestamp(F.col("ts").cast("timestamp"), tz))
+    else:
+        ev = events_stream
+    ev = ev.withWatermark("ts", watermark)
     audit = rate_audit(ev, window, limit)
+    if ts_type == "timestamp_ntz":
+        audit = audit.withColumn("window_start",
+                                 F.to_utc_timestamp("window_start", tz).cast("timestamp_ntz"))
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         _write_batch(batch, sink, batch_id)

@@ -57,3 +57,14 @@ def test_rate_audit_limits(spark):
                                "user_id long, ts timestamp_ntz")
     r = jobs.rate_audit(ev, "1 minute", 5).first()
     assert (r.n, r.admitted, r.throttled) == (7, 5, 2)
+
+
+def test_stream_audit_independent_of_session_time_zone(spark, sf_smoke):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        s = registry.q_stream_rate_audit(spark, sf_smoke)
+        b = registry.q_rate_audit(spark, sf_smoke)
+        assert _sorted(s) == _sorted(b)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
