@@ -27,56 +27,81 @@ def delimiter_split_pattern(delimiters: str) -> str:
     return "(?<=[" + "".join(re.escape(d) for d in delimiters) + "])"
 
 
-def chunk_starts(text, size: int, delimiters: str) -> Column:
-    """Byte offsets (0-based) where the chunks of ``text`` start.
+# Pieces per inner fold of the cutter (see pack_pieces).
+CUT_GROUP = 256
 
-    Cut rule: from position p, if the rest fits in ``size`` bytes it is the
-    last chunk; otherwise cut right after the last delimiter inside the next
-    ``size`` bytes, or at exactly ``size`` bytes when there is none.
 
-    Set-based form: split after each delimiter, cut any segment longer than
-    ``size`` into ``size``-byte pieces plus a remainder, then pack piece
-    lengths greedily into chunks of at most ``size`` bytes.  The fold carries
-    integers only and appends once per chunk.
+def hex_pieces(text, size: int, delimiters: str) -> Column:
+    """Pieces of ``text`` as upper-case hex strings.
+
+    Split right after each delimiter; a segment longer than ``size`` bytes is
+    cut into ``size``-byte pieces plus a remainder.  Each segment is hex
+    encoded and cut by one regex pass, so the work is linear in the text
+    (and never re-reads the whole text per piece).
     """
     if size <= 0:
         raise ValueError("chunk size must be positive")
     segs = F.split(_col(text), delimiter_split_pattern(delimiters))
-    seg_len = F.transform(segs, lambda s: F.octet_length(s))
-    pieces = F.flatten(F.transform(
-        seg_len,
-        lambda n: F.concat(
-            F.array_repeat(F.lit(size), (n / F.lit(size)).cast("int")),
-            F.filter(F.array(n % F.lit(size)), lambda r: r > 0))))
-    init = F.struct(F.array().cast("array<int>").alias("starts"),
-                    F.lit(0).alias("cs"), F.lit(0).alias("pos"))
+    pattern = "[0-9A-F]{1," + str(2 * size) + "}"
+    return F.flatten(F.transform(
+        segs, lambda seg: F.regexp_extract_all(F.hex(F.encode(seg, "UTF-8")), F.lit(pattern), F.lit(0))))
+
+
+def piece_lengths(hex_pieces_col) -> Column:
+    return F.transform(_col(hex_pieces_col), lambda x: (F.length(x) / 2).cast("int"))
+
+
+def pack_pieces(pieces, size: int, group: int = CUT_GROUP) -> Column:
+    """Index of the first piece of every chunk, from piece byte lengths.
+
+    Cut rule: from position p, if the rest fits in ``size`` bytes it is the
+    last chunk; otherwise cut right after the last delimiter inside the next
+    ``size`` bytes, or at exactly ``size`` bytes when there is none.  Packing
+    whole pieces greedily into at most ``size`` bytes is the same rule.  The
+    fold runs over groups of ``group`` pieces (an inner fold per group, an
+    outer fold that carries the state and appends one array per group), so
+    appends stay short even for very long documents.  ``pieces`` must be a
+    column of an earlier projection: the group lambda reads it per group.
+    """
+    pieces = _col(pieces)
+    n_groups = F.floor((F.size(pieces) + F.lit(group - 1)) / F.lit(group)).cast("int")
+    groups = F.transform(F.sequence(F.lit(0), F.greatest(n_groups - 1, F.lit(0))),
+                         lambda g: F.slice(pieces, g * group + 1, group))
+
+    def state(starts, cs, pos, ci, i):
+        return F.struct(starts.alias("starts"), cs.alias("cs"), pos.alias("pos"),
+                        ci.alias("ci"), i.alias("i"))
 
     def step(acc, n):
         grown = acc["pos"] + n
+        nxt = acc["i"] + 1
         return F.when(
             grown - acc["cs"] > F.lit(size),
-            F.struct(F.concat(acc["starts"], F.array(acc["cs"])).alias("starts"),
-                     acc["pos"].alias("cs"), grown.alias("pos")),
-        ).otherwise(
-            F.struct(acc["starts"].alias("starts"), acc["cs"].alias("cs"), grown.alias("pos")))
+            state(F.concat(acc["starts"], F.array(acc["ci"])), acc["pos"], grown, acc["i"], nxt),
+        ).otherwise(state(acc["starts"], acc["cs"], grown, acc["ci"], nxt))
 
-    def finish(acc):
-        return F.when(acc["pos"] > acc["cs"], F.concat(acc["starts"], F.array(acc["cs"]))) \
-                .otherwise(acc["starts"])
+    def outer(acc, grp):
+        inner = F.aggregate(grp, state(F.array().cast("array<int>"), acc["cs"], acc["pos"],
+                                       acc["ci"], acc["i"]), step)
+        return F.struct(F.concat(acc["parts"], F.array(inner["starts"])).alias("parts"),
+                        inner["cs"].alias("cs"), inner["pos"].alias("pos"),
+                        inner["ci"].alias("ci"), inner["i"].alias("i"))
 
-    return F.aggregate(pieces, init, step, finish)
+    def finish(acc):
+        last = F.when(acc["pos"] > acc["cs"], F.array(acc["ci"])).otherwise(F.array().cast("array<int>"))
+        return F.flatten(F.concat(acc["parts"], F.array(last)))
 
+    init = F.struct(F.array().cast("array<array<int>>").alias("parts"), F.lit(0).alias("cs"),
+                    F.lit(0).alias("pos"), F.lit(0).alias("ci"), F.lit(0).alias("i"))
+    return F.aggregate(groups, init, outer, finish)
 
-def slice_bytes(data, starts) -> Column:
-    """Cut binary ``data`` at ``starts`` (0-based offsets) into an array of binaries.
 
-    ``data`` and ``starts`` must be columns of an earlier projection, so that
-    the lambda reads them instead of recomputing them for every element.
-    """
-    data, starts = _col(data), _col(starts)
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))),
-                    F.array(F.octet_length(data)))
-    return F.zip_with(starts, ends, lambda s, e: F.substring(data, s + 1, e - s))
+def join_pieces(hex_pieces_col, starts) -> Column:
+    """Chunk bytes: the hex pieces from each start index up to the next, joined
+    and decoded.  Both arguments must be columns of an earlier projection."""
+    ph, starts = _col(hex_pieces_col), _col(starts)
+    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.size(ph)))
+    return F.zip_with(starts, ends, lambda a, b: F.unhex(F.array_join(F.slice(ph, a + 1, b - a), "")))
 
 
 def lossy_text(binary) -> Column:
