@@ -112,9 +112,11 @@ def read_collection(spark: SparkSession, path: str) -> DataFrame:
 def merge_points(base: DataFrame, new: DataFrame, mode: str = "upsert") -> DataFrame:
     """The collection after adding ``new`` points (without ids) to ``base`` (with ids).
 
-    ``upsert``: a key already present keeps its id and takes the new content
-    and vector; new keys get ids after the current largest.  ``append``: every
-    new point gets a fresh id after the current count, as a plain re-load does.
+    ``upsert``: every document present in ``new`` is replaced as a whole (so
+    a shorter new version leaves no stale chunks); a ``(doc_id, chunk_no)``
+    already present keeps its id, other new points get ids after the current
+    largest.  ``append``: every new point gets a fresh id after the current
+    count, as a plain re-load does.
     """
     new = new.select(*POINT_KEYS, "content", "indices", "values")
     if mode == "append":
@@ -124,7 +126,7 @@ def merge_points(base: DataFrame, new: DataFrame, mode: str = "upsert") -> DataF
     if mode != "upsert":
         raise ValueError("mode must be 'upsert' or 'append'")
     old_ids = base.select(*POINT_KEYS, "point_id")
-    kept = base.join(new.select(*POINT_KEYS), POINT_KEYS, "left_anti")
+    kept = base.join(new.select("doc_id").distinct(), "doc_id", "left_anti")
     replaced = new.join(old_ids, POINT_KEYS).select("point_id", *new.columns)
     fresh = new.join(old_ids.select(*POINT_KEYS), POINT_KEYS, "left_anti")
     start = base.agg(F.coalesce(F.max("point_id"), F.lit(0)).alias("base"))

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.config import SCORE_DECIMALS, Settings
+from quarry.config import Settings
 from quarry.functions import lexicon
 from quarry.functions import text as T
 
@@ -90,7 +90,7 @@ def sparse_vectors(entries: DataFrame, keys=CHUNK_KEYS) -> DataFrame:
     return (entries.groupBy(*keys).agg(pairs.alias("_p"))
                    .select(*keys,
                            F.transform("_p", lambda x: x["term_index"]).alias("indices"),
-                           F.transform("_p", lambda x: F.round(x["weight"], SCORE_DECIMALS)).alias("values")))
+                           F.transform("_p", lambda x: x["weight"]).alias("values")))
 
 
 def stopword_table(spark) -> DataFrame:

@@ -233,8 +233,8 @@ def q_sparse_vectors(spark: SparkSession, sf: str) -> DataFrame:
     v = terms.sparse_vectors(_index(spark, sf).vectors)
     return v.select("doc_id", "chunk_no", F.size("indices").alias("n_entries"),
                     F.array_join(F.transform("indices", lambda x: x.cast("string")), ",").alias("indices"),
-                    F.element_at("values", 1).alias("first_value"),
-                    F.element_at("values", -1).alias("last_value"))
+                    F.round(F.element_at("values", 1), 6).alias("first_value"),
+                    F.round(F.element_at("values", -1), 6).alias("last_value"))
 
 
 @register("embed_chunks", f"""{WITH_DOC_POSTINGS}
