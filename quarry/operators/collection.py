@@ -58,6 +58,8 @@ def dense_ids(df: DataFrame, order_cols, base, id_col: str = "point_id") -> Data
     """
     if isinstance(base, DataFrame):
         base = base.first()["base"] or 0
+    from quarry.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
     order_cols = list(order_cols)
     ranged = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols).checkpoint(eager=True)
     tagged = ranged.select("*", F.spark_partition_id().alias("_pid"),
