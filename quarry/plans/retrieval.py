@@ -53,8 +53,12 @@ def write_index(index: Index, path: str, n_buckets: int = DEFAULT_TERM_BUCKETS,
     slot comes from the chunk key, so every bucket -- and a term held by a
     third of all chunks -- is written by ``spread`` tasks, without the
     sampling pass a range partitioning would add.  Files are sorted by term
-    (tight parquet min/max per row group).
+    (tight parquet min/max per row group).  The chunks are persisted during
+    the two writes so cutting runs once (a lost block is recomputed from
+    lineage); the written tables then cut the lineage for serving.
     """
+    from pyspark import StorageLevel
+    index.chunks.persist(StorageLevel.MEMORY_AND_DISK)
     index.chunks.write.parquet(f"{path}/chunks")
     bucket = F.pmod(F.col("term_index"), F.lit(n_buckets)).cast("int")
     slot = F.pmod(F.hash("doc_id", "chunk_no"), F.lit(spread))
@@ -62,6 +66,7 @@ def write_index(index: Index, path: str, n_buckets: int = DEFAULT_TERM_BUCKETS,
           .repartition("term_bucket", "_slot").drop("_slot")
           .sortWithinPartitions("term_bucket", "term_index", "doc_id", "chunk_no")
           .write.partitionBy("term_bucket").parquet(f"{path}/postings_b{n_buckets}"))
+    index.chunks.unpersist()
 
 
 def read_index(spark, path: str) -> Index:
