@@ -20,7 +20,6 @@ PROMPT_MIDDLE = "\n```\n\n, reply to this query:\n\n```text\n"
 PROMPT_TAIL = "\n```"
 NO_RESPONSE_DETAIL = "No response was generated by the language model"
 DEFAULT_RATE_LIMIT_PER_MINUTE = 100
-SUPPORTED_EXTENSIONS = ("pdf", "md", "txt")
 SCORE_DECIMALS = 6
 # Queries whose term rows stay under this count are broadcast to the postings scan.
 BROADCAST_QUERY_TERMS_MAX_ROWS = 2_000_000

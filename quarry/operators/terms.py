@@ -7,8 +7,6 @@ term frequency -> BM25 weight -> 32-bit term index -> sparse vector.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,10 +53,12 @@ def term_frequency(tokens: DataFrame, keys=CHUNK_KEYS) -> DataFrame:
     """``keys, lang, term, tf, dl`` (dl = kept tokens of the text).
 
     Chunk input is hash-partitioned on the chunk keys, so the grouping reuses
-    that partitioning (no exchange).
+    that partitioning (no exchange).  ``lang`` and ``dl`` are constant per
+    text, so they ride along as aggregates instead of grouping keys.
     """
     keys = list(keys)
-    return (tokens.groupBy(*keys, "lang", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return (tokens.groupBy(*keys, "term")
+                  .agg(F.count(F.lit(1)).alias("tf"), F.first("lang").alias("lang"), F.first("dl").alias("dl"))
                   .select(*keys, "lang", "term", "tf", F.col("dl").cast("bigint").alias("dl")))
 
 
@@ -91,12 +91,3 @@ def sparse_vectors(entries: DataFrame, keys=CHUNK_KEYS) -> DataFrame:
                    .select(*keys,
                            F.transform("_p", lambda x: x["term_index"]).alias("indices"),
                            F.transform("_p", lambda x: x["weight"]).alias("values")))
-
-
-def stopword_table(spark) -> DataFrame:
-    """``stopwords(lang, term)``: the fixed lists as a small table."""
-    return spark.createDataFrame(lexicon.stopword_rows(), "lang string, term string")
-
-
-def union_all(frames):
-    return reduce(lambda a, b: a.unionByName(b), frames)
