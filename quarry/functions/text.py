@@ -128,28 +128,35 @@ def _sql_str(s: str) -> str:
 
 
 @functools.lru_cache(maxsize=None)
-def _vote_sql(tok: str) -> str:
-    codes = lexicon.language_codes()
-    counts = {c: f"size(array_intersect(array({', '.join(_sql_str(w) for w in lexicon.stopwords(c))}), {tok}))"
-              for c in codes}
-    best = "greatest(" + ", ".join(counts.values()) + ")"
-    whens = " ".join(f"WHEN {counts[c]} = {best} THEN '{c}'" for c in codes)   # alphabetical: first wins ties
-    return f"CASE WHEN {best} = 0 THEN NULL {whens} END"
+def _in_list(words: tuple[str, ...]) -> str:
+    return ", ".join(_sql_str(w) for w in words)
 
 
-def language_vote(token_array: str) -> Column:
-    """Detected language of a token-array column, NULL when no stop word occurs.
+def stopwords_present(token_array: str) -> Column:
+    """Distinct tokens that are a stop word of any supported language."""
+    every = tuple(sorted({w for c in lexicon.language_codes() for w in lexicon.stopwords(c)}))
+    return F.expr(f"filter(array_distinct({token_array}), t -> t IN ({_in_list(every)}))")
 
-    Vote = number of distinct stop words of each language present; ties go
-    to the alphabetically first language code.  Built as one SQL expression
-    (a few hundred literals) rather than one API call per literal.
-    """
-    return F.expr(_vote_sql(token_array))
+
+def vote_count(present: str, code: str) -> Column:
+    """How many of the ``present`` stop words belong to language ``code``."""
+    return F.expr(f"size(filter({present}, t -> t IN ({_in_list(lexicon.stopwords(code))})))")
+
+
+def pick_language(counts: dict[str, str]) -> Column:
+    """Language with the highest count column; ties go to the alphabetically
+    first code; NULL when every count is 0."""
+    codes = sorted(counts)
+    best = F.greatest(*[F.col(counts[c]) for c in codes])
+    out = F.when(best == 0, F.lit(None).cast("string"))
+    for c in codes:
+        out = out.when(F.col(counts[c]) == best, F.lit(c))
+    return out
 
 
 @functools.lru_cache(maxsize=None)
 def _stopword_sql(token: str, lang: str) -> str:
-    whens = " ".join(f"WHEN {lang} = '{c}' THEN {token} IN ({', '.join(_sql_str(w) for w in lexicon.stopwords(c))})"
+    whens = " ".join(f"WHEN {lang} = '{c}' THEN {token} IN ({_in_list(lexicon.stopwords(c))})"
                      for c in lexicon.language_codes())
     return f"CASE {whens} ELSE false END"
 

@@ -21,13 +21,19 @@ QUERY_KEYS = ("query_id",)
 def analyze(texts: DataFrame, keys=CHUNK_KEYS, text_col: str = "content") -> DataFrame:
     """Per text: ``tokens``, ``lang_detected`` (nullable) and effective ``lang``.
 
-    Row-local; the stop-word vote uses hash-set intersections with the fixed
-    word lists, so no shuffle and no join.
+    Row-local (no shuffle, no join).  Vote: the distinct tokens that are a
+    stop word of any language are found once with a hash IN-set; each
+    language then counts its own words in that short list; the counts are
+    columns of their own projection, so the choice reads them instead of
+    recomputing them.
     """
     keys = list(keys)
+    codes = lexicon.language_codes()
     toks = texts.select(*keys, T.tokens(text_col).alias("tokens"))
-    return (toks.select(*keys, "tokens", T.language_vote("tokens").alias("lang_detected"))
-                .withColumn("lang", T.effective_language("lang_detected")))
+    present = toks.select(*keys, "tokens", T.stopwords_present("tokens").alias("_sw"))
+    counts = present.select(*keys, "tokens", *[T.vote_count("_sw", c).alias(f"_n_{c}") for c in codes])
+    return (counts.select(*keys, "tokens", T.pick_language({c: f"_n_{c}" for c in codes}).alias("lang_detected"))
+                  .withColumn("lang", T.effective_language("lang_detected")))
 
 
 def token_rows(analyzed: DataFrame, keys=CHUNK_KEYS, drop_stopwords: bool = True,
