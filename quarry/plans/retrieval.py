@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from quarry.config import DEFAULT_TERM_BUCKETS, Settings
 
-# Tasks that write each term bucket of a stored postings table.
-WRITE_SPREAD = 8
 from quarry.operators import chunking, prompts, search, terms
 
 
@@ -45,25 +43,23 @@ def load_index(chunks: DataFrame, postings: DataFrame, term_buckets: int | None
     return Index(chunks, postings, search.chunk_vectors(postings.drop("term_bucket")), term_buckets)
 
 
-def write_index(index: Index, path: str, n_buckets: int = DEFAULT_TERM_BUCKETS,
-                spread: int = WRITE_SPREAD) -> None:
+def write_index(index: Index, path: str, n_buckets: int = DEFAULT_TERM_BUCKETS) -> None:
     """Store chunks and postings; postings are partitioned by ``term_bucket``.
 
-    Postings are hash-partitioned on ``(term_bucket, spread slot)`` where the
-    slot comes from the chunk key, so every bucket -- and a term held by a
-    third of all chunks -- is written by ``spread`` tasks, without the
-    sampling pass a range partitioning would add.  Files are sorted by term
-    (tight parquet min/max per row group).  The chunks are persisted during
-    the two writes so cutting runs once (a lost block is recomputed from
-    lineage); the written tables then cut the lineage for serving.
+    The postings go through a ``REBALANCE`` on ``term_bucket``: adaptive
+    execution splits a bucket that is too large (a term held by a third of
+    all chunks) over several tasks and merges small ones to the advisory
+    size, so file sizes follow the data.  Files are sorted by term (tight
+    parquet min/max per row group).  The chunks are persisted during the two
+    writes so cutting runs once (a lost block is recomputed from lineage);
+    the written tables then cut the lineage for serving.
     """
     from pyspark import StorageLevel
     index.chunks.persist(StorageLevel.MEMORY_AND_DISK)
     index.chunks.write.parquet(f"{path}/chunks")
     bucket = F.pmod(F.col("term_index"), F.lit(n_buckets)).cast("int")
-    slot = F.pmod(F.hash("doc_id", "chunk_no"), F.lit(spread))
-    (index.postings.withColumn("term_bucket", bucket).withColumn("_slot", slot)
-          .repartition("term_bucket", "_slot").drop("_slot")
+    (index.postings.withColumn("term_bucket", bucket)
+          .hint("rebalance", "term_bucket")
           .sortWithinPartitions("term_bucket", "term_index", "doc_id", "chunk_no")
           .write.partitionBy("term_bucket").parquet(f"{path}/postings_b{n_buckets}"))
     index.chunks.unpersist()
