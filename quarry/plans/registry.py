@@ -44,7 +44,6 @@ def _r6(c):
 WITH_CHUNKS = f"WITH RECURSIVE {O.chunks_cte()}"
 WITH_DOC_POSTINGS = f"{WITH_CHUNKS}, {O.postings_cte('dpost', 'chunks', ['doc_id', 'chunk_no'], 'content')}"
 WITH_SEARCH_BENCH = f"WITH RECURSIVE {O.benchmark_queries_cte()}, {O.search_ctes()}"
-WITH_SEARCH_CONV = f"WITH RECURSIVE {O.conversation_queries_cte()}, {O.search_ctes()}"
 FILES_SQL = f"""
 files AS (
   SELECT 'corpus/' || source || '/doc-' || CAST(doc_id AS VARCHAR) || '.txt' AS path,
