@@ -32,6 +32,9 @@ MAX_HOT_TERMS = 10_000
 HOT_TERM_SALTS = 32
 # Term buckets of a stored postings table.
 DEFAULT_TERM_BUCKETS = 64
+# A batch with at most this many query-term rows pushes its term list into the
+# scan of a stored postings table (bucket pruning + parquet row-group skipping).
+PUSHDOWN_MAX_QUERY_TERMS = 1_000
 
 
 @dataclass(frozen=True)

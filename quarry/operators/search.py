@@ -106,6 +106,22 @@ def search_scores(qvec: DataFrame, dvec: DataFrame, max_query_terms: int | None
                  .agg(F.round(F.sum(F.col("qw") * F.col("dw")), SCORE_DECIMALS).alias("score")))
 
 
+def restrict_to_terms(dvec: DataFrame, qvec: DataFrame, term_buckets: int) -> DataFrame:
+    """Filter a stored, bucketed postings scan to the terms of a small batch.
+
+    The distinct query indices (bounded by the batch's token count, which the
+    caller checked) become literal IN lists: the bucket list prunes
+    directories, the index list reaches the parquet reader, where term-sorted
+    files let it skip row groups.  Only the posting lists of the query terms
+    are read.
+    """
+    ids = sorted({r["term_index"] for r in qvec.select("term_index").distinct().collect()})
+    if not ids:
+        return dvec.where(F.lit(False))
+    buckets = sorted({i % term_buckets for i in ids})
+    return dvec.where(F.col("term_bucket").isin(buckets) & F.col("term_index").isin(ids))
+
+
 def max_limit(limits: DataFrame) -> int:
     """Largest requested k of the batch (a one-row aggregate)."""
     v = limits.agg(F.max("limit").alias("m")).first()["m"]

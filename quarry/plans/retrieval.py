@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.config import DEFAULT_TERM_BUCKETS, Settings
+from quarry.config import DEFAULT_TERM_BUCKETS, PUSHDOWN_MAX_QUERY_TERMS, Settings
 
 from quarry.operators import chunking, prompts, search, terms
 
@@ -91,7 +91,10 @@ def retrieve(queries: DataFrame, index: Index, settings: Settings = Settings(),
     qd = search.query_defaults(queries, settings)
     bounds = search.batch_bounds(qd)
     qvec = search.query_vectors(qd, settings)
-    scores = search.search_scores(qvec, index.search_side, bounds["max_terms"],
+    side = index.search_side
+    if index.term_buckets and bounds["max_terms"] <= PUSHDOWN_MAX_QUERY_TERMS:
+        side = search.restrict_to_terms(side, qvec, index.term_buckets)
+    scores = search.search_scores(qvec, side, bounds["max_terms"],
                                   force_shuffle=force_shuffle, term_buckets=index.term_buckets)
     limits = qd.select("query_id", "limit")
     ranked = search.search_topk(scores, limits, bounds["max_k"], bounds["n_queries"])

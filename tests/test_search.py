@@ -105,3 +105,19 @@ def test_stored_index_serves_same_hits(spark, sf_smoke):
     one = q.where("query_id = 0")
     plan = retrieve(one, stored).hits._jdf.queryExecution().executedPlan().toString()
     assert "term_bucket" in plan
+
+
+def test_small_batch_pushes_terms_into_stored_scan(spark, sf_smoke):
+    from quarry.plans.retrieval import read_index, write_index
+    from quarry.session import scratch_path
+    from quarry.sources import tables
+    idx = build_index(tables.documents(spark, sf_smoke))
+    path = scratch_path(spark, "index")
+    write_index(idx, path, n_buckets=16)
+    stored = read_index(spark, path)
+    one = tables.benchmark_queries(spark, sf_smoke).where("query_id = 1")
+    hits = retrieve(one, stored).hits
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "In(term_index" in plan
+    a = retrieve(one, idx).hits.select("query_id", "rank", "doc_id", "chunk_no", "score")
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, hits.select(*a.columns).collect()))
