@@ -100,7 +100,7 @@ def create_collection(spark: SparkSession, path: str) -> bool:
     """Create an empty collection if absent; returns True when it was created."""
     if collection_exists(spark, path):
         return False
-    spark.createDataFrame([], POINTS_SCHEMA).write.parquet(f"{path.rstrip('/')}/v000001")
+    spark.createDataFrame([], POINTS_SCHEMA).write.mode("overwrite").parquet(f"{path.rstrip('/')}/v000001")
     return True
 
 
@@ -143,7 +143,8 @@ def upsert_collection(spark: SparkSession, path: str, new: DataFrame, mode: str
     base = read_collection(spark, path)
     merged = merge_points(base, new, mode)
     nxt = f"{path.rstrip('/')}/v{int(vs[-1][1:]) + 1:06d}"
-    merged.write.parquet(nxt)
+    # a failed earlier attempt may have left this (unfinished, ignored) version
+    merged.write.mode("overwrite").parquet(nxt)
     return nxt
 
 

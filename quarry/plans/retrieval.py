@@ -56,12 +56,12 @@ def write_index(index: Index, path: str, n_buckets: int = DEFAULT_TERM_BUCKETS)
     """
     from pyspark import StorageLevel
     index.chunks.persist(StorageLevel.MEMORY_AND_DISK)
-    index.chunks.write.parquet(f"{path}/chunks")
+    index.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
     bucket = F.pmod(F.col("term_index"), F.lit(n_buckets)).cast("int")
     (index.postings.withColumn("term_bucket", bucket)
           .hint("rebalance", "term_bucket")
           .sortWithinPartitions("term_bucket", "term_index", "doc_id", "chunk_no")
-          .write.partitionBy("term_bucket").parquet(f"{path}/postings_b{n_buckets}"))
+          .write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/postings_b{n_buckets}"))
     index.chunks.unpersist()
 
 

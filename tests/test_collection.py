@@ -65,3 +65,15 @@ def test_upsert_replaces_changed_points(spark, pts):
     assert c.count() == pts.count()
     assert c.where(F.col("content") == "changed").count() == 3
     assert c.select("point_id").distinct().count() == pts.count()
+
+
+def test_unfinished_snapshot_is_ignored_and_replaced(spark, pts):
+    import os
+    path = scratch_path(spark, "coll")
+    collection.create_collection(spark, path)
+    os.makedirs(os.path.join(path, "v000002"))          # a write that died before _SUCCESS
+    with open(os.path.join(path, "v000002", "part-broken.parquet"), "w") as f:
+        f.write("not parquet")
+    assert collection.read_collection(spark, path).count() == 0
+    collection.upsert_collection(spark, path, pts)
+    assert collection.read_collection(spark, path).count() == pts.count()
