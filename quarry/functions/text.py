@@ -31,24 +31,29 @@ def delimiter_split_pattern(delimiters: str) -> str:
 CUT_GROUP = 256
 
 
-def hex_pieces(text, size: int, delimiters: str) -> Column:
-    """Pieces of ``text`` as upper-case hex strings.
+def byte_pieces(text, size: int, delimiters: str) -> Column:
+    """Pieces of ``text`` as binaries of at most ``size`` bytes.
 
-    Split right after each delimiter; a segment longer than ``size`` bytes is
-    cut into ``size``-byte pieces plus a remainder.  Each segment is hex
-    encoded and cut by one regex pass, so the work is linear in the text
-    (and never re-reads the whole text per piece).
+    Split right after each delimiter; a segment that fits stays whole, a
+    longer one is cut into ``size``-byte pieces plus a remainder through its
+    hex form (one regex pass per long segment), so the work is linear in the
+    text and never re-reads the whole text per piece.
     """
     if size <= 0:
         raise ValueError("chunk size must be positive")
     segs = F.split(_col(text), delimiter_split_pattern(delimiters))
     pattern = "[0-9A-F]{1," + str(2 * size) + "}"
-    return F.flatten(F.transform(
-        segs, lambda seg: F.regexp_extract_all(F.hex(F.encode(seg, "UTF-8")), F.lit(pattern), F.lit(0))))
 
+    def cut(seg):
+        b = F.encode(seg, "UTF-8")
+        return F.when(F.octet_length(b) <= size, F.array(b)).otherwise(
+            F.transform(F.regexp_extract_all(F.hex(b), F.lit(pattern), F.lit(0)), lambda h: F.unhex(h)))
 
-def piece_lengths(hex_pieces_col) -> Column:
-    return F.transform(_col(hex_pieces_col), lambda x: (F.length(x) / 2).cast("int"))
+    return F.filter(F.flatten(F.transform(segs, cut)), lambda p: F.octet_length(p) > 0)
+
+
+def piece_lengths(pieces_col) -> Column:
+    return F.transform(_col(pieces_col), lambda x: F.octet_length(x))
 
 
 def pack_pieces(pieces, size: int, group: int = CUT_GROUP) -> Column:
@@ -96,12 +101,15 @@ def pack_pieces(pieces, size: int, group: int = CUT_GROUP) -> Column:
     return F.aggregate(groups, init, outer, finish)
 
 
-def join_pieces(hex_pieces_col, starts) -> Column:
-    """Chunk bytes: the hex pieces from each start index up to the next, joined
-    and decoded.  Both arguments must be columns of an earlier projection."""
-    ph, starts = _col(hex_pieces_col), _col(starts)
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.size(ph)))
-    return F.zip_with(starts, ends, lambda a, b: F.unhex(F.array_join(F.slice(ph, a + 1, b - a), "")))
+def join_pieces(pieces_col, starts) -> Column:
+    """Chunk bytes: the pieces from each start index up to the next, joined
+    (a chunk holds at most ``size`` bytes, so the join is bounded).  Both
+    arguments must be columns of an earlier projection."""
+    pc, starts = _col(pieces_col), _col(starts)
+    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.size(pc)))
+    empty = F.lit(bytearray())
+    return F.zip_with(starts, ends, lambda a, b: F.aggregate(F.slice(pc, a + 1, b - a), empty,
+                                                            lambda acc, x: F.concat(acc, x)))
 
 
 def lossy_text(binary) -> Column:

@@ -25,10 +25,10 @@ def chunk_documents(docs: DataFrame, size: int = DEFAULT_CHUNK_SIZE,
     docs, by_key = balance_scan(docs, key)
     starts = (docs.select(F.col(key), F.col(text_col).alias("_t"))
                   .where(F.col(key).isNotNull() & F.col("_t").isNotNull() & (F.length("_t") > 0))
-                  .select(key, T.hex_pieces("_t", size, delimiters).alias("_ph"))
-                  .select(key, "_ph", T.piece_lengths("_ph").alias("_pl"))
-                  .select(key, "_ph", T.pack_pieces("_pl", size).alias("_s")))
-    pieces = starts.select(key, T.join_pieces("_ph", "_s").alias("_c"))
+                  .select(key, T.byte_pieces("_t", size, delimiters).alias("_pb"))
+                  .select(key, "_pb", T.piece_lengths("_pb").alias("_pl"))
+                  .select(key, "_pb", T.pack_pieces("_pl", size).alias("_s")))
+    pieces = starts.select(key, T.join_pieces("_pb", "_s").alias("_c"))
     # The outer form keeps Spark from inferring a size filter on the array,
     # which would inline (and re-run) the whole cutting expression.
     out = (pieces.select(key, F.posexplode_outer("_c").alias("chunk_no", "_bin"))
