@@ -15,12 +15,15 @@ BM25_AVGDL = 5.75                  # fixed average length, used for chunks and q
 DEFAULT_SEARCH_LIMIT = 10
 DEFAULT_MODEL = "gpt-4.1"
 CONTEXT_SEPARATOR = "\n\n---\n\n"
-PROMPT_HEAD = "Based on this context:\n\n```text\n"
-PROMPT_MIDDLE = "\n```\n\n, reply to this query:\n\n```text\n"
-PROMPT_TAIL = "\n```"
+PROMPT_TEMPLATE = "Based on this context:\n\n```text\n{context}\n```\n\n, reply to this query:\n\n```text\n{query}\n```"
 NO_RESPONSE_DETAIL = "No response was generated by the language model"
 DEFAULT_RATE_LIMIT_PER_MINUTE = 100
 SCORE_DECIMALS = 6
+# The template around the two inserted values (derived, not separate values).
+PROMPT_HEAD, _rest = PROMPT_TEMPLATE.split("{context}")
+PROMPT_MIDDLE, PROMPT_TAIL = _rest.split("{query}")
+del _rest
+
 # Queries whose term rows stay under this count are broadcast to the postings scan.
 BROADCAST_QUERY_TERMS_MAX_ROWS = 2_000_000
 # Hits (queries x k) under this count are broadcast to the chunk table for content lookup.
