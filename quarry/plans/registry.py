@@ -13,7 +13,7 @@ from quarry import oracle as O
 from quarry.config import DEFAULT_MODEL, DEFAULT_SEARCH_LIMIT, Settings
 from quarry.functions import text as T
 from quarry.operators import chunking, collection, prompts, search, terms
-from quarry.plans.retrieval import build_index, retrieve
+from quarry.plans.retrieval import build_index, read_index, retrieve, write_index
 from quarry.session import scratch_path
 from quarry.sources import files, tables
 from quarry.streaming import jobs
@@ -428,7 +428,10 @@ def q_stream_search(spark: SparkSession, sf: str) -> DataFrame:
     qs = _stream_table(spark, sf, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query"),
         F.lit(None).cast("int").alias("limit"), F.lit(None).cast("string").alias("model"))
-    jobs.search_stream(qs, _index(spark, sf), sink, ck, S).awaitTermination()
+    # store the index once; every micro-batch then reads it instead of rebuilding it
+    stored = scratch_path(spark, "search-index")
+    write_index(_index(spark, sf), stored)
+    jobs.search_stream(qs, read_index(spark, stored), sink, ck, S).awaitTermination()
     return jobs.read_sink(spark, sink)
 
 

@@ -37,7 +37,12 @@ def ingest_stream(docs_stream: DataFrame, sink: str, checkpoint: str,
 
 def search_stream(queries_stream: DataFrame, index: Index, sink: str, checkpoint: str,
                   settings: Settings = Settings(), available_now: bool = True):
-    """Queries arriving as a stream, answered against a static index."""
+    """Queries arriving as a stream, answered against a static index.
+
+    Pass a stored index (``read_index``): a lazily built one would be rebuilt
+    by every micro-batch.  Small micro-batches push their terms into the
+    postings scan.
+    """
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         _write_batch(retrieve(batch, index, settings).hits, sink, batch_id)
 
