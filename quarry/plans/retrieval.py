@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.config import DEFAULT_TERM_BUCKETS, PUSHDOWN_MAX_QUERY_TERMS, Settings
-
 from quarry.operators import chunking, prompts, search, terms
 
 
