@@ -13,6 +13,7 @@ from quarry import oracle as O
 from quarry.config import DEFAULT_MODEL, DEFAULT_SEARCH_LIMIT, Settings
 from quarry.functions import text as T
 from quarry.operators import chunking, collection, prompts, search, terms
+from quarry.plans import commands
 from quarry.plans.retrieval import build_index, read_index, retrieve, write_index
 from quarry.session import scratch_path
 from quarry.sources import files, tables
@@ -403,6 +404,22 @@ def q_collection_append(spark: SparkSession, sf: str) -> DataFrame:
     return _loaded_collection(spark, sf, "append", 2).select("point_id", "doc_id", "chunk_no")
 
 
+@register("load_command", f"""WITH RECURSIVE {FILES_SQL}, {O.chunks_cte(source='parsed')},
+{O.postings_cte('dpost', 'chunks', ['doc_id', 'chunk_no'], 'content')},
+{O.vectors_cte('dvec', 'dpost', ['doc_id', 'chunk_no'])},
+pts AS (SELECT doc_id, chunk_no, count(*) AS n_entries FROM dvec GROUP BY doc_id, chunk_no),
+ids AS (SELECT row_number() OVER (ORDER BY doc_id, chunk_no) AS point_id, doc_id, chunk_no, n_entries FROM pts)
+SELECT point_id, doc_id, chunk_no, n_entries FROM ids""")
+def q_load_command(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole ``load`` command over the corpus files: route, quarantine the
+    pages (no extractor), parse the text files, chunk, embed, create and fill
+    a collection; returns the collection."""
+    coll, parsed = scratch_path(spark, "load-collection"), scratch_path(spark, "load-parsed")
+    commands.load_files(spark, tables.corpus_files(spark, sf), coll, parsed, S)
+    c = collection.read_collection(spark, coll)
+    return c.select("point_id", "doc_id", "chunk_no", F.size("indices").cast("bigint").alias("n_entries"))
+
+
 # ---------------------------------------------------------------------------
 # Streaming
 # ---------------------------------------------------------------------------
