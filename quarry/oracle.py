@@ -184,10 +184,10 @@ def conversation_answers_cte(name: str = "answers") -> str:
   WHERE u.role = 'user')"""
 
 
-def search_ctes(queries: str = "queries") -> str:
-    """From ``{queries}`` and ``documents``: chunks, postings, vectors, scores, hits."""
+def search_ctes(queries: str = "queries", source: str = "documents") -> str:
+    """From ``{queries}`` and ``{source}(doc_id, text)``: chunks, postings, vectors, scores, hits."""
     return ",".join([
-        chunks_cte(),
+        chunks_cte(source=source),
         postings_cte("dpost", "chunks", ["doc_id", "chunk_no"], "content"),
         vectors_cte("dvec", "dpost", ["doc_id", "chunk_no"]),
         postings_cte("qpost", queries, ["query_id"], "query"),

@@ -420,6 +420,17 @@ def q_load_command(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("point_id", "doc_id", "chunk_no", F.size("indices").cast("bigint").alias("n_entries"))
 
 
+@register("serve_command", f"""WITH RECURSIVE {FILES_SQL}, {O.benchmark_queries_cte()},
+{O.search_ctes(source='parsed')}
+SELECT query_id, rank, doc_id, chunk_no, score, content FROM hits""")
+def q_serve_command(spark: SparkSession, sf: str) -> DataFrame:
+    """``load`` the corpus files into a collection, then ``serve`` the
+    benchmark queries from that collection (non-empty check included)."""
+    coll, parsed = scratch_path(spark, "serve-collection"), scratch_path(spark, "serve-parsed")
+    commands.load_files(spark, tables.corpus_files(spark, sf), coll, parsed, S)
+    return commands.serve(spark, coll, tables.benchmark_queries(spark, sf), S).hits
+
+
 # ---------------------------------------------------------------------------
 # Streaming
 # ---------------------------------------------------------------------------
