@@ -121,3 +121,22 @@ def test_small_batch_pushes_terms_into_stored_scan(spark, sf_smoke):
     assert "In(term_index" in plan
     a = retrieve(one, idx).hits.select("query_id", "rank", "doc_id", "chunk_no", "score")
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, hits.select(*a.columns).collect()))
+
+
+def test_hot_term_is_detected_and_spread(spark):
+    from quarry.config import HOT_TERM_SALTS
+    from quarry.operators.search import hot_terms, term_stats
+    from quarry.functions import text as T
+    docs = [(i, f"zebra common words number{i} here.") for i in range(200)]
+    idx = build_index(corpus(spark, docs))
+    hot = {r.term_index for r in hot_terms(term_stats(idx.search_side), max_hot=10).collect()}
+    zebra = spark.range(1).select(T.term_index(F.lit("zebra")).alias("i")).first().i
+    assert zebra in hot
+    q = ask(spark, ["zebra"])
+    a = retrieve(q, idx).hits.select("doc_id", "score")
+    b = retrieve(q, idx, force_shuffle=True).hits.select("doc_id", "score")
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    # the hot term's postings land in every salt bucket
+    salts = (idx.search_side.where(F.col("term_index") == zebra)
+             .select(F.pmod(F.hash("doc_id", "chunk_no"), F.lit(HOT_TERM_SALTS)).alias("s")).distinct().count())
+    assert salts == HOT_TERM_SALTS
