@@ -140,3 +140,16 @@ def test_hot_term_is_detected_and_spread(spark):
     salts = (idx.search_side.where(F.col("term_index") == zebra)
              .select(F.pmod(F.hash("doc_id", "chunk_no"), F.lit(HOT_TERM_SALTS)).alias("s")).distinct().count())
     assert salts == HOT_TERM_SALTS
+
+
+def test_responses_and_errors(spark):
+    from quarry.operators import prompts as P
+    idx = build_index(corpus(spark, [(1, "red apple"), (2, "red red apple"), (3, "green pear")]))
+    q = spark.createDataFrame([(1, "red", 2, None), (2, "pear", None, None), (3, "plum", -1, None)],
+                              "query_id long, query string, limit int, model string")
+    a = retrieve(q.where("query_id < 3"), idx)
+    answers = spark.createDataFrame([(1, "It is red."), (2, None)], "query_id long, response string")
+    r = {x.query_id: (x.response, x.retrieved) for x in P.responses(answers, a.hits, a.queries).collect()}
+    assert r == {1: ("It is red.", ["red red apple", "red apple"])}
+    errs = {x.query_id: (x.status_code, x.detail) for x in P.query_errors(answers, q).collect()}
+    assert errs[2][0] == 500 and errs[3][0] == 422 and 1 not in errs
