@@ -44,7 +44,8 @@ def batch_bounds(queries: DataFrame) -> dict:
     bound of query-term rows (tokens before stop-word removal)."""
     from quarry.functions.text import tokens
     r = queries.agg(F.count(F.lit(1)).alias("n"), F.max("limit").alias("k"),
-                    F.sum(F.size(tokens("query"))).alias("t")).first()
+                    F.sum(F.when(F.col("query").isNull(), F.lit(0))
+                           .otherwise(F.size(tokens("query")))).alias("t")).first()
     return {"n_queries": int(r["n"] or 0), "max_k": int(r["k"] or 0), "max_terms": int(r["t"] or 0)}
 
 
