@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, simhash
+from quarry.llm import decontaminate, secrets, simhash
 from quarry.llm.base import documents, table
 
 
@@ -19,8 +19,14 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_pairs(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and digest, then all spans, of every document."""
+    return secrets.find_secrets(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op6_secrets": op6_secrets,
     "op9_decontamination": op9_decontamination,
 }
 
