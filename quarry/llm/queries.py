@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, secrets, simhash
+from quarry.llm import decontaminate, language, secrets, sentencepiece, simhash
 from quarry.llm.base import documents, table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language, posterior and verdict of every document."""
+    return language.identify(language.from_documents(documents(spark, sf_dir)), key="doc_id")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every document."""
     groups = simhash.near_duplicates(documents(spark, sf_dir), shingle=4, radius=4)
@@ -24,10 +29,17 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(documents(spark, sf_dir))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled pieces of every document, and whether they spell it again."""
+    return sentencepiece.encode(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_simhash": op2_simhash,
     "op6_secrets": op6_secrets,
     "op9_decontamination": op9_decontamination,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLE: dict[str, str] = {}
