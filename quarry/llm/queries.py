@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, language, secrets, sentencepiece, simhash
+from quarry.llm import decontaminate, language, lm, secrets, sentencepiece, simhash
 from quarry.llm.base import documents, table
 
 
@@ -19,6 +19,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact add-one score and the filter model's log10 probability of every document."""
+    return lm.score_documents(documents(spark, sf_dir))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaked (document, benchmark item) pairs with their tiles' coverage."""
     return decontaminate.contaminated_pairs(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
@@ -38,6 +43,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_simhash": op2_simhash,
     "op6_secrets": op6_secrets,
+    "op8_lm_score": op8_lm_score,
     "op9_decontamination": op9_decontamination,
     "op10_sentencepiece": op10_sentencepiece,
 }
