@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, language, lm, secrets, sentencepiece, simhash
+from quarry.llm import decontaminate, language, lm, quality, secrets, sentencepiece, simhash, toxicity
 from quarry.llm.base import documents, table
 
 
@@ -29,6 +29,16 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_pairs(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length-weighted line marginals of every document."""
+    return quality.score_documents(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positive-unlabelled toxicity score of every document."""
+    return toxicity.score_documents(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and digest, then all spans, of every document."""
     return secrets.find_secrets(documents(spark, sf_dir))
@@ -42,6 +52,8 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_simhash": op2_simhash,
+    "op4_quality": op4_quality,
+    "op5_toxicity": op5_toxicity,
     "op6_secrets": op6_secrets,
     "op8_lm_score": op8_lm_score,
     "op9_decontamination": op9_decontamination,
