@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, language, lm, quality, secrets, sentencepiece, simhash, toxicity
+from quarry.llm import decontaminate, language, lm, quality, rules, secrets, sentencepiece, simhash, toxicity
 from quarry.llm.base import documents, table
 
 
@@ -19,6 +19,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, likelihood ratio and verdict of every document."""
+    return rules.judge(documents(spark, sf_dir), rules.trusted_ids(table(spark, sf_dir, "labels")))
+
+
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact add-one score and the filter model's log10 probability of every document."""
     return lm.score_documents(documents(spark, sf_dir))
@@ -55,6 +60,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
     "op6_secrets": op6_secrets,
+    "op7_quality_rules": op7_quality_rules,
     "op8_lm_score": op8_lm_score,
     "op9_decontamination": op9_decontamination,
     "op10_sentencepiece": op10_sentencepiece,
