@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, language, lm, quality, rules, secrets, sentencepiece, simhash, toxicity
+from quarry.llm import decontaminate, language, lm, quality, rules, secrets, sentencepiece, simhash, suffix, toxicity
 from quarry.llm.base import documents, table
 
 
@@ -34,6 +34,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_pairs(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document after removal of all strings of 200 bytes that start twice."""
+    return suffix.remove_repeats(documents(spark, sf_dir), length=200)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length-weighted line marginals of every document."""
     return quality.score_documents(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
@@ -57,6 +62,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_simhash": op2_simhash,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
     "op6_secrets": op6_secrets,
