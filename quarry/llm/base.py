@@ -34,7 +34,7 @@ _LOWER[ord("A"):ord("Z") + 1] += 32
 
 def pieces(batches: Iterable[pa.RecordBatch], text_col: str = "text",
            limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with at most ``limit`` bytes of text each (or one row)."""
+    """Slices of the batches: under ``limit`` bytes of text each beside the first row."""
     for rb in batches:
         if rb.num_rows == 0:
             continue

@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic documents are the positives; a sample of all other training text,
-toxic or not, is the unlabelled set.  With class prior p and a margin loss l, the
+toxic or not, is the unlabelled set.  With class prior p and the logistic loss l, the
 risk of a classifier g is  p * E_P[l(g)] + max(0, E_U[l(-g)] - p * E_P[l(-g)]):
 the bracket is the risk on negatives, estimated without any, and it is kept from
 going below zero, where it would only reward overfitting.
@@ -26,8 +26,9 @@ from quarry.llm.base import U64, ascii_lower, blob, held_out, pieces, range_hash
 BITS = 20
 BEGINNINGS = (5, 6, 7, 8, 10)
 POSITIVES, UNLABELLED = 3000, 6000
-#: A feature is kept when at least this many positives have it.
-MIN_POSITIVES = 3
+#: A feature is kept when this share of the positives (and three of them) have it, and
+#: it is ``TELLING`` times as common among them as among the unlabelled.
+MIN_SHARE, TELLING = 0.02, 3
 
 
 def word_features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,11 +96,10 @@ def fit(p_sets: list[np.ndarray], u_sets: list[np.ndarray], prior: float, steps:
         pick = lambda sets: [x if view == 2 else x[x >> BITS == view] for x in sets]
         p, u = pick(p_sets), pick(u_sets)
         names, seen = np.unique(np.concatenate(p), return_counts=True) if p else (np.zeros(0, np.int64), np.zeros(0))
-        names = names[seen >= MIN_POSITIVES]
+        names = names[seen >= max(3, MIN_SHARE * len(p))]
         P, U = _matrix(p, names), _matrix(u, names)
-        # telling features only: commoner among positives than among the unlabelled
         rate_p, rate_u = _count(P, len(names)) / max(1, len(p)), _count(U, len(names)) / max(1, len(u))
-        good = np.flatnonzero(rate_p > 2 * rate_u)
+        good = np.flatnonzero(rate_p > TELLING * rate_u)
         names = names[good]
         P, U = _matrix(p, names), _matrix(u, names)
         w, b = np.zeros(len(names)), np.array(-2.0)
@@ -107,12 +107,11 @@ def fit(p_sets: list[np.ndarray], u_sets: list[np.ndarray], prior: float, steps:
         for step in range(1, steps + 1):
             gp, gu = _margin(P, w, b, len(p)), _margin(U, w, b, len(u))
             sp, su = 1 / (1 + np.exp(-gp)), 1 / (1 + np.exp(-gu))
-            dp, du = sp * (1 - sp) / max(1, len(p)), su * (1 - su) / max(1, len(u))
-            negative = su.mean() - prior * sp.mean() if len(u) and len(p) else 0.0
+            negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean() if len(u) and len(p) else 0.0
             if negative >= 0:
-                parts = ((P, -2 * prior * dp), (U, du))  # both terms
+                parts = ((P, np.full(len(p), -prior / max(1, len(p)))), (U, su / max(1, len(u))))  # both terms
             else:
-                parts = ((P, prior * dp), (U, -du))  # climb back to a risk of zero
+                parts = ((P, prior * sp / max(1, len(p))), (U, -su / max(1, len(u))))  # climb back to a risk of zero
             grad_w = sum(np.bincount(m[1], weights=d[m[0]], minlength=len(names)) for m, d in parts) + decay * w / max(1, len(names)) ** 0.5
             grad_b = sum(d.sum() for _, d in parts)
             for k, (x, g) in enumerate(((w, grad_w), (b, grad_b))):
