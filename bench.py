@@ -16,6 +16,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from quarry.config import Settings  # noqa: E402
+from quarry.plans import commands  # noqa: E402
 from quarry.plans.retrieval import build_index, read_index, retrieve, write_index  # noqa: E402
 from quarry.session import get_session, scratch_path  # noqa: E402
 from quarry.operators import chunking  # noqa: E402
@@ -56,6 +57,13 @@ def main() -> None:
     timed("search", lambda: run(retrieve(bench_q, stored, s).hits))
     timed("prompts", lambda: run(retrieve(bench_q, stored, s).prompts))
     timed("rate_audit", lambda: run(jobs.rate_audit(tables.events(spark, sf_dir))))
+    # the two commands over the corpus files: load into a new collection, one
+    # changed load of it, and serve from its postings
+    coll, parsed = scratch_path(spark, "bench-coll"), scratch_path(spark, "bench-parsed")
+    got = tables.corpus_files(spark, sf_dir)
+    timed("load", lambda: commands.load_files(spark, got, coll, parsed, s))
+    timed("load_unchanged", lambda: commands.load_files(spark, got, coll, parsed, s))
+    timed("serve", lambda: run(commands.serve(spark, coll, bench_q, s).hits))
     # the flagship registered query: documents to ranked hits in one plan
     timed("search_from_documents", lambda: run(retrieve(bench_q, build_index(docs, s), s).hits))
 

@@ -13,6 +13,7 @@ BM25_K1 = 1.2
 BM25_B = 0.75
 BM25_AVGDL = 5.75                  # fixed average length, used for chunks and queries
 DEFAULT_SEARCH_LIMIT = 10
+DEFAULT_FIELD = "text"             # name of the stored and searched vector field
 DEFAULT_MODEL = "gpt-4.1"
 CONTEXT_SEPARATOR = "\n\n---\n\n"
 PROMPT_TEMPLATE = "Based on this context:\n\n```text\n{context}\n```\n\n, reply to this query:\n\n```text\n{query}\n```"
@@ -31,6 +32,8 @@ BROADCAST_HITS_MAX_ROWS = 5_000_000
 # Shuffle-join path: a term is "hot" when it holds more than 1/MAX_HOT_TERMS of all
 # postings, so at most MAX_HOT_TERMS terms can be hot (a proven broadcast bound).
 MAX_HOT_TERMS = 10_000
+# Salt buckets a query's candidates are ranked in before its final ranking.
+RANK_SALTS = 32
 # Salt buckets a hot term's postings are spread over.
 HOT_TERM_SALTS = 32
 # Term buckets of a stored postings table.

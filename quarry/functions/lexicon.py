@@ -19,7 +19,9 @@ import regex
 # ---------------------------------------------------------------------------
 # Detected languages, in tie-break order (alphabetical), with the name of the
 # Spark ML stop-word list for each.
-LANGUAGES = (("de", "german"), ("en", "english"), ("es", "spanish"), ("fr", "french"))
+LANGUAGES = (("da", "danish"), ("de", "german"), ("en", "english"), ("es", "spanish"), ("fi", "finnish"),
+             ("fr", "french"), ("hu", "hungarian"), ("it", "italian"), ("nl", "dutch"), ("no", "norwegian"),
+             ("pt", "portuguese"), ("ru", "russian"), ("sv", "swedish"), ("tr", "turkish"))
 # Language assumed when no stop word of any language occurs in a text.
 FALLBACK_LANGUAGE = "en"
 # Accent folding, applied after lower-casing: one-to-one letters ...
@@ -85,9 +87,5 @@ def stopwords(lang: str) -> tuple[str, ...]:
     return tuple(sorted(w for w in words if _TOKEN_RE.fullmatch(w)))
 
 
-def stopword_rows() -> list[tuple[str, str]]:
-    return [(lang, w) for lang, _ in LANGUAGES for w in stopwords(lang)]
-
-
 def language_codes() -> tuple[str, ...]:
     return tuple(code for code, _ in LANGUAGES)

@@ -169,11 +169,6 @@ def _stopword_sql(token: str, lang: str) -> str:
     return f"CASE {whens} ELSE false END"
 
 
-def is_stopword(token: str, lang: str) -> Column:
-    """True when ``token`` is a stop word of ``lang`` (hash-set IN lists)."""
-    return F.expr(_stopword_sql(token, lang))
-
-
 def effective_language(detected) -> Column:
     return F.coalesce(_col(detected), F.lit(lexicon.FALLBACK_LANGUAGE))
 

@@ -22,7 +22,6 @@ def chunk_documents(docs: DataFrame, size: int = DEFAULT_CHUNK_SIZE,
     one exchange of chunk text that splits long documents over many tasks
     and satisfies every later per-chunk grouping without another shuffle.
     """
-    docs, by_key = balance_scan(docs, key)
     starts = (docs.select(F.col(key), F.col(text_col).alias("_t"))
                   .where(F.col(key).isNotNull() & F.col("_t").isNotNull() & (F.length("_t") > 0))
                   .select(key, T.byte_pieces("_t", size, delimiters).alias("_pb"))
@@ -36,29 +35,11 @@ def chunk_documents(docs: DataFrame, size: int = DEFAULT_CHUNK_SIZE,
                  .select(key, F.col("chunk_no").cast("int").alias("chunk_no"),
                          T.lossy_text("_bin").alias("content"),
                          F.octet_length("_bin").cast("int").alias("n_bytes")))
-    if spread and not by_key:
+    if spread:
         out = out.repartition(key, "chunk_no")
     return out
 
 
-def balance_scan(df: DataFrame, key: str | None = None) -> tuple[DataFrame, bool]:
-    """Spread rows over the cores when the scan yields fewer partitions than cores.
-
-    Large inputs have many files / row groups and keep their scan
-    partitioning (then chunks are spread on ``(key, chunk_no)`` after
-    cutting).  A small input with fewer partitions than cores is
-    hash-partitioned on ``key`` once, which already satisfies every later
-    per-chunk grouping.  Only plan metadata is consulted.  Returns the frame
-    and whether it is now partitioned on ``key``.
-    """
-    if df.isStreaming:
-        return df, False
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return (df.repartition(cores * 2, key) if key else df.repartition(cores * 2)), bool(key)
-    return df, False
-
-
 def chunk_stats(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
     """Chunks per document with min / max / mean chunk bytes."""
     return (chunks.groupBy(key)

@@ -1,29 +1,26 @@
-"""Collections: points tables stored as parquet snapshots.
+"""Collections: points, their ids and postings, stored as loads that add and replace.
 
-A collection is a directory of numbered snapshots (``v000001`` ...); every
-change writes a new snapshot and never overwrites the one being read, so a
-failed write leaves the previous version intact.
+A point is a chunk with its sparse vector.  Parts of a stored collection:
+``points`` (doc_id, chunk_no, content, field, indices, values), ``ids`` (doc_id,
+chunk_no, point_id), ``postings`` (term_bucket, term_index, doc_id, chunk_no, field,
+weight), ``docs`` (doc_id, path, modificationTime, length, content_sha),
+``skipped`` and ``quarantine``.  A load writes its own documents only.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from quarry.config import DEFAULT_FIELD, DEFAULT_TERM_BUCKETS
 from quarry.operators import terms
-from quarry.operators.chunking import chunk_stats  # noqa: F401  (re-export for users)
+from quarry.sources.deltas import Deltas
 
 POINT_KEYS = ["doc_id", "chunk_no"]
-
-POINTS_SCHEMA = T.StructType([
-    T.StructField("point_id", T.LongType(), False),
-    T.StructField("doc_id", T.LongType(), False),
-    T.StructField("chunk_no", T.IntegerType(), False),
-    T.StructField("content", T.StringType(), True),
-    T.StructField("indices", T.ArrayType(T.LongType()), True),
-    T.StructField("values", T.ArrayType(T.DoubleType()), True),
-])
+POINTS = "doc_id string, chunk_no int, content string, field string, indices array<bigint>, values array<double>"
+IDS = "doc_id string, chunk_no int, point_id bigint"
+POSTINGS = "term_index bigint, doc_id string, chunk_no int, field string, weight double, term_bucket int"
+DOCS = "doc_id string, path string, modificationTime timestamp, length bigint, content_sha string"
 
 
 # ---------------------------------------------------------------------------
@@ -47,17 +44,14 @@ def skipped_chunks(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
                   .select(*POINT_KEYS, "n_bytes", F.lit("no terms after stop-word removal").alias("reason")))
 
 
-def dense_ids(df: DataFrame, order_cols, base, id_col: str = "point_id") -> DataFrame:
+def dense_ids(df: DataFrame, order_cols, base: int = 0, id_col: str = "point_id") -> DataFrame:
     """Ids ``base + 1, base + 2, ...`` in ``order_cols`` order, without a global window.
 
     Range-partition and sort, checkpoint (fixes partition contents for both
     passes and cuts lineage), count rows per partition (one row per
     partition), turn the counts into offsets, and add each row's position
-    inside its partition.  ``base`` is an int or a one-row DataFrame with a
-    ``base`` column (read as one scalar).
+    inside its partition.  Pass narrow rows (keys); join the ids back.
     """
-    if isinstance(base, DataFrame):
-        base = base.first()["base"] or 0
     from quarry.session import checkpoint_dir
     checkpoint_dir(df.sparkSession)
     order_cols = list(order_cols)
@@ -67,85 +61,111 @@ def dense_ids(df: DataFrame, order_cols, base, id_col: str = "point_id") -> Data
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # one row per partition: a running sum over this tiny table is cheap
     offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
-    offsets = offsets.withColumn("_base", F.lit(int(base)))
     pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
     return (tagged.join(F.broadcast(offsets), "_pid")
-                  .select((F.col("_base") + F.col("_off") + pos + 1).cast("long").alias(id_col), *df.columns))
+                  .select((F.lit(int(base)) + F.col("_off") + pos + 1).cast("long").alias(id_col), *df.columns))
 
 
 # ---------------------------------------------------------------------------
 # Stored collections
 # ---------------------------------------------------------------------------
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
-
-
-def _versions(spark: SparkSession, path: str) -> list[str]:
-    fs, p, _ = _fs(spark, path)
-    if not fs.exists(p):
-        return []
-    names = [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()]
-    done = [n for n in names if n.startswith("v") and fs.exists(
-        spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{n}/_SUCCESS"))]
-    return sorted(done)
+def store(spark: SparkSession, path: str) -> Deltas:
+    return Deltas(spark, path, ["doc_id"])
 
 
 def collection_exists(spark: SparkSession, path: str) -> bool:
-    return bool(_versions(spark, path))
+    return store(spark, path).exists()
 
 
-def create_collection(spark: SparkSession, path: str) -> bool:
+def create_collection(spark: SparkSession, path: str, n_buckets: int = DEFAULT_TERM_BUCKETS) -> bool:
     """Create an empty collection if absent; returns True when it was created."""
-    if collection_exists(spark, path):
+    s = store(spark, path)
+    if s.exists():
         return False
-    spark.createDataFrame([], POINTS_SCHEMA).write.mode("overwrite").parquet(f"{path.rstrip('/')}/v000001")
+    n = s.claim()
+    for part, schema in (("points", POINTS), ("ids", IDS), ("docs", DOCS)):
+        s.write(n, part, spark.createDataFrame([], schema))
+    s.write(n, "settings", spark.createDataFrame([(n_buckets,)], "n_buckets int"))
+    s.complete(n, base=True)
     return True
 
 
-def read_collection(spark: SparkSession, path: str) -> DataFrame:
-    vs = _versions(spark, path)
-    if not vs:
+def _open(spark: SparkSession, path: str) -> Deltas:
+    s = store(spark, path)
+    if not s.exists():
         raise FileNotFoundError(f"collection {path} does not exist; create it first")
-    return spark.read.schema(POINTS_SCHEMA).parquet(f"{path.rstrip('/')}/{vs[-1]}")
+    return s
+
+
+def term_buckets(s: Deltas) -> int:
+    return s.rows("settings").agg(F.max("n_buckets")).first()[0]
+
 
+def read_collection(spark: SparkSession, path: str, field: str = DEFAULT_FIELD) -> DataFrame:
+    """``point_id, doc_id, chunk_no, content, indices, values`` of the live points of a field."""
+    s = _open(spark, path)
+    pts = s.live("points").where(F.col("field") == field)
+    return (pts.join(s.live("ids"), [*POINT_KEYS, "load"])
+               .select("point_id", *POINT_KEYS, "content", "indices", "values"))
 
-def merge_points(base: DataFrame, new: DataFrame, mode: str = "upsert") -> DataFrame:
-    """The collection after adding ``new`` points (without ids) to ``base`` (with ids).
 
-    ``upsert``: every document present in ``new`` is replaced as a whole (so
-    a shorter new version leaves no stale chunks); a ``(doc_id, chunk_no)``
-    already present keeps its id, other new points get ids after the current
-    largest.  ``append``: every new point gets a fresh id after the current
-    count, as a plain re-load does.
+def read_postings(spark: SparkSession, path: str, field: str = DEFAULT_FIELD) -> tuple[DataFrame, DataFrame, int]:
+    """(postings, points, term buckets) of the live points of a field, each row with its ``load``."""
+    s = _open(spark, path)
+    post = s.live("postings") if s.has("postings") else spark.createDataFrame([], f"{POSTINGS}, load int")
+    return (post.where(F.col("field") == field), s.live("points").where(F.col("field") == field), term_buckets(s))
+
+
+def assign_ids(keys: DataFrame, old: DataFrame, last: int) -> DataFrame:
+    """``doc_id, chunk_no, point_id``: a key of ``old`` keeps its id, the others follow ``last``."""
+    both = keys.select(*POINT_KEYS).join(old.select(*POINT_KEYS, "point_id"), POINT_KEYS, "left")
+    fresh = dense_ids(both.where("point_id IS NULL").select(*POINT_KEYS), POINT_KEYS, last)
+    return both.where("point_id IS NOT NULL").unionByName(fresh).select(*POINT_KEYS, "point_id")
+
+
+def upsert_collection(spark: SparkSession, path: str, new: DataFrame, mode: str = "upsert",
+                      replaced: DataFrame | None = None, field: str = DEFAULT_FIELD,
+                      parts: dict[str, DataFrame] | None = None) -> int:
+    """Add a load of points (without ids); returns its number.
+
+    ``upsert``: every document of ``replaced`` (by default those of ``new``) loses its
+    earlier points, those without new points too; a key already present keeps its
+    id, the others follow the largest id ever given.  ``append``: all get new ids.
+    ``parts``: further rows to store with the load.  Content and vectors are written
+    once; ids and postings are made from what was written.
     """
-    new = new.select(*POINT_KEYS, "content", "indices", "values")
-    if mode == "append":
-        start = base.agg(F.count(F.lit(1)).alias("base"))
-        added = dense_ids(new, POINT_KEYS, start)
-        return base.unionByName(added)
-    if mode != "upsert":
+    if mode not in ("upsert", "append"):
         raise ValueError("mode must be 'upsert' or 'append'")
-    old_ids = base.select(*POINT_KEYS, "point_id")
-    kept = base.join(new.select("doc_id").distinct(), "doc_id", "left_anti")
-    replaced = new.join(old_ids, POINT_KEYS).select("point_id", *new.columns)
-    fresh = new.join(old_ids.select(*POINT_KEYS), POINT_KEYS, "left_anti")
-    start = base.agg(F.coalesce(F.max("point_id"), F.lit(0)).alias("base"))
-    return kept.unionByName(replaced).unionByName(dense_ids(fresh, POINT_KEYS, start))
-
-
-def upsert_collection(spark: SparkSession, path: str, new: DataFrame, mode: str = "upsert") -> str:
-    """Write the merged collection as the next snapshot; returns its path."""
-    vs = _versions(spark, path)
-    if not vs:
-        raise FileNotFoundError(f"collection {path} does not exist; create it first")
-    base = read_collection(spark, path)
-    merged = merge_points(base, new, mode)
-    nxt = f"{path.rstrip('/')}/v{int(vs[-1][1:]) + 1:06d}"
-    # a failed earlier attempt may have left this (unfinished, ignored) version
-    merged.write.mode("overwrite").parquet(nxt)
-    return nxt
+    s = _open(spark, path)
+    buckets, last = term_buckets(s), s.rows("ids").agg(F.coalesce(F.max("point_id"), F.lit(0))).first()[0]
+    n = s.claim()
+    s.write(n, "points", new.select(F.col("doc_id").cast("string").alias("doc_id"), "chunk_no", "content",
+                                    F.lit(field).alias("field"), "indices", "values"))
+    for part, df in (parts or {}).items():
+        s.write(n, part, df)
+    written = s.rows("points", [n])
+    if mode == "upsert":
+        gone = written.select("doc_id") if replaced is None else replaced.select(F.col("doc_id").cast("string").alias("doc_id"))
+        s.write(n, "gone", gone.distinct())
+        s.write(n, "ids", assign_ids(written, s.live("ids"), last))
+    else:
+        s.write(n, "ids", dense_ids(written.select(*POINT_KEYS), POINT_KEYS, last).select(*POINT_KEYS, "point_id"))
+    write_postings(s, n, written, buckets)
+    s.complete(n)
+    return n
+
+
+def write_postings(s: Deltas, n: int, written: DataFrame, buckets: int) -> None:
+    """Postings by term bucket, through a REBALANCE that splits a hot bucket over several writers."""
+    entries = written.select(*POINT_KEYS, "field", F.explode(F.arrays_zip("indices", "values")).alias("e"))
+    post = entries.select(F.col("e.indices").alias("term_index"), *POINT_KEYS, "field", F.col("e.values").alias("weight")) \
+        .withColumn("term_bucket", F.pmod("term_index", F.lit(buckets)).cast("int"))
+    s.write(n, "postings", post.hint("rebalance", "term_bucket").sortWithinPartitions("term_bucket", "term_index"), "term_bucket")
+
+
+def compact_collection(spark: SparkSession, path: str) -> int:
+    """Rewrite the live rows as one load (a separate, occasional job)."""
+    return _open(spark, path).compact({"postings": ["term_bucket"]})
 
 
 def collection_stats(points_df: DataFrame) -> DataFrame:
@@ -157,5 +177,5 @@ def collection_stats(points_df: DataFrame) -> DataFrame:
 
 def require_points(points_df: DataFrame) -> None:
     """Serving precondition: refuse an empty collection."""
-    if points_df.limit(1).count() == 0:
+    if not points_df.take(1):
         raise RuntimeError("the collection holds no points; load documents first")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.config import (BROADCAST_HITS_MAX_ROWS, BROADCAST_QUERY_TERMS_MAX_ROWS,
-                           HOT_TERM_SALTS, MAX_HOT_TERMS, SCORE_DECIMALS, Settings)
+                           HOT_TERM_SALTS, MAX_HOT_TERMS, RANK_SALTS, SCORE_DECIMALS, Settings)
 from quarry.operators import terms
 
 
@@ -14,7 +14,7 @@ def query_defaults(queries: DataFrame, settings: Settings = Settings()) -> DataF
     """``query_id, query, limit, model`` with NULL limit / model defaulted."""
     return queries.select(
         "query_id", "query",
-        F.coalesce(F.col("limit").cast("int"), F.lit(settings.default_limit)).alias("limit"),
+        F.coalesce(F.col("limit").cast("bigint"), F.lit(settings.default_limit)).alias("limit"),
         F.coalesce(F.col("model"), F.lit(settings.default_model)).alias("model"))
 
 
@@ -133,24 +133,27 @@ def search_topk(scores: DataFrame, limits: DataFrame, max_k: int | None = None,
                 n_queries: int | None = None) -> DataFrame:
     """``query_id, rank, doc_id, chunk_no, score``: best ``limit`` per query.
 
-    Ties break on ``doc_id, chunk_no``.  The literal bound lets Spark trim
-    each map task to the top ``max_k`` per query before the shuffle
-    (WindowGroupLimit), so a query that matches a huge share of the corpus
-    never gathers all its candidates in one task.
+    Ties break on ``doc_id, chunk_no``.  Two rankings, both by each query's own
+    limit: first within ``RANK_SALTS`` shares of a query's candidates, then over
+    what is left (at most ``RANK_SALTS`` x limit rows), so a query that matches a
+    huge share of the corpus never gathers all its candidates in one task,
+    whatever its limit and those of its neighbours.  The literal bound also
+    lets Spark trim each map task where it can.
     """
     if max_k is None:
         max_k = max_limit(limits)
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id", "chunk_no")
-    ranked = (scores.withColumn("rank", F.row_number().over(w))
-                    .where(F.col("rank") <= F.lit(max_k)))
     lim = limits.select("query_id", F.col("limit").alias("_lim"))
     if (n_queries <= BROADCAST_HITS_MAX_ROWS if n_queries is not None
             else _small(lim, BROADCAST_HITS_MAX_ROWS)):
         lim = F.broadcast(lim)
-    return (ranked.join(lim, "query_id")
-                  .where(F.col("rank") <= F.col("_lim"))
-                  .select("query_id", F.col("rank").cast("int").alias("rank"),
-                          "doc_id", "chunk_no", "score"))
+    order = [F.col("score").desc(), "doc_id", "chunk_no"]
+    shares = scores.join(lim, "query_id").withColumn("_share", F.pmod(F.hash("doc_id", "chunk_no"), F.lit(RANK_SALTS)))
+    best = (shares.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "_share").orderBy(*order)))
+                  .where((F.col("rank") <= F.lit(max_k)) & (F.col("rank") <= F.col("_lim"))))
+    return (best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+                .where((F.col("rank") <= F.lit(max_k)) & (F.col("rank") <= F.col("_lim")))
+                .select("query_id", F.col("rank").cast("int").alias("rank"),
+                        "doc_id", "chunk_no", "score"))
 
 
 def search_single(qvec: DataFrame, dvec: DataFrame, query_id: int, k: int) -> DataFrame:
@@ -179,7 +182,7 @@ def retrieval_coverage(hits: DataFrame, queries: DataFrame) -> DataFrame:
     n = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"))
     return (queries.select("query_id", "limit").join(n, "query_id", "left")
                    .select("query_id", F.coalesce("n_hits", F.lit(0)).cast("bigint").alias("n_hits"),
-                           F.col("limit").cast("int").alias("limit"),
+                           F.col("limit").cast("bigint").alias("limit"),
                            F.when(F.col("limit") > 0,
                                   F.round(F.coalesce("n_hits", F.lit(0)) / F.col("limit"), 6))
                             .alias("coverage")))

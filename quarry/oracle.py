@@ -12,8 +12,10 @@ from quarry.config import (BM25_AVGDL, BM25_B, BM25_K1, CONTEXT_SEPARATOR, DEFAU
                            DEFAULT_DELIMITERS, DEFAULT_MODEL, DEFAULT_SEARCH_LIMIT,
                            NO_RESPONSE_DETAIL, PROMPT_HEAD, PROMPT_MIDDLE, PROMPT_TAIL)
 from quarry.functions import lexicon
+from quarry.sources.tables import (BAD_UTF8, CHANGED_FILE_MTIME, DERIVED_FILE_MTIME, DOCUMENT_EXTENSIONS,
+                                   REQUEST_LIMITS, REQUEST_MODELS)
 
-CONV_QUERY_ID = "conv_id * 1000000 + turn"
+CONV_QUERY_ID = "CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)"
 
 
 def q(s: str) -> str:
@@ -165,20 +167,25 @@ def vectors_cte(name: str, postings: str, keys: list[str]) -> str:
 
 def benchmark_queries_cte(name: str = "queries") -> str:
     return f"""
-{name} AS (SELECT item_id AS query_id, text AS query, CAST(NULL AS INTEGER) AS "limit",
+{name} AS (SELECT item_id AS query_id, text AS query, CAST(NULL AS BIGINT) AS "limit",
                   CAST(NULL AS VARCHAR) AS model FROM benchmark)"""
 
 
+def _by_remainder(values: tuple, kind: str) -> str:
+    whens = " ".join(f"WHEN {k} THEN {q(v) if isinstance(v, str) else v}" for k, v in enumerate(values) if v is not None)
+    return f"CAST(CASE (conv_id + turn) % {len(values)} {whens} END AS {kind})"
+
+
 def conversation_queries_cte(name: str = "queries") -> str:
     return f"""
-{name} AS (SELECT {CONV_QUERY_ID} AS query_id, text AS query, CAST(NULL AS INTEGER) AS "limit",
-                  CAST(NULL AS VARCHAR) AS model FROM conversations WHERE role = 'user')"""
+{name} AS (SELECT {CONV_QUERY_ID} AS query_id, text AS query, {_by_remainder(REQUEST_LIMITS, 'BIGINT')} AS "limit",
+                  {_by_remainder(REQUEST_MODELS, 'VARCHAR')} AS model FROM conversations WHERE role = 'user')"""
 
 
 def conversation_answers_cte(name: str = "answers") -> str:
     return f"""
 {name} AS (
-  SELECT u.conv_id * 1000000 + u.turn AS query_id, a.text AS response
+  SELECT CAST(u.conv_id AS VARCHAR) || ':' || CAST(u.turn AS VARCHAR) AS query_id, a.text AS response
   FROM conversations u JOIN conversations a
     ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
   WHERE u.role = 'user')"""
@@ -194,7 +201,7 @@ def search_ctes(queries: str = "queries", source: str = "documents") -> str:
         vectors_cte("qvec", "qpost", ["query_id"]),
         f"""
 qdef AS (SELECT query_id, query, coalesce("limit", {DEFAULT_SEARCH_LIMIT}) AS "limit",
-                coalesce(model, '{DEFAULT_MODEL}') AS model FROM {queries}),
+                coalesce(model, '{DEFAULT_MODEL}') AS model FROM {queries} WHERE coalesce("limit", 0) >= 0),
 scores AS (
   SELECT q.query_id, d.doc_id, d.chunk_no, round(sum(q.weight * d.weight), 6) AS score
   FROM qvec q JOIN dvec d ON q.term_index = d.term_index
@@ -217,3 +224,45 @@ def prompt_sql(context: str, query: str) -> str:
 
 SEPARATOR_SQL = q(CONTEXT_SEPARATOR)
 NO_RESPONSE_SQL = q(NO_RESPONSE_DETAIL)
+
+
+# ---------------------------------------------------------------------------
+# Files derived from the tables
+# ---------------------------------------------------------------------------
+def files_ctes(name: str = "files", changed: bool = False) -> str:
+    """``{name}(path, mtime, length, ext, route, ok, body)`` and ``{name}_parsed(doc_id, path, ext, text, ...)``."""
+    more, bad, text, mtime = "doc_id % 3 = 0", f"doc_id % 50 = {BAD_UTF8}", "text", q(DERIVED_FILE_MTIME)
+    if changed:
+        spoilt = f"(NOT ({more}) AND doc_id % 7 = 0)"
+        bad, text = f"({bad} OR {spoilt})", f"CASE WHEN {more} THEN text || ' Amended.' ELSE text END"
+        mtime = f"CASE WHEN {more} OR {spoilt} THEN {q(CHANGED_FILE_MTIME)} ELSE {mtime} END"
+    ext = " ".join(f"WHEN {k} THEN {q(v)}" for k, v in DOCUMENT_EXTENSIONS.items())
+    return f"""
+{name}_raw AS (
+  SELECT 'corpus/' || source || '/doc-' || CAST(doc_id AS VARCHAR) || CASE doc_id % 50 {ext} ELSE '.txt' END AS path,
+         {mtime} AS mtime, {text} AS body, NOT {bad} AS ok FROM documents
+  UNION ALL
+  SELECT 'web/page-' || CAST(page_id AS VARCHAR) || '.html', {q(DERIVED_FILE_MTIME)}, html, true FROM pages
+),
+{name} AS (
+  SELECT *, CAST(strlen(body) + CASE WHEN ok THEN 0 ELSE 1 END AS BIGINT) AS length,
+         CASE WHEN ext = '' THEN 'no_extension' WHEN ext IN ('md', 'txt') THEN 'text'
+              WHEN ext = 'pdf' THEN 'no_extractor' ELSE 'unsupported' END AS route
+  FROM (SELECT *, regexp_extract(path, '\\.([^./]+)$', 1) AS ext FROM {name}_raw)
+),
+{name}_parsed AS (
+  SELECT md5(path) AS doc_id, path, ext, body AS text, length AS n_bytes, sha256(body) AS content_sha, mtime
+  FROM {name} WHERE route = 'text' AND ok
+)"""
+
+
+def points_ctes(source: str, name: str) -> str:
+    """``{name}(doc_id, chunk_no, n_entries)``: the points of ``source(doc_id, text)``."""
+    return f"""{chunks_cte(source=source, name=f'{name}_ch')},
+{postings_cte(f'{name}_po', f'{name}_ch', ['doc_id', 'chunk_no'], 'content')},
+{vectors_cte(f'{name}_ve', f'{name}_po', ['doc_id', 'chunk_no'])},
+{name} AS (SELECT doc_id, chunk_no, count(*) AS n_entries FROM {name}_ve GROUP BY doc_id, chunk_no)"""
+
+
+def numbered(source: str, after: str = "0") -> str:
+    return f"SELECT {after} + row_number() OVER (ORDER BY doc_id, chunk_no) AS point_id, * FROM {source}"

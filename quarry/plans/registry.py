@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import oracle as O
-from quarry.config import DEFAULT_MODEL, DEFAULT_SEARCH_LIMIT, Settings
+from quarry.config import CONTEXT_SEPARATOR, DEFAULT_MODEL, DEFAULT_SEARCH_LIMIT, Settings
 from quarry.functions import text as T
 from quarry.operators import chunking, collection, prompts, search, terms
 from quarry.plans import commands
@@ -45,80 +45,75 @@ def _r6(c):
 WITH_CHUNKS = f"WITH RECURSIVE {O.chunks_cte()}"
 WITH_DOC_POSTINGS = f"{WITH_CHUNKS}, {O.postings_cte('dpost', 'chunks', ['doc_id', 'chunk_no'], 'content')}"
 WITH_SEARCH_BENCH = f"WITH RECURSIVE {O.benchmark_queries_cte()}, {O.search_ctes()}"
-FILES_SQL = f"""
-files AS (
-  SELECT 'corpus/' || source || '/doc-' || CAST(doc_id AS VARCHAR) || '.txt' AS path,
-         CAST(strlen(text) AS BIGINT) AS length, text AS body
-  FROM documents
-  UNION ALL
-  SELECT 'web/page-' || CAST(page_id AS VARCHAR) || '.html', CAST(strlen(html) AS BIGINT), html FROM pages
-),
-routed AS (
-  SELECT *, regexp_extract(path, '\\.([^./]+)$', 1) AS ext FROM files
-),
-routes AS (
-  SELECT *, CASE WHEN ext = '' THEN 'no_extension' WHEN ext IN ('md', 'txt') THEN 'text'
-                 WHEN ext = 'pdf' THEN 'pdf' ELSE 'unsupported' END AS route FROM routed
-),
-parsed AS (
-  SELECT CAST(CAST('0x' || substr(md5(path), 1, 15) AS UBIGINT) AS BIGINT) AS doc_id, path, ext,
-         body AS text, length AS n_bytes, sha256(body) AS content_sha
-  FROM routes WHERE route = 'text'
-)"""
+FILES_SQL = O.files_ctes()
 
 
 # ---------------------------------------------------------------------------
 # Sources (S1-S9)
 # ---------------------------------------------------------------------------
-@register("file_manifest")
+@register("file_manifest", f"WITH {FILES_SQL} SELECT path, CAST(mtime AS TIMESTAMP) AS modified, length FROM files")
 def q_file_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    """A real directory scan (``binaryFile``, non-recursive) of the input folder."""
-    m = files.manifest(files.scan_directory(spark, sf))
-    return m.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    """The listing of the corpus files (a directory scan has the same columns)."""
+    m = files.manifest(tables.corpus_files(spark, sf))
+    return m.select("path", F.col("modificationTime").cast("timestamp_ntz").alias("modified"), "length")
 
 
-@register("file_routing", f"WITH {FILES_SQL} SELECT path, ext, route FROM routes")
+@register("file_routing", f"WITH {FILES_SQL} SELECT path, ext, route FROM files")
 def q_file_routing(spark: SparkSession, sf: str) -> DataFrame:
     return files.route(tables.corpus_files(spark, sf)).select("path", "ext", "route")
 
 
-@register("file_quarantine", f"""WITH {FILES_SQL}
-SELECT path, CASE WHEN route = 'no_extension' THEN 'no file extension'
-                  ELSE 'unsupported extension: ' || ext END AS reason
-FROM routes WHERE route IN ('unsupported', 'no_extension')""")
+SQL_QUARANTINE = """SELECT path, CASE route WHEN 'no_extension' THEN 'no file extension'
+         WHEN 'no_extractor' THEN 'no extractor for extension: ' || ext ELSE 'unsupported extension: ' || ext END AS reason
+FROM {0} WHERE route <> 'text'
+UNION ALL SELECT path, 'invalid UTF-8' FROM {0} WHERE route = 'text' AND NOT ok"""
+
+
+@register("file_quarantine", f"WITH {FILES_SQL} {SQL_QUARANTINE.format('files')}")
 def q_file_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     routed = files.route(tables.corpus_files(spark, sf))
-    _, rejected = files.read_text_files(routed)
-    return files.quarantine(routed, rejected)
+    return files.quarantine(routed, files.rejected(files.read_text_files(routed)))
 
 
-@register("read_text_files", f"WITH {FILES_SQL} SELECT doc_id, path, ext, text, n_bytes, content_sha FROM parsed")
+@register("read_text_files", f"WITH {FILES_SQL} SELECT doc_id, path, ext, text, n_bytes, content_sha FROM files_parsed")
 def q_read_text_files(spark: SparkSession, sf: str) -> DataFrame:
-    parsed, _ = files.read_text_files(files.route(tables.corpus_files(spark, sf)))
-    return parsed.select("doc_id", "path", "ext", "text", "n_bytes", "content_sha")
+    read = files.read_text_files(files.route(tables.corpus_files(spark, sf)))
+    return files.parsed(read).select("doc_id", "path", "ext", "text", "n_bytes", "content_sha")
+
+
+def _html_sql(col: str) -> str:
+    out = (f"regexp_replace({col}, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', ' ', 'g')")
+    out = f"regexp_replace({out}, '(?s)<[^>]*>', ' ', 'g')"
+    for name, char in files.HTML_ENTITIES.items():
+        out = f"replace({out}, {O.q(name)}, {O.q(char)})"
+    return f"trim(regexp_replace({out}, '[ \\t\\n\\r\\f]+', ' ', 'g'))"
 
 
-@register("extract_text")
+@register("extract_text", f"""SELECT md5('web/page-' || CAST(page_id AS VARCHAR) || '.html') AS doc_id, {_html_sql('html')} AS text,
+       CAST(strlen({_html_sql('html')}) AS BIGINT) AS n_bytes FROM pages""")
 def q_extract_text(spark: SparkSession, sf: str) -> DataFrame:
-    """The raw pages through a registered HTML extractor (``mapInPandas``)."""
-    ex = {"html": files.html_to_text}
-    parsed, rejected = files.extract_text(files.route(tables.corpus_files(spark, sf), ex), ex)
-    return parsed.select("doc_id", "path", "ext", "text", "n_bytes")
+    """The raw pages to text, in column expressions (callables: ``files.extract_text``)."""
+    read = files.read_html_files(files.route(tables.corpus_files(spark, sf)))
+    return files.parsed(read).select("doc_id", "text", "n_bytes")
 
 
-@register("incremental_diff", f"""WITH {FILES_SQL}
-SELECT f.path, f.length FROM files f ANTI JOIN parsed p ON f.path = p.path AND f.length = p.n_bytes""")
+@register("incremental_diff", f"""WITH {FILES_SQL}, {O.files_ctes('later', changed=True)}
+SELECT f.path, f.length FROM later f ANTI JOIN files_parsed p ON f.path = p.path AND f.length = p.n_bytes AND f.mtime = p.mtime""")
 def q_incremental_diff(spark: SparkSession, sf: str) -> DataFrame:
-    """Files still to ingest once the text files are parsed (the pages)."""
-    current = tables.corpus_files(spark, sf)
-    parsed, _ = files.read_text_files(files.route(current))
-    return files.incremental_diff(current, parsed).select("path", "length")
+    """What a changed folder has left to read, once the text files were parsed."""
+    parsed = files.parsed(files.read_text_files(files.route(tables.corpus_files(spark, sf))))
+    return files.incremental_diff(tables.corpus_files(spark, sf, changed=True), parsed).select("path", "length")
 
 
-@register("cache_integrity", f"WITH {FILES_SQL} SELECT path, content_sha, sha256(text) = content_sha AS ok FROM parsed")
+@register("cache_integrity", f"""WITH {FILES_SQL}
+SELECT path, content_sha, substr(doc_id, 1, 1) NOT IN ('0', '4', '8', 'c') AS ok FROM files_parsed""")
 def q_cache_integrity(spark: SparkSession, sf: str) -> DataFrame:
-    parsed, _ = files.read_text_files(files.route(tables.corpus_files(spark, sf)))
-    return files.cache_integrity(parsed)
+    """A stored parsed table in which some texts were spoilt after their hash was taken."""
+    parsed = files.parsed(files.read_text_files(files.route(tables.corpus_files(spark, sf))))
+    spoilt = F.substring("doc_id", 1, 1).isin("0", "4", "8", "c")
+    path = scratch_path(spark, "spoilt")
+    parsed.withColumn("text", F.when(spoilt, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).write.parquet(path)
+    return files.cache_integrity(spark.read.parquet(path))
 
 
 @register("text_sizes", "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, "
@@ -226,15 +221,14 @@ def q_folded_weights(spark: SparkSession, sf: str) -> DataFrame:
 @register("sparse_vectors", f"""{WITH_DOC_POSTINGS}, {O.vectors_cte('dvec', 'dpost', ['doc_id', 'chunk_no'])}
 SELECT doc_id, chunk_no, CAST(count(*) AS INTEGER) AS n_entries,
        string_agg(CAST(term_index AS VARCHAR), ',' ORDER BY term_index) AS indices,
-       arg_min(round(weight, 6), term_index) AS first_value,
-       arg_max(round(weight, 6), term_index) AS last_value
+       string_agg(CAST(CAST(round(weight * 100000) AS BIGINT) AS VARCHAR), ',' ORDER BY term_index) AS weights
 FROM dvec GROUP BY doc_id, chunk_no""")
 def q_sparse_vectors(spark: SparkSession, sf: str) -> DataFrame:
     v = terms.sparse_vectors(_index(spark, sf).vectors)
     return v.select("doc_id", "chunk_no", F.size("indices").alias("n_entries"),
                     F.array_join(F.transform("indices", lambda x: x.cast("string")), ",").alias("indices"),
-                    F.round(F.element_at("values", 1), 6).alias("first_value"),
-                    F.round(F.element_at("values", -1), 6).alias("last_value"))
+                    F.array_join(F.transform("values", lambda x: F.round(x * 100000).cast("bigint").cast("string")), ",")
+                     .alias("weights"))
 
 
 @register("embed_chunks", f"""{WITH_DOC_POSTINGS}
@@ -260,7 +254,7 @@ def q_embed_queries(spark: SparkSession, sf: str) -> DataFrame:
 # Search (J1-J3, A5-A9, P2-P4)
 # ---------------------------------------------------------------------------
 @register("query_defaults", f"""WITH {O.conversation_queries_cte()}
-SELECT query_id, query, CAST(coalesce("limit", {DEFAULT_SEARCH_LIMIT}) AS INTEGER) AS "limit",
+SELECT query_id, query, CAST(coalesce("limit", {DEFAULT_SEARCH_LIMIT}) AS BIGINT) AS "limit",
        coalesce(model, '{DEFAULT_MODEL}') AS model FROM queries""")
 def q_query_defaults(spark: SparkSession, sf: str) -> DataFrame:
     return search.query_defaults(tables.conversation_queries(spark, sf), S)
@@ -281,6 +275,21 @@ def q_search_topk(spark: SparkSession, sf: str) -> DataFrame:
     return retrieve(tables.benchmark_queries(spark, sf), _index(spark, sf), S).hits
 
 
+@register("search_requests", f"""WITH RECURSIVE {O.conversation_queries_cte()}, {O.search_ctes()}
+SELECT query_id, rank, doc_id, chunk_no, score FROM hits""")
+def q_search_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """User turns that ask for 0, 1, 5, 1500 and the default number of hits; bad requests get none."""
+    a = retrieve(tables.conversation_queries(spark, sf), _index(spark, sf), S)
+    return a.hits.select("query_id", "rank", "doc_id", "chunk_no", "score")
+
+
+@register("search_shuffled", f"{WITH_SEARCH_BENCH} SELECT query_id, rank, doc_id, chunk_no, score FROM hits")
+def q_search_shuffled(spark: SparkSession, sf: str) -> DataFrame:
+    """The shuffle join with salted hot terms that large query batches take."""
+    a = retrieve(tables.benchmark_queries(spark, sf), _index(spark, sf), S, force_shuffle=True)
+    return a.hits.select("query_id", "rank", "doc_id", "chunk_no", "score")
+
+
 @register("search_single", f"""{WITH_SEARCH_BENCH}
 SELECT query_id, doc_id, chunk_no, score FROM scores
 WHERE query_id = (SELECT min(query_id) FROM queries)
@@ -294,7 +303,7 @@ def q_search_single(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("retrieval_coverage", f"""{WITH_SEARCH_BENCH}
-SELECT q.query_id, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hits, CAST(q."limit" AS INTEGER) AS "limit",
+SELECT q.query_id, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hits, CAST(q."limit" AS BIGINT) AS "limit",
        CASE WHEN q."limit" > 0 THEN round(coalesce(h.n, 0) / q."limit", 6) END AS coverage
 FROM qdef q LEFT JOIN (SELECT query_id, count(*) AS n FROM hits GROUP BY query_id) h USING (query_id)""")
 def q_retrieval_coverage(spark: SparkSession, sf: str) -> DataFrame:
@@ -326,11 +335,24 @@ def q_prompts(spark: SparkSession, sf: str) -> DataFrame:
     return retrieve(tables.benchmark_queries(spark, sf), _index(spark, sf), S).prompts
 
 
-@register("responses")
+@register("request_prompts", f"""WITH RECURSIVE {O.conversation_queries_cte()}, {O.search_ctes()}, {SQL_CONTEXTS}
+SELECT q.query_id, q.model, c.n_hits, md5({O.prompt_sql('c.context', 'q.query')}) AS prompt_md5 FROM qdef q JOIN ctx c USING (query_id)""")
+def q_request_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """Q3 + Q4: prompts of requests with models of their own; a bad request gets no prompt."""
+    a = retrieve(tables.conversation_queries(spark, sf), _index(spark, sf), S)
+    return a.prompts.join(a.contexts.select("query_id", "n_hits"), "query_id") \
+        .select("query_id", "model", "n_hits", F.md5(F.encode("prompt", "UTF-8")).alias("prompt_md5"))
+
+
+@register("responses", f"""WITH RECURSIVE {O.conversation_queries_cte()}, {O.conversation_answers_cte()}, {O.search_ctes()}, {SQL_CONTEXTS}
+SELECT q.query_id, a.response, c.n_hits AS n_retrieved, md5(c.context) AS retrieved_md5
+FROM qdef q JOIN answers a USING (query_id) JOIN ctx c USING (query_id) WHERE a.response IS NOT NULL""")
 def q_responses(spark: SparkSession, sf: str) -> DataFrame:
-    """Q6: conversation user turns answered by the following assistant turn."""
+    """Q5 + Q6: user turns answered by the following assistant turn, with the digest of their retrieved texts."""
     a = retrieve(tables.conversation_queries(spark, sf), _index(spark, sf), S)
-    return prompts.responses(tables.conversation_answers(spark, sf), a.hits, a.queries)
+    r = prompts.responses(tables.conversation_answers(spark, sf), a.hits, a.queries)
+    return r.select("query_id", "response", F.size("retrieved").alias("n_retrieved"),
+                    F.md5(F.encode(F.array_join("retrieved", CONTEXT_SEPARATOR), "UTF-8")).alias("retrieved_md5"))
 
 
 @register("query_errors", f"""WITH {O.conversation_queries_cte()}, {O.conversation_answers_cte()}
@@ -355,10 +377,10 @@ def _points(spark, sf):
 
 WITH_POINTS = f"""{WITH_DOC_POSTINGS}, {O.vectors_cte('dvec', 'dpost', ['doc_id', 'chunk_no'])},
 pts AS (SELECT doc_id, chunk_no, count(*) AS n_entries FROM dvec GROUP BY doc_id, chunk_no),
-ids AS (SELECT row_number() OVER (ORDER BY doc_id, chunk_no) AS point_id, doc_id, chunk_no, n_entries FROM pts)"""
+ids AS ({O.numbered('(SELECT CAST(doc_id AS VARCHAR) AS doc_id, chunk_no, n_entries FROM pts)')})"""
 
 
-@register("point_ids", f"{WITH_POINTS} SELECT point_id, doc_id, chunk_no FROM ids")
+@register("point_ids", f"{WITH_POINTS} SELECT point_id, doc_id, chunk_no FROM ({O.numbered('pts')})")
 def q_point_ids(spark: SparkSession, sf: str) -> DataFrame:
     """K4: dense ids 1..N in (doc_id, chunk_no) order for a fresh collection."""
     p = _points(spark, sf).select("doc_id", "chunk_no")
@@ -382,6 +404,16 @@ def _loaded_collection(spark, sf, mode: str, loads: int) -> DataFrame:
     return collection.read_collection(spark, path)
 
 
+@register("collection_create", f"{WITH_POINTS} SELECT true AS created, false AS created_again, count(*) AS n_points FROM ids")
+def q_collection_create(spark: SparkSession, sf: str) -> DataFrame:
+    """K2: created once, left alone the second time; the load then finds it."""
+    path = scratch_path(spark, "collection")
+    first, second = collection.create_collection(spark, path), collection.create_collection(spark, path)
+    collection.upsert_collection(spark, path, _points(spark, sf))
+    return collection.read_collection(spark, path).agg(F.count(F.lit(1)).alias("n_points")) \
+        .select(F.lit(first).alias("created"), F.lit(second).alias("created_again"), "n_points")
+
+
 @register("collection_stats", f"""{WITH_POINTS}
 SELECT count(*) AS n_points, count(DISTINCT doc_id) AS n_docs, CAST(sum(n_entries) AS BIGINT) AS n_entries FROM ids""")
 def q_collection_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -404,29 +436,127 @@ def q_collection_append(spark: SparkSession, sf: str) -> DataFrame:
     return _loaded_collection(spark, sf, "append", 2).select("point_id", "doc_id", "chunk_no")
 
 
-@register("load_command", f"""WITH RECURSIVE {FILES_SQL}, {O.chunks_cte(source='parsed')},
-{O.postings_cte('dpost', 'chunks', ['doc_id', 'chunk_no'], 'content')},
-{O.vectors_cte('dvec', 'dpost', ['doc_id', 'chunk_no'])},
-pts AS (SELECT doc_id, chunk_no, count(*) AS n_entries FROM dvec GROUP BY doc_id, chunk_no),
-ids AS (SELECT row_number() OVER (ORDER BY doc_id, chunk_no) AS point_id, doc_id, chunk_no, n_entries FROM pts)
-SELECT point_id, doc_id, chunk_no, n_entries FROM ids""")
-def q_load_command(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole ``load`` command over the corpus files: route, quarantine the
-    pages (no extractor), parse the text files, chunk, embed, create and fill
-    a collection; returns the collection."""
-    coll, parsed = scratch_path(spark, "load-collection"), scratch_path(spark, "load-parsed")
-    commands.load_files(spark, tables.corpus_files(spark, sf), coll, parsed, S)
-    c = collection.read_collection(spark, coll)
+@register("collection_shrink_append", f"""{WITH_POINTS}
+SELECT point_id, doc_id, chunk_no FROM ids WHERE CAST(doc_id AS BIGINT) % 2 = 1 OR chunk_no = 0
+UNION ALL SELECT point_id + (SELECT count(*) FROM ids), doc_id, chunk_no FROM ids""")
+def q_collection_shrink_append(spark: SparkSession, sf: str) -> DataFrame:
+    """K3 + K4: documents that shrink to one chunk keep its id, and a later append never meets a given id again."""
+    path = scratch_path(spark, "collection")
+    collection.create_collection(spark, path)
+    pts = _points(spark, sf)
+    collection.upsert_collection(spark, path, pts)
+    even = pts.where("doc_id % 2 = 0")
+    collection.upsert_collection(spark, path, even.where("chunk_no = 0"), replaced=even.select("doc_id"))
+    collection.upsert_collection(spark, path, pts, "append")
+    return collection.read_collection(spark, path).select("point_id", "doc_id", "chunk_no")
+
+
+@register("collection_compact", f"{WITH_POINTS} SELECT point_id, doc_id, chunk_no, n_entries FROM ids")
+def q_collection_compact(spark: SparkSession, sf: str) -> DataFrame:
+    """K3: two loads of everything, then one compacted load in their place."""
+    path = scratch_path(spark, "collection")
+    collection.create_collection(spark, path)
+    for _ in range(2):
+        collection.upsert_collection(spark, path, _points(spark, sf))
+    collection.compact_collection(spark, path)
+    c = collection.read_collection(spark, path)
     return c.select("point_id", "doc_id", "chunk_no", F.size("indices").cast("bigint").alias("n_entries"))
 
 
-@register("serve_command", f"""WITH RECURSIVE {FILES_SQL}, {O.benchmark_queries_cte()},
-{O.search_ctes(source='parsed')}
-SELECT query_id, rank, doc_id, chunk_no, score, content FROM hits""")
+WITH_LOADED = f"WITH RECURSIVE {FILES_SQL}, {O.points_ctes('files_parsed', 'pts')}, ids AS ({O.numbered('pts')})"
+SQL_LOADED = f"{WITH_LOADED} SELECT point_id, doc_id, chunk_no, n_entries FROM ids"
+
+
+def _stored(spark, path) -> DataFrame:
+    return collection.read_collection(spark, path) \
+        .select("point_id", "doc_id", "chunk_no", F.size("indices").cast("bigint").alias("n_entries"))
+
+
+def _paths(spark, name):
+    return scratch_path(spark, f"{name}-collection"), scratch_path(spark, f"{name}-parsed")
+
+
+@register("load_command", SQL_LOADED)
+def q_load_command(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole ``load`` command over the corpus files: route, quarantine what cannot be read,
+    parse the text files, chunk, embed, create and fill a collection; returns the collection."""
+    coll, parsed = _paths(spark, "load")
+    commands.load_files(spark, tables.corpus_files(spark, sf), coll, parsed, S)
+    return _stored(spark, coll)
+
+
+@register("load_second_collection", SQL_LOADED)
+def q_load_second_collection(spark: SparkSession, sf: str) -> DataFrame:
+    """A second collection over the same parsed table gets every text from it."""
+    coll, parsed = _paths(spark, "first")
+    other, _ = _paths(spark, "second")
+    for c in (coll, other):
+        commands.load_files(spark, tables.corpus_files(spark, sf), c, parsed, S)
+    return _stored(spark, other)
+
+
+@register("load_append_twice", f"""{WITH_LOADED}
+SELECT point_id, doc_id, chunk_no, n_entries FROM ids
+UNION ALL SELECT point_id + (SELECT count(*) FROM ids), doc_id, chunk_no, n_entries FROM ids""")
+def q_load_append_twice(spark: SparkSession, sf: str) -> DataFrame:
+    """K5: the same folder loaded twice in append mode is there twice."""
+    coll, parsed = _paths(spark, "append")
+    for _ in range(2):
+        commands.load_files(spark, tables.corpus_files(spark, sf), coll, parsed, S, mode="append")
+    return _stored(spark, coll)
+
+
+@register("load_full_refresh", f"""WITH RECURSIVE {FILES_SQL},
+read AS (SELECT doc_id, text FROM files_parsed UNION ALL SELECT md5(path), body FROM files WHERE ext = 'html'),
+{O.points_ctes('read', 'pts')}
+SELECT r.doc_id, 1 AS n_versions, sha256(r.text) AS content_sha, coalesce(p.n, 0) AS n_points
+FROM read r LEFT JOIN (SELECT doc_id, count(*) AS n FROM pts GROUP BY doc_id) p USING (doc_id)""")
+def q_load_full_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """S7 + K1: a corrected extractor and a full refresh: the new text wins, one row a version in the parsed table."""
+    coll, parsed = _paths(spark, "refresh")
+    got = tables.corpus_files(spark, sf)
+    commands.load_files(spark, got, coll, parsed, S, extractors={"html": lambda raw: "an early and wrong text"})
+    commands.load_files(spark, got, coll, parsed, S, extractors={"html": lambda raw: raw.decode()}, full_refresh=True)
+    points = collection.read_collection(spark, coll).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_points"))
+    rows = commands.parsed_table(spark, parsed).live("texts")
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n_versions"), F.max("content_sha").alias("content_sha")) \
+        .join(points, "doc_id", "left").select("doc_id", "n_versions", "content_sha", F.coalesce("n_points", F.lit(0)).alias("n_points"))
+
+
+WITH_CHANGED = f"""{WITH_LOADED}, {O.files_ctes('later', changed=True)}, {O.points_ctes('later_parsed', 'now')},
+kept AS (SELECT i.point_id, n.* FROM now n JOIN ids i USING (doc_id, chunk_no)),
+fresh AS ({O.numbered('(SELECT * FROM now ANTI JOIN ids USING (doc_id, chunk_no))', '(SELECT count(*) FROM ids)')})"""
+
+
+@register("load_changed_documents", f"""{WITH_CHANGED}
+SELECT point_id, doc_id, chunk_no, n_entries FROM kept UNION ALL SELECT point_id, doc_id, chunk_no, n_entries FROM fresh""")
+def q_load_changed_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """S6 + J5: a folder whose files change, some into unreadable ones: no old text stays."""
+    coll, parsed = _paths(spark, "changed")
+    for changed in (False, True):
+        commands.load_files(spark, tables.corpus_files(spark, sf, changed), coll, parsed, S)
+    return _stored(spark, coll)
+
+
+@register("load_quarantine", f"WITH {O.files_ctes('later', changed=True)} {SQL_QUARANTINE.format('later')}")
+def q_load_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """S3: the stored report of the second load, unreadable files that were loaded before among them."""
+    coll, parsed = _paths(spark, "quarantine")
+    for changed in (False, True):
+        n = commands.load_files(spark, tables.corpus_files(spark, sf, changed), coll, parsed, S, full_refresh=True)["load"]
+    return collection.store(spark, coll).rows("quarantine", [n]).select("path", "reason")
+
+
+SQL_SERVED = f"""WITH RECURSIVE {FILES_SQL}, {O.benchmark_queries_cte()},
+{O.search_ctes(source='files_parsed')}
+SELECT query_id, rank, doc_id, chunk_no, score, content FROM hits"""
+
+
+@register("serve_command", SQL_SERVED)
 def q_serve_command(spark: SparkSession, sf: str) -> DataFrame:
     """``load`` the corpus files into a collection, then ``serve`` the
-    benchmark queries from that collection (non-empty check included)."""
-    coll, parsed = scratch_path(spark, "serve-collection"), scratch_path(spark, "serve-parsed")
+    benchmark queries from its postings (non-empty check included)."""
+    coll, parsed = _paths(spark, "serve")
     commands.load_files(spark, tables.corpus_files(spark, sf), coll, parsed, S)
     return commands.serve(spark, coll, tables.benchmark_queries(spark, sf), S).hits
 
@@ -449,6 +579,19 @@ def q_stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("doc_id", "chunk_no", "term", "term_index", "tf", "dl", _r6("weight"))
 
 
+SQL_STREAM_LOADED = f"""WITH RECURSIVE {FILES_SQL}, docs AS (SELECT * FROM files_parsed), {O.points_ctes('docs', 'pts')}
+SELECT doc_id, chunk_no, n_entries FROM pts"""
+
+
+@register("stream_load_command", SQL_STREAM_LOADED)
+def q_stream_load_command(spark: SparkSession, sf: str) -> DataFrame:
+    """T1 + K3: files that arrive as a stream, each micro-batch a load of its own."""
+    coll, parsed = _paths(spark, "stream")
+    arriving = tables.document_files(_stream_table(spark, sf, "documents"))
+    commands.stream_files(arriving, coll, parsed, scratch_path(spark, "stream-ckpt"), S).awaitTermination()
+    return _stored(spark, coll).drop("point_id")
+
+
 @register("stream_search", SQL_SEARCH_TOPK)
 def q_stream_search(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark queries as a stream, answered against the static index."""

@@ -7,16 +7,20 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.config import DEFAULT_TERM_BUCKETS, PUSHDOWN_MAX_QUERY_TERMS, Settings
+from quarry.config import BROADCAST_HITS_MAX_ROWS, DEFAULT_TERM_BUCKETS, PUSHDOWN_MAX_QUERY_TERMS, Settings
 from quarry.operators import chunking, prompts, search, terms
+from quarry.session import checkpoint_dir
+from quarry.sources.deltas import Deltas
 
 
 @dataclass
 class Index:
     chunks: DataFrame     # doc_id, chunk_no, content, n_bytes
     postings: DataFrame   # doc_id, chunk_no, lang, term, tf, dl, term_index, weight
-    vectors: DataFrame    # doc_id, chunk_no, term_index, weight (folded by index)
+    vectors: DataFrame | None   # doc_id, chunk_no, term_index, weight (folded by index)
     term_buckets: int | None = None   # set when postings carry term_bucket
+    settings: Settings | None = None  # set when postings can be made again from stored chunks
+    docs: DataFrame | None = None     # doc_id, text: set when the chunks are not stored
 
     @property
     def search_side(self) -> DataFrame:
@@ -34,46 +38,42 @@ def build_index(docs: DataFrame, settings: Settings = Settings(), key: str = "do
     if key != "doc_id":
         chunks = chunks.withColumnRenamed(key, "doc_id")
     postings = terms.embed(chunks, terms.CHUNK_KEYS, "content", settings)
-    return Index(chunks, postings, search.chunk_vectors(postings))
-
-
-def load_index(chunks: DataFrame, postings: DataFrame, term_buckets: int | None = None) -> Index:
-    """An index from stored ``chunks`` and ``postings`` tables."""
-    return Index(chunks, postings, search.chunk_vectors(postings.drop("term_bucket")), term_buckets)
+    return Index(chunks, postings, search.chunk_vectors(postings), settings=settings,
+                 docs=docs.select(F.col(key).alias("doc_id"), F.col(text_col).alias("text")))
 
 
 def write_index(index: Index, path: str, n_buckets: int = DEFAULT_TERM_BUCKETS) -> None:
     """Store chunks and postings; postings are partitioned by ``term_bucket``.
 
-    The postings go through a ``REBALANCE`` on ``term_bucket``: adaptive
-    execution splits a bucket that is too large (a term held by a third of
-    all chunks) over several tasks and merges small ones to the advisory
-    size, so file sizes follow the data.  Files are sorted by term (tight
-    parquet min/max per row group).  The chunks are persisted during the two
-    writes so cutting runs once (a lost block is recomputed from lineage);
-    the written tables then cut the lineage for serving.
+    Chunks are written first and the postings made from what was written, so the
+    corpus is cut once and the work needs no executor-local copy.  The postings
+    (only the columns that search reads) go through a ``REBALANCE`` on
+    ``term_bucket``: adaptive execution splits a bucket that is too large (a term
+    held by a third of all chunks) over several tasks and merges small ones.
+    Files are sorted by term (tight parquet min/max per row group).  Every write
+    is a load of its own: readers see the last complete one.
     """
-    from pyspark import StorageLevel
-    index.chunks.persist(StorageLevel.MEMORY_AND_DISK)
-    index.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-    bucket = F.pmod(F.col("term_index"), F.lit(n_buckets)).cast("int")
-    (index.postings.withColumn("term_bucket", bucket)
-          .hint("rebalance", "term_bucket")
-          .sortWithinPartitions("term_bucket", "term_index", "doc_id", "chunk_no")
-          .write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/postings_b{n_buckets}"))
-    index.chunks.unpersist()
+    d = Deltas(index.chunks.sparkSession, path, ["doc_id"])
+    n = d.claim()
+    d.write(n, "chunks", index.chunks)
+    chunks = d.rows("chunks", [n]).drop("load")
+    postings = terms.embed(chunks.repartition("doc_id", "chunk_no"), terms.CHUNK_KEYS, "content", index.settings) \
+        if index.settings else index.postings
+    post = (postings.select("doc_id", "chunk_no", "term_index", "weight")
+            .withColumn("term_bucket", F.pmod(F.col("term_index"), F.lit(n_buckets)).cast("int"))
+            .hint("rebalance", "term_bucket").sortWithinPartitions("term_bucket", "term_index"))
+    d.write(n, "postings", post, "term_bucket")
+    d.write(n, "settings", d.spark.createDataFrame([(n_buckets,)], "n_buckets int"))
+    d.complete(n, base=True)
 
 
 def read_index(spark, path: str) -> Index:
-    """Open an index written by :func:`write_index`."""
-    from quarry.operators.collection import _fs
-    fs, p, jvm = _fs(spark, path)
-    names = [st.getPath().getName() for st in fs.listStatus(p)]
-    post = [n for n in names if n.startswith("postings_b")]
-    if not post:
+    """Open the last complete index written by :func:`write_index`."""
+    d = Deltas(spark, path, ["doc_id"])
+    if not d.exists():
         raise FileNotFoundError(f"no postings under {path}")
-    n_buckets = int(post[0][len("postings_b"):])
-    return load_index(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/{post[0]}"), n_buckets)
+    n_buckets = d.rows("settings").first()["n_buckets"]
+    return Index(d.rows("chunks").drop("load"), d.rows("postings").drop("load"), None, n_buckets)
 
 
 @dataclass
@@ -86,8 +86,12 @@ class Answered:
 
 def retrieve(queries: DataFrame, index: Index, settings: Settings = Settings(),
              force_shuffle: bool = False) -> Answered:
-    """A whole batch of queries: embed, score, rank, fetch content, build prompts."""
-    qd = search.query_defaults(queries, settings)
+    """A whole batch of queries: embed, score, rank, fetch content, build prompts.
+
+    Requests with a negative limit are no queries: they get error rows
+    (``prompts.query_errors``) and neither hits nor prompts.
+    """
+    qd = search.query_defaults(queries, settings).where(F.col("limit") >= 0)
     bounds = search.batch_bounds(qd)
     qvec = search.query_vectors(qd, settings)
     side = index.search_side
@@ -97,6 +101,16 @@ def retrieve(queries: DataFrame, index: Index, settings: Settings = Settings(),
                                   force_shuffle=force_shuffle, term_buckets=index.term_buckets)
     limits = qd.select("query_id", "limit")
     ranked = search.search_topk(scores, limits, bounds["max_k"], bounds["n_queries"])
-    hits = search.attach_content(ranked, index.chunks, bounds["n_queries"] * bounds["max_k"])
+    chunks, most = index.chunks, bounds["n_queries"] * bounds["max_k"]
+    if index.docs is not None and not index.docs.isStreaming:
+        # chunks that are not stored: fix the ranked keys, then cut the documents hit again, not the corpus
+        checkpoint_dir(ranked.sparkSession)
+        ranked = ranked.checkpoint()
+        found = ranked.select("doc_id").distinct()
+        if most <= BROADCAST_HITS_MAX_ROWS:
+            found = F.broadcast(found)
+        chunks = chunking.chunk_documents(index.docs.join(found, "doc_id", "left_semi"), settings.chunk_size,
+                                          settings.delimiters, spread=False)
+    hits = search.attach_content(ranked, chunks, most)
     ctx = prompts.retrieval_context(hits, qd)
     return Answered(qd, hits, ctx, prompts.prompts(ctx, qd))

@@ -51,7 +51,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
         if not _is_local(spark):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if _LOCAL_DIR is None:
             _LOCAL_DIR = tempfile.mkdtemp(prefix="quarry-ckpt-", dir="/tmp")
         d = _LOCAL_DIR

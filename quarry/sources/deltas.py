@@ -1,0 +1,89 @@
+"""A table kept as loads: each adds rows and names the keys whose earlier rows it replaces.
+
+Layout under ``path``: ``<part>/load=N/`` (rows of a part, any number of parts),
+``gone/load=N/`` (replaced keys) and an empty file ``loads/N`` once load N is
+complete.  Nothing that was written is rewritten: a load costs what it adds.  A
+number is claimed by creating a file that must not exist, so two writers never
+share one; a load without its completion file is never read.  ``compact`` writes
+the rows still live as one load, from which readers then start.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+class Deltas:
+    def __init__(self, spark: SparkSession, path: str, keys: list[str]):
+        self.spark, self.path, self.keys = spark, path.rstrip("/"), list(keys)
+        self._jvm = spark.sparkContext._jvm
+        self._fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _names(self, folder: str) -> list[str]:
+        p = self._at(folder)
+        return [s.getPath().getName() for s in self._fs.listStatus(p)] if self._fs.exists(p) else []
+
+    def loads(self) -> list[int]:
+        """Numbers of the complete loads, from the latest compacted one on."""
+        done = sorted(int(n) for n in self._names("loads") if n.isdigit())
+        base = max((int(n) for n in self._names("bases") if n.isdigit() and int(n) in done), default=0)
+        return [n for n in done if n >= base]
+
+    def exists(self) -> bool:
+        return bool(self._names("loads"))
+
+    def claim(self) -> int:
+        """A load number that no one else has."""
+        n = max((int(x) for x in self._names("claims") if x.isdigit()), default=0) + 1
+        while True:
+            try:
+                self._fs.create(self._at(f"claims/{n}"), False).close()
+                return n
+            except Exception as e:  # noqa: BLE001 - another writer took it
+                if not self._fs.exists(self._at(f"claims/{n}")):
+                    raise e
+                n += 1
+
+    def write(self, n: int, part: str, df: DataFrame, *partition_by: str) -> None:
+        w = df.write.mode("overwrite")
+        (w.partitionBy(*partition_by) if partition_by else w).parquet(f"{self.path}/{part}/load={n}")
+
+    def complete(self, n: int, base: bool = False) -> None:
+        if base:
+            self._fs.create(self._at(f"bases/{n}"), True).close()
+        self._fs.create(self._at(f"loads/{n}"), True).close()
+
+    def has(self, part: str) -> bool:
+        return any(self._fs.exists(self._at(f"{part}/load={n}")) for n in self.loads())
+
+    def rows(self, part: str, loads: list[int] | None = None) -> DataFrame:
+        """All rows of a part with their ``load``, replaced ones too."""
+        there = [n for n in (self.loads() if loads is None else loads) if self._fs.exists(self._at(f"{part}/load={n}"))]
+        if not there:
+            raise FileNotFoundError(f"{self.path} holds no {part}; create it first")
+        return self.spark.read.option("basePath", f"{self.path}/{part}").parquet(*[f"{self.path}/{part}/load={n}" for n in there])
+
+    def live(self, part: str) -> DataFrame:
+        """The rows that no later load has replaced, with their ``load``."""
+        loads = self.loads()
+        rows = self.rows(part, loads)
+        later = [n for n in loads[1:] if self._fs.exists(self._at(f"gone/load={n}"))]
+        if not later:
+            return rows
+        gone = self.rows("gone", later).groupBy(*self.keys).agg(F.max("load").alias("_gone"))
+        return rows.join(gone, self.keys, "left").where("_gone IS NULL OR _gone <= load").drop("_gone")
+
+    def compact(self, partition_by: dict[str, list[str]] | None = None) -> int:
+        """One load of everything that is live; returns its number."""
+        n = self.claim()
+        for part in [p for p in self._names("") if p not in ("loads", "claims", "bases", "gone")]:
+            if self.has(part):
+                keyed = set(self.keys) <= set(self.rows(part).columns)
+                rows = self.live(part).drop("load") if keyed else self.rows(part).drop("load").distinct()
+                self.write(n, part, rows, *(partition_by or {}).get(part, []))
+        self.complete(n, base=True)
+        return n

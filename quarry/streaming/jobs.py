@@ -69,29 +69,39 @@ def rate_audit(events: DataFrame, window: str = "1 minute",
                     F.greatest(F.col("n") - F.lit(limit), F.lit(0)).alias("throttled"))
 
 
+DAY_MICROS = 86_400_000_000
+
+
+def _instant(col: str):
+    """The instant whose UTC wall clock shows the NTZ value."""
+    return F.expr(f"timestamp_micros(CAST(datediff(CAST({col} AS DATE), DATE'1970-01-01') AS BIGINT) * {DAY_MICROS}"
+                  f" + hour({col}) * 3600000000L + minute({col}) * 60000000L + CAST(extract(SECOND FROM {col}) * 1000000 AS BIGINT))")
+
+
+def _wall_clock(col: str):
+    """The UTC wall clock of an instant, as NTZ."""
+    return F.expr(f"CAST(date_add(DATE'1970-01-01', CAST(floor(unix_micros({col}) / {DAY_MICROS}) AS INT)) AS TIMESTAMP_NTZ)"
+                  f" + make_dt_interval(0, 0, 0, CAST(pmod(unix_micros({col}), {DAY_MICROS}) AS DECIMAL(18, 0)) / 1000000)")
+
+
 def rate_audit_stream(events_stream: DataFrame, sink: str, checkpoint: str,
                       window: str = "1 minute", limit: int = DEFAULT_RATE_LIMIT_PER_MINUTE,
-                      watermark: str = "10 minutes", available_now: bool = True):
+                      watermark: str = "10 minutes", available_now: bool = True,
+                      client_col: str = "user_id", ts_col: str = "ts"):
     """Streaming audit in update mode; each batch appends changed windows.
 
-    A ``TIMESTAMP_NTZ`` ``ts`` is read as UTC wall-clock time and turned into
-    a TIMESTAMP (watermarks refuse NTZ), so windows align with the batch
-    audit whatever the session time zone; ``window_start`` is written back as
-    NTZ.  Rows later than the watermark are dropped by Spark.  Read the result
-    with :func:`read_rate_audit`, which keeps the latest count per window.
+    A ``TIMESTAMP_NTZ`` column is read as UTC wall-clock time and turned into
+    a TIMESTAMP (watermarks refuse NTZ) field by field, without the session's time
+    zone, so windows align with the batch audit in any zone, daylight saving
+    included; ``window_start`` is written back as NTZ.  Rows later than the
+    watermark are dropped by Spark.  Read the result with
+    :func:`read_rate_audit`, which keeps the latest count per window.
     """
-    tz = events_stream.sparkSession.conf.get("spark.sql.session.timeZone")
-    ts_type = dict(events_stream.dtypes).get("ts")
-    if ts_type == "timestamp_ntz":
-        # instant whose UTC wall clock equals the NTZ value
-        ev = events_stream.withColumn("ts", F.from_utc_timestamp(F.col("ts").cast("timestamp"), tz))
-    else:
-        ev = events_stream
-    ev = ev.withWatermark("ts", watermark)
-    audit = rate_audit(ev, window, limit)
-    if ts_type == "timestamp_ntz":
-        audit = audit.withColumn("window_start",
-                                 F.to_utc_timestamp("window_start", tz).cast("timestamp_ntz"))
+    wall_clock = dict(events_stream.dtypes)[ts_col] == "timestamp_ntz"
+    ev = events_stream.withColumn(ts_col, _instant(ts_col)) if wall_clock else events_stream
+    audit = rate_audit(ev.withWatermark(ts_col, watermark), window, limit, client_col, ts_col)
+    if wall_clock:
+        audit = audit.withColumn("window_start", _wall_clock("window_start"))
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         _write_batch(batch, sink, batch_id)

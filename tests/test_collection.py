@@ -55,25 +55,65 @@ def test_dense_ids_contiguous_in_key_order(spark, pts):
     assert [r.point_id for r in ids] == list(range(101, 101 + len(ids)))
 
 
-def test_upsert_replaces_changed_points(spark, pts):
+def test_upsert_replaces_whole_documents(spark, pts):
     path = scratch_path(spark, "coll")
     collection.create_collection(spark, path)
     collection.upsert_collection(spark, path, pts)
-    changed = pts.limit(3).withColumn("content", F.lit("changed"))
+    before = {(r.doc_id, r.chunk_no): r.point_id for r in collection.read_collection(spark, path).collect()}
+    one = str(max(pts.groupBy("doc_id").count().collect(), key=lambda r: r["count"]).doc_id)
+    changed = pts.where(F.col("doc_id") == one).where("chunk_no < 2").withColumn("content", F.lit("changed"))
     collection.upsert_collection(spark, path, changed)
-    c = collection.read_collection(spark, path)
-    assert c.count() == pts.count()
-    assert c.where(F.col("content") == "changed").count() == 3
-    assert c.select("point_id").distinct().count() == pts.count()
+    after = collection.read_collection(spark, path).collect()
+    assert [r.content for r in after if r.doc_id == one] == ["changed"] * 2
+    want = {k: v for k, v in before.items() if k[0] != one or k[1] < 2}
+    assert {(r.doc_id, r.chunk_no): r.point_id for r in after} == want
+    # a document without new points goes altogether
+    collection.upsert_collection(spark, path, changed.limit(0), replaced=changed.select("doc_id"))
+    assert collection.read_collection(spark, path).where(F.col("doc_id") == one).count() == 0
 
 
-def test_unfinished_snapshot_is_ignored_and_replaced(spark, pts):
+def test_ids_are_never_given_twice(spark, pts):
+    path = scratch_path(spark, "coll")
+    collection.create_collection(spark, path)
+    few = pts.orderBy("doc_id", "chunk_no").limit(4).checkpoint()
+    collection.upsert_collection(spark, path, few)
+    collection.upsert_collection(spark, path, few.where("chunk_no = 0"))
+    collection.upsert_collection(spark, path, few, "append")
+    ids = [r.point_id for r in collection.read_collection(spark, path).collect()]
+    assert len(ids) == len(set(ids)) and max(ids) == 8
+
+
+def size_of(path):
     import os
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names)
+
+
+def test_a_small_load_writes_little_and_an_unfinished_one_is_ignored(spark, pts):
     path = scratch_path(spark, "coll")
     collection.create_collection(spark, path)
-    os.makedirs(os.path.join(path, "v000002"))          # a write that died before _SUCCESS
-    with open(os.path.join(path, "v000002", "part-broken.parquet"), "w") as f:
-        f.write("not parquet")
-    assert collection.read_collection(spark, path).count() == 0
     collection.upsert_collection(spark, path, pts)
+    whole = size_of(path)
+    one = pts.where(F.col("doc_id") == pts.first().doc_id).checkpoint()
+    collection.upsert_collection(spark, path, one)
+    assert size_of(path) - whole < whole / 4
+    s = collection.store(spark, path)
+    n = s.claim()
+    s.write(n, "points", spark.createDataFrame([("x", 0, "lost", "text", [1], [1.0])], collection.POINTS))  # never completed
+    assert s.claim() == n + 1
     assert collection.read_collection(spark, path).count() == pts.count()
+    collection.compact_collection(spark, path)
+    assert len(s.loads()) == 1 and collection.read_collection(spark, path).count() == pts.count()
+
+
+def test_fields_are_searched_apart(spark, pts):
+    from quarry.plans import commands
+    path = scratch_path(spark, "coll")
+    collection.create_collection(spark, path)
+    three = pts.orderBy("doc_id", "chunk_no").limit(3).checkpoint()
+    collection.upsert_collection(spark, path, three, field="title")
+    assert collection.read_collection(spark, path).count() == 0
+    assert collection.read_collection(spark, path, "title").count() == 3
+    q = spark.createDataFrame([(1, three.first().content, None, None)], "query_id long, query string, limit long, model string")
+    assert commands.serve(spark, path, q, field="title").hits.count() > 0
+    with pytest.raises(RuntimeError):
+        commands.serve(spark, path, q)

@@ -40,33 +40,123 @@ def test_load_then_serve(spark):
     assert [h.content for h in oranges.hits.collect()] == ["Sample PDF about oranges."]
 
 
+def contents(spark, coll):
+    return sorted(r.content for r in collection.read_collection(spark, coll).collect())
+
+
 def test_reload_is_incremental(spark):
     d = make_folder()
     coll, parsed = scratch_path(spark, "coll"), scratch_path(spark, "parsed")
     commands.load(spark, d, coll, parsed, extractors=PDF)
     before = sorted(map(tuple, collection.read_collection(spark, coll).select("point_id", "doc_id", "content").collect()))
     r = commands.load(spark, d, coll, parsed, extractors=PDF)
-    # only the unsupported file is looked at again (and quarantined again)
-    assert (r["files"], r["parsed"], r["quarantined"]) == (1, 0, 1)
+    assert (r["files"], r["parsed"], r["loaded"], r["quarantined"]) == (4, 0, 0, 1)
     after = sorted(map(tuple, collection.read_collection(spark, coll).select("point_id", "doc_id", "content").collect()))
     assert before == after
     with open(os.path.join(d, "test.txt"), "w") as f:
         f.write("Changed text about bananas.\nSecond line.")
     r = commands.load(spark, d, coll, parsed, extractors=PDF)
-    assert r["parsed"] == 1
+    assert r["parsed"] == r["loaded"] == 1
     pts = collection.read_collection(spark, coll)
     assert pts.where(F.col("content").contains("bananas")).count() == 1
     assert pts.where(F.col("content").contains("This is a test")).count() == 0
     assert pts.count() == 3
 
 
-def test_full_refresh_and_append_mode(spark):
+def test_a_second_collection_gets_the_cached_texts(spark):
+    d = make_folder()
+    one, two, parsed = scratch_path(spark, "coll"), scratch_path(spark, "coll"), scratch_path(spark, "parsed")
+    commands.load(spark, d, one, parsed, extractors=PDF)
+    r = commands.load(spark, d, two, parsed, extractors=PDF)
+    assert (r["parsed"], r["loaded"]) == (0, 3) and contents(spark, one) == contents(spark, two)
+
+
+def test_a_failure_after_parsing_loses_nothing(spark, monkeypatch):
     d = make_folder()
     coll, parsed = scratch_path(spark, "coll"), scratch_path(spark, "parsed")
-    commands.load(spark, d, coll, parsed, extractors=PDF, mode="append")
-    r = commands.load(spark, d, coll, parsed, extractors=PDF, mode="append", full_refresh=True)
-    assert r["files"] == 4 and r["parsed"] == 3
-    assert collection.read_collection(spark, coll).count() == 6
+
+    def fail(*a, **k):
+        raise OSError("the store is away")
+
+    with monkeypatch.context() as m:
+        m.setattr(commands.collection, "upsert_collection", fail)
+        with pytest.raises(OSError):
+            commands.load(spark, d, coll, parsed, extractors=PDF)
+    r = commands.load(spark, d, coll, parsed, extractors=PDF)
+    assert (r["parsed"], r["loaded"]) == (0, 3) and len(contents(spark, coll)) == 3
+
+
+def test_full_refresh_takes_the_fresh_text(spark):
+    d = make_folder()
+    coll, parsed = scratch_path(spark, "coll"), scratch_path(spark, "parsed")
+    commands.load(spark, d, coll, parsed, extractors={"pdf": lambda b: "a wrong text"})
+    r = commands.load(spark, d, coll, parsed, extractors=PDF, full_refresh=True)
+    assert r["parsed"] == r["loaded"] == 3
+    assert "Sample PDF about oranges." in contents(spark, coll) and "a wrong text" not in contents(spark, coll)
+    assert commands.parsed_table(spark, parsed).live("texts").count() == 3
+
+
+def test_append_adds_a_second_copy_each_of_which_can_be_found(spark):
+    d = make_folder()
+    coll, parsed = scratch_path(spark, "coll"), scratch_path(spark, "parsed")
+    for _ in range(2):
+        commands.load(spark, d, coll, parsed, extractors=PDF, mode="append")
+    ids = [r.point_id for r in collection.read_collection(spark, coll).collect()]
+    assert sorted(ids) == list(range(1, 7))
+    hits = commands.serve(spark, coll, ask(spark, "oranges")).hits.collect()
+    assert [(h.rank, h.content) for h in sorted(hits)] == [(1, "Sample PDF about oranges."), (2, "Sample PDF about oranges.")]
+    assert hits[0].score == hits[1].score
+
+
+def test_spoilt_cache_is_read_again_and_unreadable_files_go(spark):
+    d = make_folder()
+    coll, parsed = scratch_path(spark, "coll"), scratch_path(spark, "parsed")
+    commands.load(spark, d, coll, parsed, extractors=PDF)
+    cache = commands.parsed_table(spark, parsed)
+    n = cache.claim()
+    spoilt = cache.live("texts").drop("load").withColumn("text", F.concat("text", F.lit("!"))).checkpoint()
+    cache.write(n, "texts", spoilt)
+    cache.write(n, "gone", spoilt.select(*commands.VERSION))
+    cache.complete(n)
+    other = scratch_path(spark, "coll")
+    r = commands.load(spark, d, other, parsed, extractors=PDF)
+    assert r["parsed"] == 3 and contents(spark, other) == contents(spark, coll)
+    with open(os.path.join(d, "test.txt"), "wb") as f:
+        f.write(b"no longer text \xff\xfe")
+    with open(os.path.join(d, "notes.md"), "w") as f:
+        f.write("the of and")  # only stop words: no point is left
+    r = commands.load(spark, d, coll, parsed, extractors=PDF)
+    assert r["quarantined"] == 2 and contents(spark, coll) == ["Sample PDF about oranges."]
+    report = collection.store(spark, coll).rows("quarantine", [r["load"]])
+    assert {os.path.basename(x.path): x.reason for x in report.collect()}["test.txt"] == "invalid UTF-8"
+    assert collection.store(spark, coll).rows("skipped", [r["load"]]).count() == 1
+
+
+def test_each_file_is_extracted_once(spark, tmp_path):
+    d, log = make_folder(), str(tmp_path / "calls")
+
+    def counting(b):
+        with open(log, "a") as f:
+            f.write("x")
+        return "text of a file"
+
+    ex = {"pdf": counting, "json": counting}
+    commands.load(spark, d, scratch_path(spark, "coll"), scratch_path(spark, "parsed"), extractors=ex, strict=True)
+    assert os.path.getsize(log) == 2
+
+
+def test_a_pdf_without_extractor_is_reported(spark):
+    d = make_folder()
+    r = commands.load(spark, d, scratch_path(spark, "coll"), scratch_path(spark, "parsed"))
+    assert r["quarantined"] == 2
+
+
+def test_one_request_reads_its_posting_lists_only(spark):
+    d = make_folder()
+    coll = scratch_path(spark, "coll")
+    commands.load(spark, d, coll, scratch_path(spark, "parsed"), extractors=PDF)
+    plan = commands.serve(spark, coll, ask(spark, "oranges")).hits._jdf.queryExecution().executedPlan().toString()
+    assert "term_bucket" in plan and "In(term_index" in plan.replace("EqualTo(term_index", "In(term_index")
 
 
 def test_strict_load_refuses_unsupported(spark):
@@ -99,7 +189,8 @@ def test_stream_load(spark):
 def test_serve_from_points_equals_postings(spark, sf_smoke):
     from quarry.plans.retrieval import build_index, retrieve
     from quarry.sources import tables
-    idx = build_index(tables.documents(spark, sf_smoke))
+    # a collection's document keys are strings
+    idx = build_index(tables.documents(spark, sf_smoke).withColumn("doc_id", F.col("doc_id").cast("string")))
     coll = scratch_path(spark, "coll")
     collection.create_collection(spark, coll)
     collection.upsert_collection(spark, coll, collection.points(idx.chunks, idx.vectors))

@@ -17,7 +17,9 @@ def con():
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, con, name):
     r = compare(spark, con, SF, name, E.queries()[name], E.oracle_sql().get(name))
-    assert r["status"] in ("match", "rows-only"), r
+    # queries without SQL are the training-data operators, tested against brute force
+    without = name.startswith("op") and name[2].isdigit() or name == "pipeline"
+    assert r["status"] == ("rows-only" if without else "match"), r
 
 
 def test_entry_runs(spark):

@@ -61,23 +61,51 @@ def test_limits_per_query_and_context_order(spark):
     assert {r.query_id: r.model for r in a.prompts.collect()} == {1: "gpt-4.1", 2: "m"}
 
 
+def stored_index(spark, sf_smoke, n_buckets=8):
+    from quarry.plans.retrieval import read_index, write_index
+    from quarry.session import scratch_path
+    from quarry.sources import tables
+    path = scratch_path(spark, "index")
+    write_index(build_index(tables.documents(spark, sf_smoke)), path, n_buckets=n_buckets)
+    return read_index(spark, path)
+
+
 def test_topk_plan_trims_before_shuffle(spark, sf_smoke):
     from quarry.sources import tables
-    idx = build_index(tables.documents(spark, sf_smoke))
-    a = retrieve(tables.benchmark_queries(spark, sf_smoke), idx)
+    a = retrieve(tables.benchmark_queries(spark, sf_smoke), stored_index(spark, sf_smoke))
     plan = a.hits._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
     assert "BroadcastHashJoin" in plan
     assert "PythonUDF" not in plan and "ArrowEvalPython" not in plan
 
 
+def test_an_unstored_corpus_is_cut_once(spark, sf_smoke):
+    from quarry.sources import tables
+    a = retrieve(tables.benchmark_queries(spark, sf_smoke), build_index(tables.documents(spark, sf_smoke)))
+    plan = a.hits._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode") == 1 and "LeftSemi" in plan  # the documents hit, for their content
+
+
+def test_large_limits_rank_in_two_steps(spark):
+    docs = [(i, f"apple number {i % 7}.") for i in range(300)]
+    idx = build_index(corpus(spark, docs))
+    q = spark.createDataFrame([(1, "apple", 3_000_000_000, None), (2, "apple", 5, None), (3, "apple", 0, None), (4, "apple", -1, None)],
+                              "query_id long, query string, limit long, model string")
+    a = retrieve(q, idx)
+    per = {r.query_id: r["count"] for r in a.hits.groupBy("query_id").count().collect()}
+    assert per == {1: 300, 2: 5}
+    assert {r.query_id for r in a.prompts.collect()} == {1, 2, 3}
+    first = [r.doc_id for r in a.hits.where("query_id = 1").orderBy("rank").limit(5).collect()]
+    assert first == [r.doc_id for r in a.hits.where("query_id = 2").orderBy("rank").collect()]
+
+
 def test_salted_shuffle_path_equals_broadcast(spark, sf_smoke):
     from quarry.sources import tables
     idx = build_index(tables.documents(spark, sf_smoke))
     q = tables.benchmark_queries(spark, sf_smoke)
     b = retrieve(q, idx).hits.select("query_id", "rank", "doc_id", "chunk_no", "score")
     s_ans = retrieve(q, idx, force_shuffle=True).hits
-    plan = s_ans._jdf.queryExecution().executedPlan().toString()
+    plan = retrieve(q, stored_index(spark, sf_smoke), force_shuffle=True).hits._jdf.queryExecution().executedPlan().toString()
     s = s_ans.select("query_id", "rank", "doc_id", "chunk_no", "score")
     assert sorted(map(tuple, b.collect())) == sorted(map(tuple, s.collect()))
     assert "_salt" in plan

@@ -52,6 +52,23 @@ def test_late_rows_past_watermark_are_dropped(spark):
     assert out[14] == (2, 1, 1)     # 14:00:01 is still inside the open window
 
 
+def test_windows_do_not_merge_when_clocks_change(spark):
+    d = os.path.join(tempfile.mkdtemp(prefix="quarry-events-", dir="/tmp"), "e")
+    hours = [dt.datetime(2024, 3, 10, h, 30) for h in (1, 2, 3, 4)]  # 02:30 does not exist in New York
+    rows = spark.createDataFrame([(1, t) for t in hours], "client long, at timestamp_ntz")
+    rows.coalesce(1).write.parquet(d)
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        sink, ck = scratch_path(spark, "audit"), scratch_path(spark, "audit-ck")
+        stream = spark.readStream.schema(rows.schema).parquet(d)
+        jobs.rate_audit_stream(stream, sink, ck, window="1 hour", limit=1, client_col="client", ts_col="at").awaitTermination()
+        out = {(r.window_start, r.n) for r in jobs.read_rate_audit(spark, sink).collect()}
+        assert out == {(t.replace(minute=0), 1) for t in hours}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
 def test_rate_audit_limits(spark):
     ev = spark.createDataFrame([(1, dt.datetime(2024, 1, 1, 0, 0, s)) for s in range(7)],
                                "user_id long, ts timestamp_ntz")
