@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quarry.session import scratch_path
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 U64 = np.uint64
 
 #: Space and the five ASCII controls from tab to carriage return; ``bytes.split()``
@@ -45,6 +45,14 @@ def pieces(batches: Iterable[pa.RecordBatch], text_col: str = "text",
             yield rb.slice(a, b - a)
 
 
+def each(rb: pa.RecordBatch, *names: str):
+    """The rows of a batch, binaries as views of its memory."""
+    cols = [rb.column(c) for c in names]
+    views = [pa.types.is_binary(c.type) for c in cols]
+    for k in range(rb.num_rows):
+        yield tuple(c[k].as_buffer() if v else c[k].as_py() for c, v in zip(cols, views))
+
+
 def blob(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the n + 1 row offsets in them (null: empty)."""
     column = pc.fill_null(column, "").cast(pa.large_string())
@@ -86,7 +94,7 @@ _POW: dict[str, np.ndarray] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POW.get("up", ())) < n:
-        size = max(n, PIECE_BYTES + (1 << 20))
+        size = -(-n // (1 << 20)) << 20
         inv = pow(_BASE, -1, 1 << 64)
         for name, base in (("up", _BASE), ("down", inv)):
             with np.errstate(over="ignore"):

@@ -32,15 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.base import U64, blob, mix, pieces, range_hash, running_sum, save
+from quarry.llm.base import U64, blob, each, mix, pieces, range_hash, running_sum, save
 
 LENGTH = 200
 GRAM = 64
 HOT = 4096
 #: Text that is sorted at a time: whole groups of stretches, up to this many bytes.
-SORT_BYTES = 2 << 20
-#: A task settles and ships the stretches of this many bytes of text at a time.
-FLUSH_ROWS = 1 << 20
+SORT_BYTES = 1 << 20
+#: A task settles and ships this many stretches at a time.
+FLUSH_ROWS = 1 << 18
 _POS = U64(31)
 _POS_MASK = U64((1 << 31) - 1)
 
@@ -284,7 +284,7 @@ def _by_slice(batches):
     """(slice, {kind: [(data, bytes), ...]}) of a partition sorted by slice."""
     now, held = None, {}
     for rb in batches:
-        for k, kind, data, raw in zip(*(rb.column(c).to_pylist() for c in ("slice", "kind", "data", "bytes"))):
+        for k, kind, data, raw in each(rb, "slice", "kind", "data", "bytes"):
             if k != now:
                 if now is not None:
                     yield now, held
@@ -302,8 +302,18 @@ def _meet(df: DataFrame) -> DataFrame:
     return df.repartition("slice").sortWithinPartitions("slice", "kind")
 
 
-def texts_once(docs: DataFrame) -> DataFrame:
-    """(key, text, ids): the texts, each once for every task that reads it, with its rows' ids."""
+_TEXTS = "slice int, kind int, key long, text binary, ids array<long>, data binary"
+
+
+def texts_once(docs: DataFrame, slices: int) -> DataFrame:
+    """Rows (slice, kind 9, key, text, ids): the texts, each once for every task that reads it, with its rows' ids."""
+
+    def rows(keys: pa.Array, text: pa.Array, ids: list):
+        part = _slice_of(keys.to_numpy(zero_copy_only=False), slices).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(part), pa.array(np.full(len(part), 9, np.int32)), keys, text.cast(pa.binary()),
+             pa.array(ids, pa.list_(pa.int64())), pa.nulls(len(part), pa.binary())],
+            ["slice", "kind", "key", "text", "ids", "data"])
 
     def run(batches):
         seen: dict[int, tuple[int, list]] = {}
@@ -323,17 +333,13 @@ def texts_once(docs: DataFrame) -> DataFrame:
                 seen[key] = (0, [])
             if at:
                 part = rb.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), part.column("text"), pa.array([fresh[keys[k]] for k in at], pa.list_(pa.int64()))],
-                    ["key", "text", "ids"])
+                yield rows(part.column("key"), part.column("text"), [fresh[keys[k]] for k in at])
         late = [(k, ids) for k, (_, ids) in seen.items() if ids]
         if late:  # copies that came in later pieces: ids without the text
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in late]), pa.nulls(len(late), pa.string()), pa.array([i for _, i in late], pa.list_(pa.int64()))],
-                ["key", "text", "ids"])
+            yield rows(pa.array([k for k, _ in late]), pa.nulls(len(late), pa.string()), [i for _, i in late])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")) \
-        .withColumn("key", F.xxhash64("text")).mapInArrow(run, "key long, text string, ids array<long>")
+        .withColumn("key", F.xxhash64("text")).mapInArrow(run, _TEXTS)
 
 
 def _slices(df: DataFrame) -> int:
@@ -370,7 +376,7 @@ def repeated_spans(docs: DataFrame, slices: int, length: int, gram: int, hot: in
         for k, held in _by_slice(batches):
             spans, rows = settle(_array(held.get(0, []), STRETCH), length)
             for data, _ in held.get(1, []):
-                yield _batch([(k, 1, data, b"")])
+                yield _batch([(k, 1, data.to_pybytes(), b"")])
             first = np.flatnonzero(np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]])) if len(rows) else np.zeros(0, np.int64)
             size = np.repeat(np.diff(np.append(first, len(rows))), np.diff(np.append(first, len(rows))))
             yield _batch([*_dealt(spans, "text", 1, slices), *_dealt(rows[(size > 1) & (size <= hot)], "text", 2, slices),
@@ -415,7 +421,7 @@ def repeated_spans(docs: DataFrame, slices: int, length: int, gram: int, hot: in
 
         held: list = []
         for rb in batches:
-            for k, kind, data, raw in zip(*(rb.column(c).to_pylist() for c in ("slice", "kind", "data", "bytes"))):
+            for k, kind, data, raw in each(rb, "slice", "kind", "data", "bytes"):
                 if k != now:
                     now, asked, keyed, done, held = k, {}, {}, set(), []
                 if kind != 9:
@@ -431,12 +437,13 @@ def repeated_spans(docs: DataFrame, slices: int, length: int, gram: int, hot: in
                 done.add(key)
                 rows = asked.get(key)
                 if rows is not None:
-                    ready.append((rows, [raw[lo:lo + n + length - 1] for lo, n in zip(rows["lo"].tolist(), rows["n"].tolist())]))
+                    text = memoryview(raw)
+                    ready.append((rows, [bytes(text[lo:lo + n + length - 1]) for lo, n in zip(rows["lo"].tolist(), rows["n"].tolist())]))
                     ready_bytes += int(rows["n"].sum()) + length * len(rows)
                 rows = keyed.get(key)
                 if rows is not None:
                     strings.append(single(rows, np.frombuffer(raw, np.uint8), length))
-                if ready_bytes >= 8 << 20:
+                if ready_bytes >= 4 << 20:
                     yield send()
                     ready, ready_bytes = [], 0
                 if sum(map(len, strings)) >= FLUSH_ROWS:
@@ -453,7 +460,7 @@ def repeated_spans(docs: DataFrame, slices: int, length: int, gram: int, hot: in
         """By anchor: kind 0 stretches to sort, kind 4 strings to count; kind 1 spans pass."""
         for k, held in _by_slice(batches):
             for data, _ in held.get(1, []):
-                yield _batch([(k, 1, data, b"")])
+                yield _batch([(k, 1, data.to_pybytes(), b"")])
             spans, _ = settle(_array(held.get(4, []), STRETCH), length)
             if len(spans):
                 yield _batch(list(_dealt(spans, "text", 1, slices)))
@@ -521,16 +528,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     spans = save(repeated_spans(docs, slices, length, gram, hot), "suffix-spans")
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
 
-    def pack(batches):
-        for rb in batches:
-            keys = rb.column("key").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_slice_of(keys, slices).astype(np.int32)), pa.array(np.full(len(keys), 9, np.int32)), rb.column("key"),
-                 rb.column("text").cast(pa.binary()), rb.column("ids"), pa.nulls(len(keys), pa.binary())],
-                ["slice", "kind", "key", "text", "ids", "data"])
-
-    shape = "slice int, kind int, key long, text binary, ids array<long>, data binary"
-    texts = texts_once(docs).mapInArrow(pack, shape)
     marks = spans.selectExpr("slice", "1 AS kind", "CAST(0 AS LONG) AS key", "CAST(NULL AS BINARY) AS text",
                              "CAST(NULL AS ARRAY<LONG>) AS ids", "data")
 
@@ -560,7 +557,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
             out.extend(cut(raw, ids, table[a:b]))
 
         for rb in batches:
-            for k, kind, x, t, i, d in zip(*(rb.column(c).to_pylist() for c in ("slice", "kind", "key", "text", "ids", "data"))):
+            for k, kind, x, t, i, d in each(rb, "slice", "kind", "key", "text", "ids", "data"):
+                t = None if t is None else t.to_pybytes()
                 if kind == 9 and k == now and not held and x == key:
                     raw = t if raw is None else raw
                     ids += i
@@ -585,5 +583,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
-    return marks.unionByName(texts).repartition("slice").sortWithinPartitions("slice", "kind", "key") \
+    return marks.unionByName(texts_once(docs, slices)).repartition("slice").sortWithinPartitions("slice", "kind", "key") \
         .mapInArrow(apply, fields)
