@@ -205,7 +205,7 @@ PAIRS = "doc_id long, item_id long, item_words long, matched_words long, n_tiles
 
 
 def contaminated_pairs(docs: DataFrame, items: DataFrame, min_tile: int = 5, coverage: float = 0.8,
-                       block_words: int = 1_000_000) -> DataFrame:
+                       block_words: int = 200_000) -> DataFrame:
     """One row for each document row and item whose tiles cover ``coverage`` of the item.
 
     Items of fewer than ``min_tile`` words, null or empty, never match; null and
@@ -219,7 +219,7 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, min_tile: int = 5, cov
 
         def run(batches, sent=sent):
             block = sent.value
-            for rb in pieces(batches, "text", 1 << 20):
+            for rb in pieces(batches):
                 ids = rb.column("doc_id").to_pylist()
                 rows = [(ids[d], block.items[k][0], len(block.items[k][1]), m, c, top, m / len(block.items[k][1]))
                         for d, k, m, c, top in block.leaks(rb.column("text").to_pylist())]
@@ -234,14 +234,14 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, min_tile: int = 5, cov
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, min_tile: int = 5, coverage: float = 0.8,
-                    block_words: int = 1_000_000) -> DataFrame:
+                    block_words: int = 200_000) -> DataFrame:
     """The documents (all columns, ``text`` among them) in which no item is leaked."""
     spark = docs.sparkSession
     for block in blocks(items, min_tile, coverage, block_words):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches, sent=sent):
-            for rb in pieces(batches, "text", 1 << 20):
+            for rb in pieces(batches):
                 bad = {d for d, *_ in sent.value.leaks(rb.column("text").to_pylist())}
                 yield rb.filter(pa.array([d not in bad for d in range(rb.num_rows)])) if bad else rb
 

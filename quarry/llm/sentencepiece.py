@@ -269,7 +269,7 @@ def encode(docs: DataFrame, model: str = MODEL, seed: int = 42, theta: float = 1
 
     def run(batches):
         v = sent.value
-        for rb in pieces(batches):
+        for rb in pieces(batches, "text", 2 << 20):  # more text shares more segments
             data, off = blob(rb.column("text"))
             keys = rb.column("key").to_numpy(zero_copy_only=False)
             ids, cut = sample(v, data, off, keys, seed)
