@@ -95,8 +95,7 @@ def fit(p_sets: list[np.ndarray], u_sets: list[np.ndarray], prior: float, steps:
     for view in (0, 1, 2):
         pick = lambda sets: [x if view == 2 else x[x >> BITS == view] for x in sets]
         p, u = pick(p_sets), pick(u_sets)
-        names, seen = np.unique(np.concatenate(p), return_counts=True) if p else (np.zeros(0, np.int64), np.zeros(0))
-        names = names[seen >= max(3, MIN_SHARE * len(p))]
+        names = _frequent(p)
         P, U = _matrix(p, names), _matrix(u, names)
         rate_p, rate_u = _count(P, len(names)) / max(1, len(p)), _count(U, len(names)) / max(1, len(u))
         good = np.flatnonzero(rate_p > TELLING * rate_u)
@@ -142,13 +141,21 @@ def _margin(m: tuple[np.ndarray, np.ndarray], w: np.ndarray, b: np.ndarray, n: i
     return np.clip(b + np.bincount(m[0], weights=w[m[1]], minlength=n), -50, 50)
 
 
-def _sets(docs: DataFrame) -> list[np.ndarray]:
-    """Feature sets of a bounded sample, in order of id."""
+def _frequent(sets: list[np.ndarray]) -> np.ndarray:
+    """The features that enough of the positives have."""
+    names, seen = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.int64), np.zeros(0))
+    return names[seen >= max(3, MIN_SHARE * len(sets))]
+
+
+def _sets(docs: DataFrame, names: np.ndarray | None = None) -> list[np.ndarray]:
+    """Feature sets of a bounded sample, in order of id; ``names``: of these features only."""
 
     def run(batches):
         for rb in pieces(batches):
             bucket, row, view = word_features(*blob(rb.column("text")))
             key = np.unique(row << (BITS + 1) | view << BITS | bucket)
+            if names is not None:
+                key = key[np.isin(key & (1 << BITS + 1) - 1, names)]
             cut = np.searchsorted(key, np.arange(rb.num_rows + 1) << (BITS + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [rb.column("doc_id"), pa.ListArray.from_arrays(pa.array(cut), pa.array((key & (1 << BITS + 1) - 1).astype(np.int32)))],
@@ -178,8 +185,8 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0, posit
         .where(F.col("doc_id").isNotNull()).where(~held_out("doc_id", mod, rest))
     known = first_by_hash(marks.where("toxic = 1").select("doc_id"), positives)
     any_text = first_by_hash(texts.select("doc_id"), unlabelled)
-    return fit(_sets(texts.join(F.broadcast(known), "doc_id", "left_semi")),
-               _sets(texts.join(F.broadcast(any_text), "doc_id", "left_semi")), prior)
+    p_sets = _sets(texts.join(F.broadcast(known), "doc_id", "left_semi"))
+    return fit(p_sets, _sets(texts.join(F.broadcast(any_text), "doc_id", "left_semi"), _frequent(p_sets)), prior)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0, threshold: float = 0.5, **how) -> DataFrame:
