@@ -7,8 +7,7 @@ positive can only raise it, and twice in a row rarely.  All bits of a probe lie
 one 64-bit word, and all words of an n-gram in the region its hash names: the task
 that counts an n-gram also sets its bits, and no bit ever travels alone.
 
-The filter has ``BITS_PER_TOKEN`` bits for each training token (a power of two in
-all), so it grows with the corpus up to ``max_filter_bytes``, the bound of what is
+The filter has ``BITS_PER_TOKEN`` bits for each training token, so it grows with the corpus up to ``max_filter_bytes``, the bound of what is
 broadcast; beyond it every n-gram is still inserted, into a fuller filter.
 
 Probability of w after v: ``LAMBDA * c(v w) / c(v) + (1 - LAMBDA) * (c(w) + 1) / (N + V + 1)``
@@ -30,16 +29,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.base import U64, ascii_lower, blob, held_out, mix, pieces, range_hash, running_sum, save, word_ranges
+from quarry.llm.base import U64, ascii_lower, blob, each, held_out, mix, pieces, range_hash, running_sum, save, word_ranges
 
 END = U64(0x8B1A0C52E97D364F)
 HEAD = 1 << 18
 REGIONS = 12  # bits of the hash that name a region of the filter
-BITS_PER_TOKEN = 4
+BITS_PER_TOKEN = 6
 PROBE_BITS = 4
 MAX_FILTER_BYTES = 256 << 20
 LAMBDA = 0.7
-FLUSH = 1 << 22
+FLUSH = 1 << 20
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -79,6 +78,19 @@ def _packed(kind: int, slices: int, keys: np.ndarray, extra: list[np.ndarray], c
 _ROWS = "slice int, kind int, chunk long, keys binary, a binary, b binary"
 
 
+def _batches(rows, limit: int = 8 << 20):
+    """Record batches of some megabytes."""
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += len(r[3]) + len(r[4]) + len(r[5])
+        if size >= limit:
+            yield _batch(held)
+            held, size = [], 0
+    if held:
+        yield _batch(held)
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
     cols = list(zip(*rows))
@@ -127,10 +139,10 @@ def unigram_counts(docs: DataFrame, slices: int, head: int) -> DataFrame:
             keys, n = np.unique(tokens(rb.column("text"))[0], return_counts=True)
             c.add(keys, n)
             if len(c.keys) >= FLUSH:
-                yield _batch(list(_packed(0, slices, c.merge().keys, [c.counts, c.counts[:0]], 0)))
+                yield from _batches(_packed(0, slices, c.merge().keys, [c.counts, c.counts[:0]], 0))
                 c = Counter()
         if len(c.merge().keys):
-            yield _batch(list(_packed(0, slices, c.keys, [c.counts, c.counts[:0]], 0)))
+            yield from _batches(_packed(0, slices, c.keys, [c.counts, c.counts[:0]], 0))
 
     def total(batches):
         def one(k, c):
@@ -143,7 +155,7 @@ def unigram_counts(docs: DataFrame, slices: int, head: int) -> DataFrame:
 
         now, c = None, Counter()
         for rb in batches:
-            for k, keys, a in zip(*(rb.column(x).to_pylist() for x in ("slice", "keys", "a"))):
+            for k, keys, a in each(rb, "slice", "keys", "a"):
                 if k != now:
                     if now is not None:
                         yield one(now, c)
@@ -192,9 +204,8 @@ class Filter:
 
 
 def filter_words(tokens_seen: int, max_bytes: int) -> int:
-    """64-bit words of the filter: a power of two, at least one for each region."""
-    need = max(1, tokens_seen * BITS_PER_TOKEN // 64)
-    return max(1 << REGIONS, min(1 << math.ceil(math.log2(need)), 1 << int(math.log2(max_bytes // 8))))
+    """64-bit words of the filter: the same number for each region."""
+    return (max(1, min(tokens_seen * BITS_PER_TOKEN // 64, max_bytes // 8) >> REGIONS)) << REGIONS
 
 
 def log_probability(filt: Filter, words: np.ndarray, cut: np.ndarray, n: int, v: int) -> np.ndarray:
@@ -229,7 +240,7 @@ def score_documents(docs: DataFrame, mod: int = 7, rest: int = 2, head: int = HE
     n, v = sum(top["n"]), sum(top["v"])
     head_keys = np.frombuffer(b"".join(top["top_keys"]), U64)
     head_counts = np.frombuffer(b"".join(top["top_counts"]), np.int64)
-    size = filter_words(2 * n, max_filter_bytes)
+    size = filter_words(n, max_filter_bytes)
     sent_head = spark.sparkContext.broadcast((head_keys, np.log10(head_counts + 1.0)))
 
     def count_pairs(batches):
@@ -238,10 +249,10 @@ def score_documents(docs: DataFrame, mod: int = 7, rest: int = 2, head: int = HE
             words, cut = tokens(rb.column("text"))
             grams.add(*np.unique(pairs(words, cut)[0], return_counts=True))
             if len(grams.keys) >= FLUSH:
-                yield _batch(list(_packed(1, slices, grams.merge().keys, [grams.counts, grams.counts[:0]], 0)))
+                yield from _batches(_packed(1, slices, grams.merge().keys, [grams.counts, grams.counts[:0]], 0))
                 grams = Counter()
         if len(grams.merge().keys):
-            yield _batch(list(_packed(1, slices, grams.keys, [grams.counts, grams.counts[:0]], 0)))
+            yield from _batches(_packed(1, slices, grams.keys, [grams.counts, grams.counts[:0]], 0))
 
     words_per_slice = size // slices
 
@@ -258,7 +269,7 @@ def score_documents(docs: DataFrame, mod: int = 7, rest: int = 2, head: int = HE
 
         now, both = None, (Counter(), Counter())
         for rb in batches:
-            for k, kind, keys, a in zip(*(rb.column(x).to_pylist() for x in ("slice", "kind", "keys", "a"))):
+            for k, kind, keys, a in each(rb, "slice", "kind", "keys", "a"):
                 if k != now:
                     if now is not None:
                         yield part(now, *both)
@@ -306,13 +317,13 @@ def score_documents(docs: DataFrame, mod: int = 7, rest: int = 2, head: int = HE
         now, keys_of, gain_of = None, np.zeros(0, U64), np.zeros(0)
         for rb in batches:
             out = []
-            for k, kind, chunk, keys, a, _ in zip(*(rb.column(x).to_pylist() for x in rb.schema.names)):
+            for k, kind, chunk, keys, a in each(rb, "slice", "kind", "chunk", "keys", "a"):
                 if k != now:
                     now, keys_of, gain_of = k, np.zeros(0, U64), np.zeros(0)
                 if kind == 0:
                     keys_of, gain_of = np.frombuffer(keys, U64), np.log10(np.frombuffer(a, np.int64) + 1.0)
                 elif kind == 2:
-                    out.append((k, kind, chunk, keys, b"", b""))
+                    out.append((k, kind, chunk, keys.to_pybytes(), b"", b""))
                 elif len(keys_of):
                     words, row = np.frombuffer(keys, U64), np.frombuffer(a, np.int32)
                     place = np.minimum(np.searchsorted(keys_of, words), len(keys_of) - 1)
@@ -340,7 +351,7 @@ def score_documents(docs: DataFrame, mod: int = 7, rest: int = 2, head: int = HE
 
         now, here, parts = None, None, []
         for rb in batches:
-            for chunk, kind, keys, a, b in zip(*(rb.column(x).to_pylist() for x in ("chunk", "kind", "keys", "a", "b"))):
+            for chunk, kind, keys, a, b in each(rb, "chunk", "kind", "keys", "a", "b"):
                 if chunk != now:
                     if now is not None:
                         yield one(here, parts)

