@@ -5,17 +5,19 @@ Counts of one- and two-word n-grams of the training texts are quantised to level
 1..q, so its level is found by probing 1, 2, ... until a probe fails; a false
 positive can only raise it, and twice in a row rarely.  All bits of a probe lie in
 one 64-bit word, and all words of an n-gram in the region its hash names: the task
-that counts an n-gram also sets its bits, and no bit ever travels alone.
+that counts an n-gram also sets its bits, and no bit ever travels.
 
-The filter has ``BITS_PER_TOKEN`` bits for each training token, so it grows with the corpus up to ``max_filter_bytes``, the bound of what is
-broadcast; beyond it every n-gram is still inserted, into a fuller filter.
+The filter has ``BITS_PER_TOKEN`` bits for each training token, however many there
+are: no task holds more of it than its slice of hash space, which is probed where
+it was filled.  The distinct n-grams of a piece of text travel there as hashes, and
+their levels come back.
 
 Probability of w after v: ``LAMBDA * c(v w) / c(v) + (1 - LAMBDA) * (c(w) + 1) / (N + V + 1)``
 with the filter's counts.
 
 The exact add-one unigram score is computed beside it: the ``head`` most frequent
 words (a bounded table) are looked up where the text is, the others meet their
-counts in the task that owns their hash.  Arrays of hashes travel packed, one row
+counts, and their slice of the filter, in the task that owns their hash.  Arrays of hashes travel packed, one row
 for each piece of text and slice of hash space.
 """
 
@@ -33,10 +35,10 @@ from quarry.llm.base import U64, ascii_lower, blob, each, held_out, mix, pieces,
 
 END = U64(0x8B1A0C52E97D364F)
 HEAD = 1 << 18
+PAIR = U64((1 << 64) - (1 << 16))  # pairs have 48 bits: at 10^10 of them 1 in 30,000 meets another, far under the filter's own errors
 REGIONS = 12  # bits of the hash that name a region of the filter
-BITS_PER_TOKEN = 6
+BITS_PER_TOKEN = 16
 PROBE_BITS = 4
-MAX_FILTER_BYTES = 256 << 20
 LAMBDA = 0.7
 FLUSH = 1 << 20
 
@@ -59,20 +61,47 @@ def pairs(words: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     after[cut[:-1]] = False
     at = np.flatnonzero(after)
     with np.errstate(over="ignore"):
-        return mix(words[at - 1] * U64(0x9E3779B97F4A7C15) + words[at]), at
+        return mix(words[at - 1] * U64(0x9E3779B97F4A7C15) + words[at]) & PAIR, at
 
 
 def levels(count: np.ndarray) -> np.ndarray:
     return np.frexp(count.astype(np.float64))[1]  # 1 + floor(log2 c)
 
 
-def _packed(kind: int, slices: int, keys: np.ndarray, extra: list[np.ndarray], chunk: int):
-    """Rows (slice, kind, chunk, keys, a, b) of arrays sorted by key."""
+def _packed(kind: int, slices: int, keys: np.ndarray, extra: list[np.ndarray], chunk: int, zipped: bool = False):
+    """Rows (slice, kind, chunk, keys, a, b) of arrays sorted by key; ``zipped``: compressed, the keys as gaps."""
     bound = (np.arange(1, slices, dtype=np.uint64) << U64(64 - int(math.log2(slices)))) if slices > 1 else np.zeros(0, U64)
     cut = [0, *np.searchsorted(keys, bound).tolist(), len(keys)]
     for k, (a, b) in enumerate(zip(cut, cut[1:])):
         if b > a:
-            yield (k, kind, chunk, keys[a:b].tobytes(), *(x[a:b].tobytes() for x in extra))
+            if zipped:
+                yield (k, kind, chunk, _zip(np.diff(keys[a:b], prepend=U64(0))), *(_zip(x[a:b]) for x in extra))
+            else:
+                yield (k, kind, chunk, keys[a:b].tobytes(), *(x[a:b].tobytes() for x in extra))
+
+
+def _zip(x: np.ndarray) -> bytes:
+    """The array's byte planes, compressed, after their length."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True) if planes else b""
+
+
+def _unzip(data, kind: type) -> np.ndarray:
+    data = memoryview(data)
+    if not len(data):
+        return np.zeros(0, kind)
+    size = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(pa.py_buffer(data[8:]), size, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _unzip_keys(data) -> np.ndarray:
+    return np.cumsum(_unzip(data, U64), dtype=U64)
+
+
+def _number(unique: np.ndarray) -> type:
+    """The smallest type for the numbers of these words."""
+    return np.uint16 if len(unique) <= 1 << 16 else np.uint32
 
 
 _ROWS = "slice int, kind int, chunk long, keys binary, a binary, b binary"
@@ -169,11 +198,11 @@ def unigram_counts(docs: DataFrame, slices: int, head: int) -> DataFrame:
 
 
 class Filter:
-    """Reads the levels of n-gram hashes."""
+    """Reads the levels of n-gram hashes from the whole filter, or from its words after ``first``."""
 
-    def __init__(self, words: np.ndarray):
-        self.words = words
-        self.per_region = len(words) >> REGIONS
+    def __init__(self, words: np.ndarray, per_region: int | None = None, first: int = 0):
+        self.words, self.first = words, first
+        self.per_region = len(words) >> REGIONS if per_region is None else per_region
 
     @staticmethod
     def probe(keys: np.ndarray, level: int | np.ndarray, per_region: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,39 +221,44 @@ class Filter:
         q = 1
         while len(at) and q < 64:
             word, bits = self.probe(keys[at], q, self.per_region)
-            at = at[(self.words[word] & bits) == bits]
+            at = at[(self.words[word - self.first] & bits) == bits]
             out[at] = q
             q += 1
         return out
 
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        """The middle of the level's counts (0 if absent)."""
-        q = self.level(keys)
-        return np.where(q > 1, 0.75 * np.exp2(q), np.minimum(q, 1))
+
+def middle(q: np.ndarray) -> np.ndarray:
+    """The middle of each level's counts (0 if absent)."""
+    return np.where(q > 1, 0.75 * np.exp2(q), np.minimum(q, 1))
 
 
-def filter_words(tokens_seen: int, max_bytes: int) -> int:
+def filter_words(tokens_seen: int, max_bytes: int | None = None) -> int:
     """64-bit words of the filter: the same number for each region."""
-    return (max(1, min(tokens_seen * BITS_PER_TOKEN // 64, max_bytes // 8) >> REGIONS)) << REGIONS
+    need = tokens_seen * BITS_PER_TOKEN // 64
+    return (max(1, (need if max_bytes is None else min(need, max_bytes // 8)) >> REGIONS)) << REGIONS
 
 
-def log_probability(filt: Filter, words: np.ndarray, cut: np.ndarray, n: int, v: int) -> np.ndarray:
-    """log10 probability of each row."""
-    unique, back = np.unique(words, return_inverse=True)
-    single = filt.count(unique)[back]
+def log_probability(single: np.ndarray, both: np.ndarray, at: np.ndarray, cut: np.ndarray, n: int, v: int) -> np.ndarray:
+    """log10 probability of each row, from the counts of its words and of the pairs that end ``at`` some."""
     p = (single + 1.0) / (n + v + 1.0)
-    pair, at = pairs(words, cut)
     if len(at):
-        both = np.minimum(filt.count(pair), np.minimum(single[at], single[at - 1]))
+        both = np.minimum(both, np.minimum(single[at], single[at - 1]))
         p[at] = LAMBDA * both / np.maximum(single[at - 1], 1.0) + (1 - LAMBDA) * p[at]
     return np.add.reduceat(np.log10(p), cut[:-1]) if len(cut) > 1 else np.zeros(0)
 
 
+def _found(keys: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each key in the sorted ``among``, whether it is there)."""
+    if not len(among):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), dtype=bool)
+    place = np.minimum(np.searchsorted(among, keys), len(among) - 1)
+    return place, among[place] == keys
+
+
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_documents(docs: DataFrame, mod: int = 7, rest: int = 2, head: int = HEAD,
-                    max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, mod: int = 7, rest: int = 2, head: int = HEAD) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     Learns from the rows that are not held out.  Null texts are empty (the end
@@ -240,128 +274,126 @@ def score_documents(docs: DataFrame, mod: int = 7, rest: int = 2, head: int = HE
     n, v = sum(top["n"]), sum(top["v"])
     head_keys = np.frombuffer(b"".join(top["top_keys"]), U64)
     head_counts = np.frombuffer(b"".join(top["top_counts"]), np.int64)
-    size = filter_words(n, max_filter_bytes)
-    sent_head = spark.sparkContext.broadcast((head_keys, np.log10(head_counts + 1.0)))
-
-    def count_pairs(batches):
-        grams = Counter()
-        for rb in pieces(batches):
-            words, cut = tokens(rb.column("text"))
-            grams.add(*np.unique(pairs(words, cut)[0], return_counts=True))
-            if len(grams.keys) >= FLUSH:
-                yield from _batches(_packed(1, slices, grams.merge().keys, [grams.counts, grams.counts[:0]], 0))
-                grams = Counter()
-        if len(grams.merge().keys):
-            yield from _batches(_packed(1, slices, grams.keys, [grams.counts, grams.counts[:0]], 0))
+    size = filter_words(n)
+    sent_head = spark.sparkContext.broadcast((head_keys, head_counts))
 
     words_per_slice = size // slices
 
-    def set_bits(batches):
-        """The part of the filter that each slice of hash space owns."""
-        def part(k, uni, grams):
-            out = np.zeros(words_per_slice, dtype=U64)
-            for c in (uni.merge(), grams.merge()):
-                q = levels(c.counts)
-                for level in range(1, int(q.max()) + 1 if len(q) else 1):
-                    word, bits = Filter.probe(c.keys[q >= level], level, size >> REGIONS)
-                    np.bitwise_or.at(out, word - k * words_per_slice, bits)
-            return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([out.tobytes()])], ["slice", "bits"])
-
-        now, both = None, (Counter(), Counter())
-        for rb in batches:
-            for k, kind, keys, a in each(rb, "slice", "kind", "keys", "a"):
-                if k != now:
-                    if now is not None:
-                        yield part(now, *both)
-                    now, both = k, (Counter(), Counter())
-                both[kind].add(np.frombuffer(keys, U64), np.frombuffer(a, np.int64))
-        if now is not None:
-            yield part(now, *both)
-
-    counted = uni.select("slice", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("chunk"), "keys", F.col("counts").alias("a"),
+    def fill(k: int, counters: tuple[Counter, Counter]) -> Filter:
+        """The part of the filter that a slice of hash space owns."""
+        out = np.zeros(words_per_slice, dtype=U64)
+        for c in counters:
+            q = levels(c.merge().counts)
+            for level in range(1, int(q.max()) + 1 if len(q) else 1):
+                word, bits = Filter.probe(c.keys[q >= level], level, size >> REGIONS)
+                np.bitwise_or.at(out, word - k * words_per_slice, bits)
+        return Filter(out, size >> REGIONS, k * words_per_slice)
+
+    counted = uni.select("slice", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("chunk"), "keys", F.col("counts").alias("a"),
                          F.lit(b"").alias("b"))
-    parts = rows.where("NOT held_out").select("text").mapInArrow(count_pairs, _ROWS).unionByName(counted) \
-        .repartition("slice").sortWithinPartitions("slice").mapInArrow(set_bits, "slice int, bits binary")
-    words = np.zeros(size, dtype=U64)
-    for part in save(parts, "lm-filter").toLocalIterator():
-        words[part.slice * words_per_slice:(part.slice + 1) * words_per_slice] = np.frombuffer(part.bits, U64)
-    sent = spark.sparkContext.broadcast(words)
 
     def score(batches):
-        """Per piece: one row of what is known here, and the rare words by slice."""
-        keys, gains = sent_head.value
-        filt = Filter(sent.value)
+        """Per piece: one row of its texts as numbers of its distinct words, and its distinct n-grams by slice.
+
+        The pairs carry how often they stand in rows to learn from.
+        """
         task = TaskContext.get().partitionId()
         for number, rb in enumerate(pieces(batches)):
             chunk = task << 32 | number
             words, cut = tokens(rb.column("text"))
-            counts = np.diff(cut)
-            row = np.repeat(np.arange(rb.num_rows), counts)
-            place = np.minimum(np.searchsorted(keys, words), max(0, len(keys) - 1))
-            found = keys[place] == words if len(keys) else np.zeros(len(words), dtype=bool)
-            sums = np.bincount(row[found], weights=gains[place[found]], minlength=rb.num_rows)
-            known = np.bincount(row[found], minlength=rb.num_rows)
-            here = pa.table({"doc_id": rb.column("doc_id"), "held_out": rb.column("held_out"), "n_tokens": pa.array(counts),
-                             "known": pa.array(known), "sums": pa.array(sums),
-                             "score": pa.array(log_probability(filt, words, cut, n, v))})
+            unique, back = np.unique(words, return_inverse=True)
+            pair, at = pairs(words, cut)
+            pair, which = np.unique(pair, return_inverse=True)
+            learn = np.repeat(~rb.column("held_out").to_numpy(zero_copy_only=False).astype(bool), np.diff(cut))[at]
+            times = np.bincount(which[learn], minlength=len(pair)).astype(np.int64)
+            here = pa.table({"doc_id": rb.column("doc_id"), "held_out": rb.column("held_out"), "n_tokens": pa.array(np.diff(cut))})
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, here.schema) as w:
                 w.write_table(here)
-            rare = np.flatnonzero(~found)
-            rare = rare[np.argsort(words[rare], kind="stable")]
-            yield _batch([(number % slices, 2, chunk, sink.getvalue().to_pybytes(), b"", b""),
-                          *_packed(1, slices, words[rare], [row[rare].astype(np.int32), np.zeros(len(rare), np.int8)], chunk)])
+            rare = unique[~_found(unique, sent_head.value[0])[1]]
+            yield _batch([(number % slices, 2, chunk, sink.getvalue().to_pybytes(), _zip(np.diff(unique, prepend=U64(0))), _zip(back.astype(_number(unique)))),
+                          *_packed(3, slices, rare, [rare[:0], rare[:0]], chunk, True),
+                          *_packed(4, slices, pair, [times, rare[:0]], chunk, True)])
 
     def look_up(batches):
-        """Per slice: the counts come first, then the words to look up."""
-        now, keys_of, gain_of = None, np.zeros(0, U64), np.zeros(0)
+        """Per slice: the words' counts and all pairs fill its part of the filter, then the n-grams are looked up in it."""
+        def answers(k, one, asked):
+            two = Counter()
+            for kind, _, keys, times in asked:
+                if kind == 4:
+                    times = _unzip(times, np.int64)
+                    two.add(_unzip_keys(keys)[times > 0], times[times > 0])
+            filt = fill(k, (one, two))
+            for kind, chunk, keys, _ in asked:
+                grams, exact = _unzip_keys(keys), b""
+                if kind == 3:
+                    place, hit = _found(grams, one.keys)
+                    count = np.zeros(len(grams), np.int64)
+                    count[hit] = one.counts[place[hit]]
+                    exact = _zip(count)
+                yield k, kind, chunk, _zip(filt.level(grams).astype(np.uint8)), exact, b""
+
+        now, one, asked = None, Counter(), []
         for rb in batches:
             out = []
-            for k, kind, chunk, keys, a in each(rb, "slice", "kind", "chunk", "keys", "a"):
+            for k, kind, chunk, keys, a, b in each(rb, "slice", "kind", "chunk", "keys", "a", "b"):
                 if k != now:
-                    now, keys_of, gain_of = k, np.zeros(0, U64), np.zeros(0)
-                if kind == 0:
-                    keys_of, gain_of = np.frombuffer(keys, U64), np.log10(np.frombuffer(a, np.int64) + 1.0)
+                    if asked:
+                        yield from _batches(answers(now, one, asked))
+                    now, one, asked = k, Counter(), []
+                if kind == 1:
+                    one.add(np.frombuffer(keys, U64), np.frombuffer(a, np.int64))
+                    one.merge()
                 elif kind == 2:
-                    out.append((k, kind, chunk, keys.to_pybytes(), b"", b""))
-                elif len(keys_of):
-                    words, row = np.frombuffer(keys, U64), np.frombuffer(a, np.int32)
-                    place = np.minimum(np.searchsorted(keys_of, words), len(keys_of) - 1)
-                    hit = keys_of[place] == words
-                    if hit.any():
-                        rows_hit, back = np.unique(row[hit], return_inverse=True)
-                        gain = np.bincount(back, weights=gain_of[place[hit]])
-                        out.append((k, 1, chunk, rows_hit.tobytes(), gain.tobytes(), np.bincount(back).astype(np.int32).tobytes()))
-            if out:
-                yield _batch(out)
+                    out.append((k, kind, chunk, keys.to_pybytes(), a.to_pybytes(), b.to_pybytes()))
+                else:
+                    asked.append((kind, chunk, keys.to_pybytes(), a.to_pybytes()))
+            yield from _batches(out)
+        if asked:
+            yield from _batches(answers(now, one, asked))
 
     def total(batches):
-        """Per piece: what the slices found is added to what the head gave."""
-        def one(here, parts):
-            t = pa.ipc.open_stream(here).read_all()
-            sums, known, count = t["sums"].to_numpy().copy(), t["known"].to_numpy().copy(), t["n_tokens"].to_numpy()
-            for keys, a, b in parts:
-                row = np.frombuffer(keys, np.int32)
-                sums[row] += np.frombuffer(a, np.float64)
-                known[row] += np.frombuffer(b, np.int32)
+        """Per piece: its distinct n-grams meet what the slices found, in the order of their hashes."""
+        head_keys, head_counts = sent_head.value
+
+        def one(here, rare, two):
+            t, unique = pa.ipc.open_stream(here[0]).read_all(), _unzip_keys(here[1])
+            back = _unzip(here[2], _number(unique)).astype(np.int64)
+            count = t["n_tokens"].to_numpy()
+            cut = np.concatenate([[0], np.cumsum(count)])
+            place, top = _found(unique, head_keys)
+            exact, level = np.zeros(len(unique), np.int64), np.zeros(len(unique), np.int64)
+            exact[top] = head_counts[place[top]]
+            level[top] = levels(exact[top])
+            if rare:
+                exact[~top] = np.concatenate([_unzip(a, np.int64) for _, a in rare])
+                level[~top] = np.concatenate([_unzip(q, np.uint8) for q, _ in rare])
+            pair, at = pairs(unique[back], cut)
+            both = np.zeros(0)
+            if len(pair):
+                both = middle(np.concatenate([_unzip(q, np.uint8) for q, _ in two]).astype(np.int64))[np.unique(pair, return_inverse=True)[1]]
+            row = np.repeat(np.arange(len(count)), count)
+            sums = np.bincount(row, weights=np.log10(exact + 1.0)[back], minlength=len(count))
+            known = np.bincount(row[exact[back] > 0], minlength=len(count))
+            value = log_probability(middle(level)[back], both, at, cut, n, v)
             return pa.RecordBatch.from_arrays(
                 [t["doc_id"].combine_chunks(), t["held_out"].combine_chunks(), pa.array(count), pa.array(known),
-                 pa.array(np.full(len(count), n)), pa.array(sums - count * math.log10(n + v + 1)), t["score"].combine_chunks()],
+                 pa.array(np.full(len(count), n)), pa.array(sums - count * math.log10(n + v + 1)), pa.array(value)],
                 [x.split()[0] for x in _SCORES.split(", ")])
 
-        now, here, parts = None, None, []
+        now, here, found = None, None, ([], [])
         for rb in batches:
             for chunk, kind, keys, a, b in each(rb, "chunk", "kind", "keys", "a", "b"):
                 if chunk != now:
                     if now is not None:
-                        yield one(here, parts)
-                    now, here, parts = chunk, None, []
+                        yield one(here, *found)
+                    now, here, found = chunk, None, ([], [])
                 if kind == 2:
-                    here = keys
+                    here = keys, a, b
                 else:
-                    parts.append((keys, a, b))
+                    found[kind - 3].append((keys, a))
         if now is not None:
-            yield one(here, parts)
+            yield one(here, *found)
 
     return rows.mapInArrow(score, _ROWS).unionByName(counted).repartition("slice").sortWithinPartitions("slice", "kind") \
-        .mapInArrow(look_up, _ROWS).repartition("chunk").sortWithinPartitions("chunk", "slice").mapInArrow(total, _SCORES)
+        .mapInArrow(look_up, _ROWS).repartition("chunk").sortWithinPartitions("chunk", "kind", "slice").mapInArrow(total, _SCORES)
