@@ -9,7 +9,8 @@ then asked for further layers:
   zlib, gzip, bzip2, xz or Zstandard stream, as text.
 
 New layers join a worklist until it is empty.  A layer whose content was seen
-before in the same text is not opened again, which ends cycles.  Each character of
+before over the same ranges of the text is not opened again, which ends cycles; equal
+content from another place is, so every copy of a secret is found.  Each character of
 a layer remembers the range of the text it came from, so a find in any layer is
 reported as a span of the text: exact through escapes and base64, the whole run
 through compression.
@@ -228,7 +229,7 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     """
     text = text or ""
     base = sorted(find(text), key=lambda x: (x[0], x[2], x[1]))
-    spans, work, seen, opened, oversize = set(base), [Layer(text)], {_key(text)}, 0, 0
+    spans, work, seen, opened, oversize = set(base), [Layer(text)], {_key(Layer(text))}, 0, 0
     while work:
         layer = work.pop()
         if layer.starts is not None:
@@ -244,14 +245,19 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
             new.append(inner)
             oversize += cut
         for x in new:
-            if x is not None and x.text and (key := _key(x.text)) not in seen:
+            if x is not None and x.text and (key := _key(x)) not in seen:
                 seen.add(key)
                 work.append(x)
     return base, sorted(spans, key=lambda x: (x[0], x[2], x[1])), opened, oversize
 
 
-def _key(text: str) -> bytes:
-    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
+def _key(layer: Layer) -> bytes:
+    """Digest of a layer's content and of where it came from."""
+    key = hashlib.sha256(layer.text.encode("utf-8", "surrogatepass"))
+    if layer.starts is not None:
+        key.update(np.ascontiguousarray(layer.starts, dtype=np.int64).tobytes())
+        key.update(np.ascontiguousarray(layer.ends, dtype=np.int64).tobytes())
+    return key.digest()
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:

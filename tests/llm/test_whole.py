@@ -1,9 +1,11 @@
 """Whole jobs: nothing is capped, cut or dropped where inputs grow or cases pile up."""
 
+import base64
+import gzip
 import math
 from collections import Counter
 
-from quarry.llm import lm
+from quarry.llm import lm, secrets
 from quarry.llm.queries import QUERIES
 
 
@@ -44,3 +46,16 @@ def test_rare_words_meet_their_slice_of_the_filter(spark, sf_smoke):
     for d, r in whole.items():
         assert r.n_known == rare[d].n_known and math.isclose(r.base_score, rare[d].base_score, rel_tol=1e-9)
         assert abs(r.score - rare[d].score) <= 0.05 * r.n_tokens
+
+
+# ------------------------------------------------------------------ 6 secrets
+
+def test_every_encoded_copy_is_found_and_redacted():
+    secret = b'password = "correct-horse-9"'
+    once, packed = base64.b64encode(secret).decode(), base64.b64encode(gzip.compress(secret)).decode()
+    text = f"first {once} again {once} packed {packed} and {packed} end"
+    spans = secrets.scan(text)[1]
+    at = [m for m in range(len(text)) if text.startswith((once, packed), m)]
+    assert len(at) == 4 and all(any(a <= s < a + len(packed) for s, _, _ in spans) for a in at)
+    clean = secrets.redact(text, spans)
+    assert clean.count("[assign]") == 4 and secrets.scan(clean)[1] == []
