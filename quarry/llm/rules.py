@@ -7,8 +7,9 @@ the sum of its n-grams' weights divided by their number, and the verdict a fixed
 threshold on it.
 
 Everything is DataFrame expressions: texts stay in their rows, only bucket counts
-and one row for each document are shuffled, and the broadcasts are the weights (one
-row a bucket) and the ids of at most ``trusted_docs`` trusted documents.
+and one row for each document are shuffled, and the weights (one row a bucket) are
+broadcast.  The ids of the trusted documents, all of them, are joined: broadcast while
+they are few, shuffled with the texts beyond.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from quarry.llm.base import save
 
 BUCKETS = 1 << 17
 SMOOTHING = 1.0
-TRUSTED_DOCS = 50_000
 THRESHOLD = -0.15
 WORD = r"[^\\x20\\x09-\\x0D]+"
 #: Bits of a packed window that hold its place; a text has fewer words than 2 ** 27.
@@ -68,10 +68,10 @@ GRAMS = f"""concat(transform(words, w -> int(pmod(xxhash64(w), {BUCKETS}))),
 def ratio_weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """(bucket, weight): log ratio of the trusted to the raw probability of each bucket.
 
-    ``docs``: doc_id and text of the whole raw corpus; ``trusted``: a bounded table of
-    the ids of its trusted documents.
+    ``docs``: doc_id and text of the whole raw corpus; ``trusted``: the ids of its
+    trusted documents.
     """
-    marked = docs.join(F.broadcast(trusted.select("doc_id", F.lit(1).alias("trusted")).distinct()), "doc_id", "left")
+    marked = docs.join(trusted.select("doc_id", F.lit(1).alias("trusted")).distinct(), "doc_id", "left")
     counts = save(marked.selectExpr("trusted", f"{words_of()} AS words").selectExpr("trusted", f"explode({GRAMS}) AS bucket")
                   .groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("target")), "rules-grams")
     total = counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
@@ -101,8 +101,8 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
         .select(*keys[1:], "ratio", (~F.col("base_failed") & (F.col("ratio") >= threshold)).alias("kept"))
 
 
-def trusted_ids(labels: DataFrame, limit: int = TRUSTED_DOCS) -> DataFrame:
-    """Ids of at most ``limit`` documents whose every label says good (the first by a hash of the id)."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of all documents whose every label says good."""
     good = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")) \
         .agg(F.min("quality").alias("quality")).where("quality = 1")
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select("doc_id")
+    return good.select("doc_id")

@@ -5,7 +5,7 @@ import gzip
 import math
 from collections import Counter
 
-from quarry.llm import lm, secrets
+from quarry.llm import lm, rules, secrets
 from quarry.llm.queries import QUERIES
 
 
@@ -59,3 +59,10 @@ def test_every_encoded_copy_is_found_and_redacted():
     assert len(at) == 4 and all(any(a <= s < a + len(packed) for s, _, _ in spans) for a in at)
     clean = secrets.redact(text, spans)
     assert clean.count("[assign]") == 4 and secrets.scan(clean)[1] == []
+
+
+# ------------------------------------------------------------------ 7 rules
+
+def test_all_good_documents_are_trusted(spark):
+    labels = spark.range(60000).selectExpr("id AS doc_id", "IF(id % 6 = 5, 0, 1) AS quality")
+    assert rules.trusted_ids(labels).count() == 50000 and rules.trusted_ids(labels.withColumn("quality", labels.quality * 0 + 1)).count() == 60000
