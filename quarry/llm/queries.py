@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, language, lm, quality, rules, secrets, sentencepiece, simhash, suffix, toxicity
+from quarry.llm import (decontaminate, language, lm, oracle, periodic, quality, rules, secrets, sentencepiece, shards, simhash, suffix,
+                        toxicity, trie)
 from quarry.llm.base import documents, table
 
 
@@ -59,6 +60,21 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode(documents(spark, sf_dir))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of runs, strongest run and digests of every document."""
+    return periodic.digest(periodic.periodic_runs(periodic.with_planted_runs(documents(spark, sf_dir))))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, by bytes."""
+    return shards.assign(documents(spark, sf_dir), shards=8)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"), shared_starts=True)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_simhash": op2_simhash,
@@ -70,6 +86,13 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_decontamination": op9_decontamination,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_sharding": op12_sharding,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op11_periodic_runs": oracle.PERIODIC_RUNS,
+    "op12_sharding": oracle.SHARDING,
+    "op13_prefix_trie": oracle.PREFIX_TRIE,
+}
