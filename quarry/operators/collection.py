@@ -1,10 +1,11 @@
-"""Collections: points, their ids and postings, stored as loads that add and replace.
+"""Collections: points, their ids and postings, where the newest load of a document counts.
 
 A point is a chunk with its sparse vector.  Parts of a stored collection:
 ``points`` (doc_id, chunk_no, content, field, indices, values), ``ids`` (doc_id,
-chunk_no, point_id), ``postings`` (term_bucket, term_index, doc_id, chunk_no, field,
+chunk_no, given, nth), ``postings`` (term_bucket, term_index, doc_id, chunk_no, field,
 weight), ``docs`` (doc_id, path, modificationTime, length, content_sha),
-``skipped`` and ``quarantine``.  A load writes its own documents only.
+``skipped`` and ``quarantine``; ``copy`` is the load that first wrote a row.  A load
+writes its own documents only.  A point's id is the ``nth`` that load ``given`` gave.
 """
 
 from __future__ import annotations
@@ -14,13 +15,18 @@ from pyspark.sql import functions as F
 
 from quarry.config import DEFAULT_FIELD, DEFAULT_TERM_BUCKETS
 from quarry.operators import terms
-from quarry.sources.deltas import Deltas
+from quarry.sources.loads import Loads
 
 POINT_KEYS = ["doc_id", "chunk_no"]
-POINTS = "doc_id string, chunk_no int, content string, field string, indices array<bigint>, values array<double>"
-IDS = "doc_id string, chunk_no int, point_id bigint"
-POSTINGS = "term_index bigint, doc_id string, chunk_no int, field string, weight double, term_bucket int"
-DOCS = "doc_id string, path string, modificationTime timestamp, length bigint, content_sha string"
+SCHEMAS = {
+    "points": "doc_id string, chunk_no int, content string, field string, indices array<bigint>, values array<double>, copy long",
+    "ids": "doc_id string, chunk_no int, given long, nth long, copy long",
+    "postings": "term_index bigint, doc_id string, chunk_no int, field string, weight double, copy long, term_bucket int",
+    "docs": "doc_id string, path string, modificationTime timestamp, length bigint, content_sha string",
+    "skipped": "doc_id string, chunk_no int, n_bytes int, reason string",
+    "quarantine": "path string, reason string",
+    "gone": "doc_id string",
+}
 
 
 # ---------------------------------------------------------------------------
@@ -69,8 +75,8 @@ def dense_ids(df: DataFrame, order_cols, base: int = 0, id_col: str = "point_id"
 # ---------------------------------------------------------------------------
 # Stored collections
 # ---------------------------------------------------------------------------
-def store(spark: SparkSession, path: str) -> Deltas:
-    return Deltas(spark, path, ["doc_id"])
+def store(spark: SparkSession, path: str) -> Loads:
+    return Loads(spark, path, ["doc_id"], SCHEMAS)
 
 
 def collection_exists(spark: SparkSession, path: str) -> bool:
@@ -82,45 +88,46 @@ def create_collection(spark: SparkSession, path: str, n_buckets: int = DEFAULT_T
     s = store(spark, path)
     if s.exists():
         return False
-    n = s.claim()
-    for part, schema in (("points", POINTS), ("ids", IDS), ("docs", DOCS)):
-        s.write(n, part, spark.createDataFrame([], schema))
-    s.write(n, "settings", spark.createDataFrame([(n_buckets,)], "n_buckets int"))
-    s.complete(n, base=True)
+    # two creators at once write the same parts, empty both
+    spark.createDataFrame([(n_buckets,)], "n_buckets int").coalesce(1).write.mode("ignore").parquet(f"{path}/settings")
+    first = s.begin()
+    for part in ("points", "ids", "docs", "postings"):
+        s.write(first, part, spark.createDataFrame([], SCHEMAS[part]), *(["term_bucket"] if part == "postings" else []))
+    s.complete(first)
     return True
 
 
-def _open(spark: SparkSession, path: str) -> Deltas:
+def _open(spark: SparkSession, path: str) -> Loads:
     s = store(spark, path)
     if not s.exists():
         raise FileNotFoundError(f"collection {path} does not exist; create it first")
     return s
 
 
-def term_buckets(s: Deltas) -> int:
-    return s.rows("settings").agg(F.max("n_buckets")).first()[0]
+def term_buckets(spark: SparkSession, path: str) -> int:
+    return spark.read.schema("n_buckets int").parquet(f"{path}/settings").agg(F.max("n_buckets")).first()[0]
 
 
 def read_collection(spark: SparkSession, path: str, field: str = DEFAULT_FIELD) -> DataFrame:
     """``point_id, doc_id, chunk_no, content, indices, values`` of the live points of a field."""
     s = _open(spark, path)
     pts = s.live("points").where(F.col("field") == field)
-    return (pts.join(s.live("ids"), [*POINT_KEYS, "load"])
+    return (pts.join(s.with_ids(s.live("ids")).drop("load"), [*POINT_KEYS, "copy"])
                .select("point_id", *POINT_KEYS, "content", "indices", "values"))
 
 
 def read_postings(spark: SparkSession, path: str, field: str = DEFAULT_FIELD) -> tuple[DataFrame, DataFrame, int]:
-    """(postings, points, term buckets) of the live points of a field, each row with its ``load``."""
+    """(postings, points, term buckets) of the live points of a field, each row with its ``copy``."""
     s = _open(spark, path)
-    post = s.live("postings") if s.has("postings") else spark.createDataFrame([], f"{POSTINGS}, load int")
-    return (post.where(F.col("field") == field), s.live("points").where(F.col("field") == field), term_buckets(s))
+    return (s.live("postings").where(F.col("field") == field), s.live("points").where(F.col("field") == field),
+            term_buckets(spark, path))
 
 
-def assign_ids(keys: DataFrame, old: DataFrame, last: int) -> DataFrame:
-    """``doc_id, chunk_no, point_id``: a key of ``old`` keeps its id, the others follow ``last``."""
-    both = keys.select(*POINT_KEYS).join(old.select(*POINT_KEYS, "point_id"), POINT_KEYS, "left")
-    fresh = dense_ids(both.where("point_id IS NULL").select(*POINT_KEYS), POINT_KEYS, last)
-    return both.where("point_id IS NOT NULL").unionByName(fresh).select(*POINT_KEYS, "point_id")
+def assign_ids(keys: DataFrame, old: DataFrame, load: int) -> DataFrame:
+    """``doc_id, chunk_no, given, nth``: a key of ``old`` keeps its id, the others are the load's first, second, ..."""
+    both = keys.select(*POINT_KEYS).join(old.select(*POINT_KEYS, "given", "nth"), POINT_KEYS, "left")
+    fresh = dense_ids(both.where("given IS NULL").select(*POINT_KEYS), POINT_KEYS, id_col="nth")
+    return both.where("given IS NOT NULL").unionByName(fresh.withColumn("given", F.lit(load).cast("long")))
 
 
 def upsert_collection(spark: SparkSession, path: str, new: DataFrame, mode: str = "upsert",
@@ -130,42 +137,44 @@ def upsert_collection(spark: SparkSession, path: str, new: DataFrame, mode: str
 
     ``upsert``: every document of ``replaced`` (by default those of ``new``) loses its
     earlier points, those without new points too; a key already present keeps its
-    id, the others follow the largest id ever given.  ``append``: all get new ids.
+    id, the others get new ones.  ``append``: all get new ids.  New ids follow those of
+    all loads that finished earlier; two loads at once never give the same one.
     ``parts``: further rows to store with the load.  Content and vectors are written
     once; ids and postings are made from what was written.
     """
     if mode not in ("upsert", "append"):
         raise ValueError("mode must be 'upsert' or 'append'")
     s = _open(spark, path)
-    buckets, last = term_buckets(s), s.rows("ids").agg(F.coalesce(F.max("point_id"), F.lit(0))).first()[0]
-    n = s.claim()
-    s.write(n, "points", new.select(F.col("doc_id").cast("string").alias("doc_id"), "chunk_no", "content",
-                                    F.lit(field).alias("field"), "indices", "values"))
+    load, buckets = s.begin(), term_buckets(spark, path)
+    copy = F.lit(load).cast("long").alias("copy")
+    s.write(load, "points", new.select(F.col("doc_id").cast("string").alias("doc_id"), "chunk_no", "content",
+                                       F.lit(field).alias("field"), "indices", "values", copy))
     for part, df in (parts or {}).items():
-        s.write(n, part, df)
-    written = s.rows("points", [n])
+        s.write(load, part, df)
+    written = s.rows("points", [load])
     if mode == "upsert":
         gone = written.select("doc_id") if replaced is None else replaced.select(F.col("doc_id").cast("string").alias("doc_id"))
-        s.write(n, "gone", gone.distinct())
-        s.write(n, "ids", assign_ids(written, s.live("ids"), last))
+        s.write(load, "gone", gone.distinct())
+        ids = assign_ids(written, s.live("ids"), load)
     else:
-        s.write(n, "ids", dense_ids(written.select(*POINT_KEYS), POINT_KEYS, last).select(*POINT_KEYS, "point_id"))
-    write_postings(s, n, written, buckets)
-    s.complete(n)
-    return n
+        ids = dense_ids(written.select(*POINT_KEYS), POINT_KEYS, id_col="nth").withColumn("given", F.lit(load).cast("long"))
+    s.write(load, "ids", ids.select(*POINT_KEYS, "given", "nth", copy))
+    write_postings(s, load, written, buckets)
+    s.complete(load, n_ids=s.rows("ids", [load]).where(F.col("given") == load).count())
+    return load
 
 
-def write_postings(s: Deltas, n: int, written: DataFrame, buckets: int) -> None:
+def write_postings(s: Loads, load: int, written: DataFrame, buckets: int) -> None:
     """Postings by term bucket, through a REBALANCE that splits a hot bucket over several writers."""
-    entries = written.select(*POINT_KEYS, "field", F.explode(F.arrays_zip("indices", "values")).alias("e"))
-    post = entries.select(F.col("e.indices").alias("term_index"), *POINT_KEYS, "field", F.col("e.values").alias("weight")) \
+    entries = written.select(*POINT_KEYS, "field", "copy", F.explode(F.arrays_zip("indices", "values")).alias("e"))
+    post = entries.select(F.col("e.indices").alias("term_index"), *POINT_KEYS, "field", F.col("e.values").alias("weight"), "copy") \
         .withColumn("term_bucket", F.pmod("term_index", F.lit(buckets)).cast("int"))
-    s.write(n, "postings", post.hint("rebalance", "term_bucket").sortWithinPartitions("term_bucket", "term_index"), "term_bucket")
+    s.write(load, "postings", post.hint("rebalance", "term_bucket").sortWithinPartitions("term_bucket", "term_index"), "term_bucket")
 
 
 def compact_collection(spark: SparkSession, path: str) -> int:
     """Rewrite the live rows as one load (a separate, occasional job)."""
-    return _open(spark, path).compact({"postings": ["term_bucket"]})
+    return _open(spark, path).compact(["points", "ids", "docs", "postings"], {"postings": ["term_bucket"]})
 
 
 def collection_stats(points_df: DataFrame) -> DataFrame:

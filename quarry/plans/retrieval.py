@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarry.config import BROADCAST_HITS_MAX_ROWS, DEFAULT_TERM_BUCKETS, PUSHDOWN_MAX_QUERY_TERMS, Settings
 from quarry.operators import chunking, prompts, search, terms
 from quarry.session import checkpoint_dir
-from quarry.sources.deltas import Deltas
+from quarry.sources.loads import Loads
 
 
 @dataclass
@@ -53,27 +53,28 @@ def write_index(index: Index, path: str, n_buckets: int = DEFAULT_TERM_BUCKETS)
     Files are sorted by term (tight parquet min/max per row group).  Every write
     is a load of its own: readers see the last complete one.
     """
-    d = Deltas(index.chunks.sparkSession, path, ["doc_id"])
-    n = d.claim()
-    d.write(n, "chunks", index.chunks)
-    chunks = d.rows("chunks", [n]).drop("load")
+    d = Loads(index.chunks.sparkSession, path, ["doc_id"])
+    load, earlier = d.begin(), d.current()
+    d.write(load, "chunks", index.chunks)
+    chunks = d.rows("chunks", [load]).drop("load")
     postings = terms.embed(chunks.repartition("doc_id", "chunk_no"), terms.CHUNK_KEYS, "content", index.settings) \
         if index.settings else index.postings
     post = (postings.select("doc_id", "chunk_no", "term_index", "weight")
             .withColumn("term_bucket", F.pmod(F.col("term_index"), F.lit(n_buckets)).cast("int"))
             .hint("rebalance", "term_bucket").sortWithinPartitions("term_bucket", "term_index"))
-    d.write(n, "postings", post, "term_bucket")
-    d.write(n, "settings", d.spark.createDataFrame([(n_buckets,)], "n_buckets int"))
-    d.complete(n, base=True)
+    d.write(load, "postings", post, "term_bucket")
+    d.write(load, "settings", d.spark.createDataFrame([(n_buckets,)], "n_buckets int"))
+    d.complete(load, covers=earlier)
 
 
 def read_index(spark, path: str) -> Index:
     """Open the last complete index written by :func:`write_index`."""
-    d = Deltas(spark, path, ["doc_id"])
+    d = Loads(spark, path, ["doc_id"])
     if not d.exists():
         raise FileNotFoundError(f"no postings under {path}")
-    n_buckets = d.rows("settings").first()["n_buckets"]
-    return Index(d.rows("chunks").drop("load"), d.rows("postings").drop("load"), None, n_buckets)
+    last = [d.current()[-1].load]
+    n_buckets = d.rows("settings", last).first()["n_buckets"]
+    return Index(d.rows("chunks", last).drop("load"), d.rows("postings", last).drop("load"), None, n_buckets)
 
 
 @dataclass

@@ -97,12 +97,63 @@ def test_a_small_load_writes_little_and_an_unfinished_one_is_ignored(spark, pts)
     collection.upsert_collection(spark, path, one)
     assert size_of(path) - whole < whole / 4
     s = collection.store(spark, path)
-    n = s.claim()
-    s.write(n, "points", spark.createDataFrame([("x", 0, "lost", "text", [1], [1.0])], collection.POINTS))  # never completed
-    assert s.claim() == n + 1
+    lost = spark.createDataFrame([("x", 0, "lost", "text", [1], [1.0], 1)], collection.SCHEMAS["points"])
+    s.write(s.begin(), "points", lost)  # never completed
     assert collection.read_collection(spark, path).count() == pts.count()
+    before = sorted(map(tuple, collection.read_collection(spark, path).select("point_id", "doc_id", "chunk_no").collect()))
     collection.compact_collection(spark, path)
-    assert len(s.loads()) == 1 and collection.read_collection(spark, path).count() == pts.count()
+    after = sorted(map(tuple, collection.read_collection(spark, path).select("point_id", "doc_id", "chunk_no").collect()))
+    assert len(s.current()) == 1 and after == before and len(after) == pts.count()
+
+
+def test_two_writers_at_once(spark, pts):
+    """Two loads that run side by side: no id is given twice, and the one that finishes last wins."""
+    from concurrent.futures import ThreadPoolExecutor
+    path = scratch_path(spark, "coll")
+    collection.create_collection(spark, path)
+    few = pts.orderBy("doc_id", "chunk_no").limit(6).checkpoint()
+    with ThreadPoolExecutor(4) as pool:
+        loads = list(pool.map(lambda k: collection.upsert_collection(
+            spark, path, few.withColumn("content", F.lit(f"writer {k}")), "append" if k % 2 else "upsert"), range(4)))
+    assert len(set(loads)) == 4
+    s = collection.store(spark, path)
+    ids = [r.point_id for r in s.with_ids(s.rows("ids")).collect()]
+    new = [r.point_id for r in s.with_ids(s.rows("ids").where("given = load")).collect()]
+    assert len(new) == len(set(new)) and set(ids) == set(new) and sorted(new) == list(range(1, len(new) + 1))
+    c = collection.read_collection(spark, path).collect()
+    order = [f.load for f in s.finished()]
+    last_upsert = max(order.index(loads[0]), order.index(loads[2]))
+    winners = {f"writer {loads.index(n)}" for n in order[last_upsert:]}
+    assert {r.content for r in c} == winners and len(c) == 6 * len(winners)
+    assert len({r.point_id for r in c}) == len(c)
+
+
+def test_a_load_that_finishes_during_a_compaction_is_kept(spark, pts):
+    path = scratch_path(spark, "coll")
+    collection.create_collection(spark, path)
+    few = pts.orderBy("doc_id", "chunk_no").limit(3).checkpoint()
+    collection.upsert_collection(spark, path, few)
+    s = collection.store(spark, path)
+    now, compacted = s.current(), s.begin()
+    for part in ("points", "ids", "docs", "postings"):
+        s.write(compacted, part, s.live(part).drop("load"), *(["term_bucket"] if part == "postings" else []))
+    collection.upsert_collection(spark, path, few.withColumn("content", F.lit("later")))
+    s.complete(compacted, covers=now)
+    assert [r.content for r in collection.read_collection(spark, path).collect()] == ["later"] * 3
+    assert s.live("postings").select("doc_id", "chunk_no").distinct().count() == 3
+
+
+def test_appended_copies_stay_apart_after_compaction(spark, pts):
+    from quarry.plans import commands
+    path = scratch_path(spark, "coll")
+    collection.create_collection(spark, path)
+    one = pts.orderBy("doc_id", "chunk_no").limit(1).checkpoint()
+    for _ in range(2):
+        collection.upsert_collection(spark, path, one, "append")
+    q = spark.createDataFrame([(1, one.first().content, None, None)], "query_id long, query string, limit long, model string")
+    before = sorted(map(tuple, commands.serve(spark, path, q).hits.collect()))
+    collection.compact_collection(spark, path)
+    assert len(before) == 2 and sorted(map(tuple, commands.serve(spark, path, q).hits.collect())) == before
 
 
 def test_fields_are_searched_apart(spark, pts):

@@ -113,7 +113,7 @@ def test_spoilt_cache_is_read_again_and_unreadable_files_go(spark):
     coll, parsed = scratch_path(spark, "coll"), scratch_path(spark, "parsed")
     commands.load(spark, d, coll, parsed, extractors=PDF)
     cache = commands.parsed_table(spark, parsed)
-    n = cache.claim()
+    n = cache.begin()
     spoilt = cache.live("texts").drop("load").withColumn("text", F.concat("text", F.lit("!"))).checkpoint()
     cache.write(n, "texts", spoilt)
     cache.write(n, "gone", spoilt.select(*commands.VERSION))
@@ -132,6 +132,22 @@ def test_spoilt_cache_is_read_again_and_unreadable_files_go(spark):
     assert collection.store(spark, coll).rows("skipped", [r["load"]]).count() == 1
 
 
+def test_files_known_by_path_keep_their_first_text(spark):
+    d = make_folder()
+    coll, parsed = scratch_path(spark, "coll"), scratch_path(spark, "parsed")
+    commands.load(spark, d, coll, parsed, extractors=PDF, key="path")
+    first = contents(spark, coll)
+    with open(os.path.join(d, "test.txt"), "w") as f:
+        f.write("A longer text that no one reads.")
+    with open(os.path.join(d, "new.txt"), "w") as f:
+        f.write("A new file.")
+    r = commands.load(spark, d, coll, parsed, extractors=PDF, key="path")
+    assert r["loaded"] == 1 and contents(spark, coll) == sorted([*first, "A new file."])
+    r = commands.load(spark, d, scratch_path(spark, "coll"), parsed, extractors=PDF, key="path")
+    assert (r["parsed"], r["loaded"]) == (0, 4)
+    assert commands.load(spark, d, coll, parsed, extractors=PDF)["parsed"] == 1
+
+
 def test_each_file_is_extracted_once(spark, tmp_path):
     d, log = make_folder(), str(tmp_path / "calls")
 
