@@ -248,7 +248,15 @@ def identify(recs: DataFrame, key: str = "key", least: float = 0.5, model: TextM
                       accepted.alias("accepted"))
 
 
-def keep_accepted(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents without those whose every row was rejected; rows without id stay."""
-    rejected = found.where(F.col(key).isNotNull()).groupBy(key).agg(F.max("accepted").alias("any")).where("NOT any").select(key)
-    return docs.join(rejected, key, "left_anti")
+def keep_accepted(docs: DataFrame, found: DataFrame, key: str = "doc_id", lang: str = "lang") -> DataFrame:
+    """The documents without those whose every row was rejected; ``lang`` becomes the language found.
+
+    Rows that share an id get the likeliest accepted language among them; rows without
+    id stay as they are.  An empty table stays empty.
+    """
+    told = found.where(F.col(key).isNotNull()).groupBy(key).agg(
+        F.max("accepted").alias("_any"), F.max_by(F.when(F.col("accepted"), F.col("language")), F.when(F.col("accepted"), F.col("posterior"))).alias("_lang"))
+    kept = docs.join(told, key, "left").where("_any IS NULL OR _any")
+    if lang in docs.columns:
+        kept = kept.withColumn(lang, F.coalesce("_lang", F.col(lang)))
+    return kept.select(*docs.columns)

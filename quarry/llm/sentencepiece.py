@@ -19,6 +19,8 @@ ranks, taken as a Zipf law, 1 / (rank + 2); ``theta`` sharpens or flattens both.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +31,9 @@ from quarry.llm.base import U64, blob, mix, pieces, range_hash, running_sum
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Weight of a byte piece; it competes with nothing, its character has no piece.
 BYTE_WEIGHT = 1e-5
-#: Longer segments are filtered in logarithms.
-LINEAR_BYTES = 200
+#: Segments are filtered as plain products while their least likely path stays above
+#: this; longer ones byte by byte in logarithms.
+LEAST_PRODUCT = 1e-300
 
 
 class Vocabulary:
@@ -95,6 +98,12 @@ class Vocabulary:
             self.next[self.edges[:, 0], self.edges[:, 1]] = self.edges[:, 2]
             known = np.where(self.piece_of >= 0, self.piece_of, 0)
             self.gain = np.where(self.piece_of >= 0, self.weight[known], 0.0)
+            # no path over this many bytes weighs less than LEAST_PRODUCT: a piece has a byte at least
+            least = min(float(self.gain[self.gain > 0].min(initial=1.0)), BYTE_WEIGHT, 0.5)
+            self.linear = int(np.log(LEAST_PRODUCT) / np.log(least))
+            self.step, self.ids = memoryview(self.next.ravel()), self.piece_of.tolist()
+            with np.errstate(divide="ignore"):
+                self.logs = np.log(self.gain).tolist()
         return self
 
 
@@ -106,7 +115,7 @@ def _one_char(p: bytes) -> bool:
 
 
 def segments(v: Vocabulary, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Starts of the stretches that no piece can cross."""
+    """Starts of the stretches that no piece can cross; a character without a piece is one of its own."""
     cut = np.zeros(len(data), dtype=bool)
     cut[off[:-1][off[:-1] < len(data)]] = True
     if v.words:
@@ -115,6 +124,9 @@ def segments(v: Vocabulary, data: np.ndarray, off: np.ndarray) -> np.ndarray:
     lone = v.alone[data]
     cut |= lone
     cut[1:] |= lone[:-1]
+    unknown = spelt(v, data)
+    cut |= unknown & ((data & 0xC0) != 0x80)
+    cut[1:] |= unknown[:-1] & ~unknown[1:]
     return np.flatnonzero(cut)
 
 
@@ -133,7 +145,7 @@ def spelt(v: Vocabulary, data: np.ndarray) -> np.ndarray:
 
 
 def filter_forward(v: Vocabulary, text: np.ndarray, lone: np.ndarray, base: np.ndarray, length: np.ndarray,
-                   total: np.ndarray, which: np.ndarray, logs: bool) -> None:
+                   total: np.ndarray, which: np.ndarray) -> None:
     """Fill in ``total`` the weight of all paths to each node of the chosen segments.
 
     Segment s has its nodes at ``base[s] + s`` onwards, one more than its bytes.
@@ -143,15 +155,13 @@ def filter_forward(v: Vocabulary, text: np.ndarray, lone: np.ndarray, base: np.n
         return
     order = pick[np.argsort(-length[pick], kind="stable")]
     at, size, node = base[order], length[order], (base + np.arange(len(base)))[order]
-    total[node] = 0.0 if logs else 1.0
-    gain = np.log(np.maximum(v.gain, 1e-300)) if logs else v.gain
-    by_byte = np.log(BYTE_WEIGHT) if logs else BYTE_WEIGHT
+    total[node] = 1.0
     for r in range(1, int(size[0]) + 1):
         n = int(np.searchsorted(-size, -r, side="right"))
         end, nd = at[:n] + r, node[:n] + r
-        acc = np.full(n, -np.inf) if logs else np.zeros(n)
+        acc = np.zeros(n)
         low = np.flatnonzero(lone[end - 1])
-        acc[low] = total[nd[low] - 1] + by_byte if logs else total[nd[low] - 1] * by_byte
+        acc[low] = total[nd[low] - 1] * BYTE_WEIGHT
         who = np.flatnonzero(~lone[end - 1])
         state = np.zeros(len(who), dtype=np.int32)
         for k in range(1, r + 1):
@@ -162,15 +172,60 @@ def filter_forward(v: Vocabulary, text: np.ndarray, lone: np.ndarray, base: np.n
                 break
             hit = v.piece_of[state] >= 0
             w, s = who[hit], state[hit]
-            if logs:
-                acc[w] = np.logaddexp(acc[w], total[nd[w] - k] + gain[s])
-            else:
-                acc[w] += total[nd[w] - k] * gain[s]
+            acc[w] += total[nd[w] - k] * v.gain[s]
             inner = state < v.inner
             who, state = who[inner], state[inner]
         total[nd] = acc
 
 
+def filter_long(v: Vocabulary, text: bytes) -> list[float]:
+    """Logarithm of the weight of all paths to each node of one segment of known characters."""
+    step, ids, logs, inner = v.step, v.ids, v.logs, v.inner
+    total = [0.0] * (len(text) + 1)
+    for r in range(1, len(text) + 1):
+        state, k, terms = 0, r - 1, []
+        while k >= 0:
+            state = step[state << 8 | text[k]]
+            if state < 0:
+                break
+            if ids[state] >= 0 and total[k] > -math.inf:
+                terms.append(total[k] + logs[state])
+            if state >= inner:
+                break
+            k -= 1
+        if len(terms) < 2:
+            total[r] = terms[0] if terms else -math.inf
+        else:
+            top = max(terms)
+            total[r] = top + math.log(sum(math.exp(t - top) for t in terms))
+    return total
+
+
+def sample_long(v: Vocabulary, text: bytes, total: list[float], u: list[float]) -> list[int]:
+    """Piece ids of one segment, drawn backwards; ``u[n]``: the number drawn with n bytes left."""
+    step, ids, logs, inner = v.step, v.ids, v.logs, v.inner
+    out, left = [], len(text)
+    while left:
+        state, k, acc, got, to = 0, left - 1, 0.0, -1, left
+        while k >= 0:
+            state = step[state << 8 | text[k]]
+            if state < 0:
+                break
+            if ids[state] >= 0 and total[k] > -math.inf:
+                acc += math.exp(total[k] + logs[state] - total[left])
+                got, to = ids[state], k  # stands unless a longer piece is reached
+                if acc > u[left]:
+                    break
+            if state >= inner:
+                break
+            k -= 1
+        if got < 0:
+            raise ValueError("a known character has no piece")
+        out.append(got)
+        left = to
+    return out[::-1]
+
+
 def sample(v: Vocabulary, data: np.ndarray, off: np.ndarray, keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(piece ids of all rows, n + 1 offsets of the rows in them)."""
     if not len(data):
@@ -188,26 +243,36 @@ def sample(v: Vocabulary, data: np.ndarray, off: np.ndarray, keys: np.ndarray, s
     text = data[np.repeat(at - base, length) + np.arange(int(length.sum()))]
     lone = spelt(v, text)
     total = np.zeros(len(text) + len(base))
-    long = length > LINEAR_BYTES
-    filter_forward(v, text, lone, base, length, total, ~long, False)
-    filter_forward(v, text, lone, base, length, total, long, True)
+    unknown = lone[base]  # the first byte tells: such a character is a segment of its own
+    long = (length > v.linear) & ~unknown
+    filter_forward(v, text, lone, base, length, total, ~long)
 
     # backward sampling over all occurrences
     node_of = base + np.arange(len(base))
     with np.errstate(over="ignore"):
         stream = mix(keys.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(seed))[row] + (start - off[row]).astype(U64) * U64(0xD1B54A32D192ED03)
+
+    def drawn(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (mix(stream[at] + left.astype(U64)) >> U64(11)).astype(np.float64) * 2.0 ** -53
+
+    count = np.zeros(len(start), dtype=np.int64)
+    slow: dict[int, list[int]] = {}
+    for k in np.flatnonzero(long).tolist():
+        part = text[base[k]:base[k] + length[k]].tobytes()
+        logs = filter_long(v, part)
+        for o in np.flatnonzero(kind == k).tolist():
+            slow[o] = sample_long(v, part, logs, drawn(np.full(len(part) + 1, o), np.arange(len(part) + 1)).tolist())
+            count[o] = len(slow[o])
+
     active = np.argsort(kind, kind="stable")  # equal segments together: near reads
+    active = active[~long[kind[active]]]
     left = size.copy()
     ids, owners = [], []
-    gain_log = np.log(np.maximum(v.gain, 1e-300))
     while len(active):
         k0 = kind[active]
         end, nd = base[k0] + left[active], node_of[k0] + left[active]
-        with np.errstate(over="ignore"):
-            u = (mix(stream[active] + left[active].astype(U64)) >> U64(11)).astype(np.float64) * 2.0 ** -53
-        logs = long[k0]
-        some = logs.any()
-        goal = u * (np.where(logs, 1.0, total[nd]) if some else total[nd])
+        goal = drawn(active, left[active]) * total[nd]
         got, took = np.full(len(active), -1, dtype=np.int32), np.ones(len(active), dtype=np.int64)
         low = np.flatnonzero(lone[end - 1])
         got[low] = v.byte_id[text[end[low] - 1]]
@@ -222,9 +287,6 @@ def sample(v: Vocabulary, data: np.ndarray, off: np.ndarray, keys: np.ndarray, s
             hit = np.flatnonzero(v.piece_of[state] >= 0)
             w, s = who[hit], state[hit]
             part = total[nd[w] - k] * v.gain[s]
-            if some and len(w):
-                in_log = logs[w]
-                part[in_log] = np.exp(total[nd[w] - k] + gain_log[s] - total[nd[w]])[in_log]
             real = part > 0
             hit, w, s = hit[real], w[real], s[real]
             acc[hit] += part[real]
@@ -234,18 +296,21 @@ def sample(v: Vocabulary, data: np.ndarray, off: np.ndarray, keys: np.ndarray, s
             k += 1
             go = ~done & (state < v.inner) & (left[active[who]] >= k)
             who, state, acc = who[go], state[go], acc[go]
+        if (got < 0).any():
+            raise ValueError("a known character has no piece")
         ids.append(got)
         owners.append(active)
         left[active] -= took
         active = active[left[active] > 0]
 
-    count = np.zeros(len(start), dtype=np.int64)
     for o in owners:
         count[o] += 1
     last = np.cumsum(count) - 1
     out = np.zeros(int(last[-1]) + 1, dtype=np.int32)
     for step, (o, i) in enumerate(zip(owners, ids)):
         out[last[o] - step] = i
+    for o, i in slow.items():
+        out[last[o] - len(i) + 1:last[o] + 1] = i
     per_row = np.bincount(row, weights=count, minlength=len(off) - 1).astype(np.int64)
     return out, np.concatenate([[0], np.cumsum(per_row)])
 
@@ -263,7 +328,8 @@ def encode(docs: DataFrame, model: str = MODEL, seed: int = 42, theta: float = 1
 
     ``lossless``: the pieces spell the text's bytes again.  Null and empty texts
     have no pieces; rows of equal id and text have equal pieces; a null id is a
-    key of its own.  ``model`` is read on the driver and sent to the tasks.
+    key of its own; an empty table gives no rows; a very long text is worked on whole,
+    in time proportional to it.  ``model`` is read on the driver and sent to the tasks.
     """
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model, theta))
 

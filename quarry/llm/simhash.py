@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.base import U64, connected_components, pieces, save
@@ -233,10 +233,10 @@ def links(distinct: DataFrame, radius: int = 4, blocks: int = 6, tile: int = 409
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, blocks: int = 6,
                     tile: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id): the group of each document under the links.
+    """(doc_id, fp, component_id, root): the group of each document under the links.
 
     ``component_id`` is the smallest non-null id of the group (null when the group
-    has none).  Null and empty texts have fingerprint 0 and are linked like any
+    has none), ``root`` its smallest fingerprint, which tells groups apart where ids repeat.  Null and empty texts have fingerprint 0 and are linked like any
     other; repeated rows each give a row; an empty table gives no rows.
     """
     fps = save(fingerprints(docs, shingle, id_col, text_col), "simhash-fp")
@@ -246,16 +246,32 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, blocks:
         .select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     at = save(at, "simhash-roots")
     lowest = at.groupBy("root").agg(F.min("rep").alias("component_id"))
-    member = at.join(lowest, "root").select("fp", "component_id")
-    return fps.join(member, "fp").select("doc_id", "fp", "component_id")
+    member = at.join(lowest, "root").select("fp", "component_id", "root")
+    return fps.join(member, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def hex_fingerprint(col: str = "fp"):
     return F.lower(F.lpad(F.hex(col), 16, "0"))
 
 
-def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The documents whose id names their group, once each; rows without id stay."""
-    first = groups.where("component_id IS NOT NULL").select(F.col("component_id").alias("doc_id")).distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+def keep_one(docs: DataFrame, groups: DataFrame, shingle: int = 4) -> DataFrame:
+    """One document of each group, with the smallest id in it; rows without id stay.
+
+    ``groups``: ``near_duplicates(docs)``.  Where rows share an id, each counts for the group of
+    its own fingerprint (computed again for those rows only), so an unrelated text
+    under the same id is kept for its group; of several rows of one group with its
+    smallest id, the one with the smallest text stays.
+    """
+    groups = save(groups, "simhash-groups")
+    chosen = groups.where("component_id = doc_id").groupBy("doc_id", "root").agg(F.min("fp").alias("fp"))
+    often = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    named = docs.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
+    once = named.join(often, "doc_id", "left_anti")
+    shared = named.join(often, "doc_id", "left_semi").withColumn("_text", F.xxhash64("text"))
+    prints = fingerprints(shared.select(F.col("_text").alias("doc_id"), "text"), shingle).distinct() \
+        .select(F.col("doc_id").alias("_text"), F.col("fp").alias("_fp"))
+    picked = chosen.select("doc_id", F.col("fp").alias("_fp"), F.col("root").alias("_root"))
+    first = Window.partitionBy("doc_id", "_root").orderBy("text")
+    several = shared.join(prints, "_text").join(picked, ["doc_id", "_fp"]) \
+        .withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
+    return once.select(*docs.columns).unionByName(several.select(*docs.columns)).unionByName(docs.where("doc_id IS NULL"))
