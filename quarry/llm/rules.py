@@ -6,10 +6,12 @@ of a bucket is the log ratio of its smoothed probabilities.  A document's ratio
 the sum of its n-grams' weights divided by their number, and the verdict a fixed
 threshold on it.
 
-Everything is DataFrame expressions: texts stay in their rows, only bucket counts
-and one row for each document are shuffled, and the weights (one row a bucket) are
-broadcast.  The ids of the trusted documents, all of them, are joined: broadcast while
-they are few, shuffled with the texts beyond.
+Everything is DataFrame expressions, by one plan at every size.  Raw counts come from
+the scan, added up where it is read.  The trusted ids, all of them, first make a blocked
+Bloom filter of at most ``FILTER_WORDS`` words, which is broadcast; only documents
+that pass it are shuffled, as arrays of buckets, to meet the ids themselves.  The
+weights (``BUCKETS`` doubles) become one array in the plan, so a document is judged
+where it is read and no text is ever shuffled.
 """
 
 from __future__ import annotations
@@ -23,32 +25,38 @@ BUCKETS = 1 << 17
 SMOOTHING = 1.0
 THRESHOLD = -0.15
 WORD = r"[^\\x20\\x09-\\x0D]+"
-#: Bits of a packed window that hold its place; a text has fewer words than 2 ** 27.
-PLACE = 27
-_PLACES = (1 << PLACE) - 1
+FILTER_WORDS = 1 << 20
+SALTS = 16
 
 
 def words_of(text: str = "text") -> str:
     return f"regexp_extract_all(coalesce({text}, ''), '{WORD}', 0)"
 
 
-#: The base counts, from the columns text and words.  Three-word windows are packed as
-#: (hash, place) in one long and sorted: equal windows become neighbours, and the words
-#: themselves are compared wherever two hashes meet.
+#: The base counts, from the columns text, words and bits.  Three-word windows are packed as
+#: (hash, place) in one long, the place in just the ``bits`` that a text of so many words needs, and
+#: sorted: equal windows become neighbours.  The words themselves are compared wherever hashes
+#: meet; should different windows share a hash, each is looked for among all.
+_MASK = "(shiftleft(1L, bits) - 1L)"
 _WINDOWS = f"""sort_array(transform(slice(words, 1, greatest(size(words) - 2, 0)), (w, i) ->
-    (xxhash64(w, words[i + 1], words[i + 2]) & ~{_PLACES}L) | i))"""
-_SAME = f"""shiftrightunsigned({{a}} ^ {{b}}, {PLACE}) = 0 AND words[int({{a}} & {_PLACES})] = words[int({{b}} & {_PLACES})]
-    AND words[int({{a}} & {_PLACES}) + 1] = words[int({{b}} & {_PLACES}) + 1] AND words[int({{a}} & {_PLACES}) + 2] = words[int({{b}} & {_PLACES}) + 2]"""
+    (xxhash64(w, words[i + 1], words[i + 2]) & ~{_MASK}) | i))"""
+_MEET = "shiftrightunsigned({a} ^ {b}, bits) = 0"
+_SAME = " AND ".join([_MEET, *(f"words[int({{a}} & {_MASK}) + {k}] = words[int({{b}} & {_MASK}) + {k}]" for k in range(3))])
+_BEFORE, _AFTER = dict(a="x", b="windows[i - 1]"), dict(a="x", b="windows[i + 1]")
 _AGAIN = f"""sort_array(transform(filter(windows, (x, i) ->
-    (i > 0 AND {_SAME.format(a='x', b='windows[i - 1]')}) OR (i < size(windows) - 1 AND {_SAME.format(a='x', b='windows[i + 1]')})),
-    x -> x & {_PLACES}))"""
+    CASE WHEN i > 0 AND {_SAME.format(**_BEFORE)} THEN true
+         WHEN i < size(windows) - 1 AND {_SAME.format(**_AFTER)} THEN true
+         WHEN (i > 0 AND {_MEET.format(**_BEFORE)}) OR (i < size(windows) - 1 AND {_MEET.format(**_AFTER)})
+         THEN exists(windows, y -> y <> x AND {_SAME.format(a='x', b='y')}) ELSE false END),
+    x -> x & {_MASK}))"""
 _COVERED = "aggregate(again, named_struct('n', 0L, 'to', 0L), (a, x) -> named_struct('n', a.n + x + 3 - greatest(x, a.to), 'to', x + 3L)).n"
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` (with words) plus the five base counts and the base verdict."""
     return docs.selectExpr(
-        "*", "size(words) AS n_words_", "split(coalesce(text, ''), '\\n', -1) AS lines", f"{_WINDOWS} AS windows") \
+        "*", "size(words) AS n_words_", "length(bin(size(words))) AS bits", "split(coalesce(text, ''), '\\n', -1) AS lines") \
+        .selectExpr("*", f"{_WINDOWS} AS windows") \
         .selectExpr("*", f"{_AGAIN} AS again", r"filter(lines, x -> x RLIKE '[^\\x20\\x09-\\x0D]') AS full_lines") \
         .selectExpr(
             "*", "CAST(n_words_ AS LONG) AS n_words",
@@ -57,7 +65,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
             "CAST(size(full_lines) - size(array_distinct(full_lines)) AS LONG) AS n_dup_lines",
             f"{_COVERED} AS n_repeat_words") \
         .withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")) \
-        .drop("n_words_", "lines", "windows", "again", "full_lines")
+        .drop("n_words_", "bits", "lines", "windows", "again", "full_lines")
 
 
 #: Buckets of all one- and two-word n-grams of the column words.
@@ -65,15 +73,38 @@ GRAMS = f"""concat(transform(words, w -> int(pmod(xxhash64(w), {BUCKETS}))),
     transform(slice(words, 1, greatest(size(words) - 1, 0)), (w, i) -> int(pmod(xxhash64(w, words[i + 1]), {BUCKETS}))))"""
 
 
+def _slot(key: str = "doc_id"):
+    """Word and bits of an id in the filter: four bits of one 64-bit word."""
+    h = f"xxhash64({key}, 7)"
+    bits = " | ".join(f"shiftleft(1L, CAST(shiftrightunsigned({h}, {20 + 6 * k}) & 63 AS INT))" for k in range(4))
+    return F.expr(f"{h} & {FILTER_WORDS - 1}").alias("word"), F.expr(bits).alias("mask")
+
+
+def target_grams(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(bucket, target): n-grams of the trusted documents.
+
+    A repeated id is dealt over ``SALTS`` tasks; an id counts once for each of its rows.
+    """
+    ids = trusted.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    seen = ids.select(*_slot()).groupBy("word").agg(F.expr("bit_or(mask)").alias("bits"))  # FILTER_WORDS rows at most
+    near = docs.where("doc_id IS NOT NULL").select("doc_id", "text", *_slot()).join(F.broadcast(seen), "word").where("bits & mask = mask")
+    arrays = near.select("doc_id", "text", F.expr(f"pmod(xxhash64(text), {SALTS})").alias("salt")) \
+        .selectExpr("doc_id", "salt", f"{words_of()} AS words").selectExpr("doc_id", "salt", f"{GRAMS} AS buckets")
+    keys = ids.select("doc_id", F.expr(f"explode(sequence(0L, {SALTS - 1}L)) AS salt"))
+    met = arrays.join(keys.hint("shuffle_merge"), ["doc_id", "salt"], "left_semi")
+    # explode_outer: no filter on the arrays' size is inferred, which would cut the words again below the join
+    return met.select(F.explode_outer("buckets").alias("bucket")).where("bucket IS NOT NULL").groupBy("bucket").agg(F.count(F.lit(1)).alias("target"))
+
+
 def ratio_weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """(bucket, weight): log ratio of the trusted to the raw probability of each bucket.
 
     ``docs``: doc_id and text of the whole raw corpus; ``trusted``: the ids of its
     trusted documents.
     """
-    marked = docs.join(trusted.select("doc_id", F.lit(1).alias("trusted")).distinct(), "doc_id", "left")
-    counts = save(marked.selectExpr("trusted", f"{words_of()} AS words").selectExpr("trusted", f"explode({GRAMS}) AS bucket")
-                  .groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("target")), "rules-grams")
+    raw_counts = docs.selectExpr(f"{words_of()} AS words").selectExpr(f"explode({GRAMS}) AS bucket").groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"))
+    counts = save(raw_counts.join(target_grams(docs, trusted), "bucket", "left").select("bucket", "raw", F.coalesce("target", F.lit(0)).alias("target")),
+                  "rules-grams")
     total = counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
     raw, target = total.raw or 0, total.target or 0
     if not target:
@@ -89,16 +120,20 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
 
     Null texts have no words and fail the base rules; without trusted texts every
     ratio is 0 and the base rules decide; a null doc_id is never trusted; repeated
-    rows each give a row.
+    rows each give a row; an empty table gives no rows; a very long text is one row of work,
+    in memory proportional to its words.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    weights = F.broadcast(ratio_weights(texts, trusted))
-    counted = base_counts(texts.withColumn("words", F.expr(words_of())))
-    keys = ["row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    grams = counted.withColumn("row", F.monotonically_increasing_id()).selectExpr(*keys, f"explode_outer({GRAMS}) AS bucket")
-    return grams.join(weights, "bucket", "left").groupBy(*keys) \
-        .agg(F.coalesce(F.avg("weight"), F.lit(0.0)).alias("ratio")) \
-        .select(*keys[1:], "ratio", (~F.col("base_failed") & (F.col("ratio") >= threshold)).alias("kept"))
+    weight = [0.0] * BUCKETS
+    for r in ratio_weights(texts, trusted).collect():  # BUCKETS rows at most
+        weight[r.bucket] = r.weight
+    table = F.split(F.lit(",".join(map(repr, weight))), ",").cast("array<double>")  # a constant: one array of the plan
+    counted = base_counts(texts.withColumn("words", F.expr(words_of())).withColumn("grams", F.expr(GRAMS)))
+    total = F.aggregate("grams", F.lit(0.0), lambda a, b: a + F.get(table, b))
+    ratio = F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(0.0)
+    return counted.withColumn("ratio", ratio).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio",
+        (~F.col("base_failed") & (F.col("ratio") >= threshold)).alias("kept"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

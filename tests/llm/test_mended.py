@@ -79,3 +79,25 @@ def test_accepted_language_is_written(spark, sf_smoke):
     kept = language.keep_accepted(wrong, found)
     assert kept.columns == docs.columns
     assert {r.doc_id: r.lang for r in kept.collect()} == told
+
+
+# ------------------------------------------------------------------ 7 rules
+
+def test_windows_that_share_a_hash_are_told_apart(spark):
+    """With four bits of hash left, nearly all windows meet; the counts stay exact."""
+    rng = random.Random(7)
+    texts = [[rng.choice("abc") if k % 2 else f"w{rng.randrange(60)}" for _ in range(rng.randrange(90))] for k in range(40)]
+    got = spark.createDataFrame([(k, w) for k, w in enumerate(texts)], "k int, words array<string>") \
+        .selectExpr("k", "words", "60 AS bits").selectExpr("*", f"{rules._WINDOWS} AS windows").selectExpr("*", f"{rules._AGAIN} AS again") \
+        .selectExpr("k", f"{rules._COVERED} AS n").collect()
+    for r in got:
+        w = [tuple(texts[r.k][i:i + 3]) for i in range(len(texts[r.k]) - 2)]
+        assert r.n == len({i + j for i, x in enumerate(w) if w.count(x) > 1 for j in range(3)})
+
+
+def test_a_repeated_trusted_id_is_dealt_over_tasks(spark):
+    docs = spark.createDataFrame([(1, f"word{i} and more") for i in range(200)] + [(2, "not trusted at all"), (None, "nor this")], "doc_id long, text string")
+    got = rules.target_grams(docs, spark.createDataFrame([(1,), (1,), (None,)], "doc_id long")).collect()
+    assert sum(r.target for r in got) == 200 * 5
+    plan = rules.target_grams(docs, spark.createDataFrame([(1,)], "doc_id long"))._jdf.queryExecution().toString()
+    assert "hashpartitioning(doc_id" in plan and "salt" in plan
