@@ -18,7 +18,9 @@ with the filter's counts.
 The exact add-one unigram score is computed beside it: the ``head`` most frequent
 words (a bounded table) are looked up where the text is, the others meet their
 counts, and their slice of the filter, in the task that owns their hash.  Arrays of hashes travel packed, one row
-for each piece of text and slice of hash space.
+for each piece of text (``PIECE`` bytes) and slice of hash space; there is a slice for every ``SLICE_TOKENS``
+training tokens, whatever the number of partitions.  Texts, as numbers of their piece's
+words, wait in a table and only meet the levels found.
 """
 
 from __future__ import annotations
@@ -36,7 +38,9 @@ from quarry.llm.base import U64, ascii_lower, blob, each, held_out, mix, pieces,
 END = U64(0x8B1A0C52E97D364F)
 HEAD = 1 << 18
 PAIR = U64((1 << 64) - (1 << 16))  # pairs have 48 bits: at 10^10 of them 1 in 30,000 meets another, far under the filter's own errors
-REGIONS = 12  # bits of the hash that name a region of the filter
+REGIONS = 12  # bits of the hash that name a region of the filter; more if there are more slices
+PIECE = 8 << 20
+SLICE_TOKENS = 1 << 21
 BITS_PER_TOKEN = 16
 PROBE_BITS = 4
 LAMBDA = 0.7
@@ -153,10 +157,15 @@ class Counter:
         return self
 
 
-def _slices(df: DataFrame) -> int:
-    """Slices of hash space: a power of two, four for each shuffle partition at least."""
+def count_slices(df: DataFrame) -> int:
+    """Slices of hash space while words are counted: a power of two, four for each shuffle partition at least."""
     n = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(1 << REGIONS, max(16, 1 << math.ceil(math.log2(n))))
+    return max(16, 1 << math.ceil(math.log2(n)))
+
+
+def filter_slices(tokens_seen: int) -> int:
+    """Slices of the filter: a power of two that grows with the training tokens, without a bound."""
+    return max(16, 1 << math.ceil(math.log2(max(1, tokens_seen) / SLICE_TOKENS)) if tokens_seen > SLICE_TOKENS else 16)
 
 
 def unigram_counts(docs: DataFrame, slices: int, head: int) -> DataFrame:
@@ -200,16 +209,16 @@ def unigram_counts(docs: DataFrame, slices: int, head: int) -> DataFrame:
 class Filter:
     """Reads the levels of n-gram hashes from the whole filter, or from its words after ``first``."""
 
-    def __init__(self, words: np.ndarray, per_region: int | None = None, first: int = 0):
-        self.words, self.first = words, first
-        self.per_region = len(words) >> REGIONS if per_region is None else per_region
+    def __init__(self, words: np.ndarray, per_region: int | None = None, first: int = 0, regions: int = REGIONS):
+        self.words, self.first, self.regions = words, first, regions
+        self.per_region = len(words) >> regions if per_region is None else per_region
 
     @staticmethod
-    def probe(keys: np.ndarray, level: int | np.ndarray, per_region: int) -> tuple[np.ndarray, np.ndarray]:
-        """(word number, bits that must be set in it)."""
+    def probe(keys: np.ndarray, level: int | np.ndarray, per_region: int, regions: int = REGIONS) -> tuple[np.ndarray, np.ndarray]:
+        """(word number, bits that must be set in it); ``regions``: bits of the hash that name the region."""
         with np.errstate(over="ignore"):
             h = mix(keys + np.asarray(level, dtype=U64) * U64(0xA0761D6478BD642F))
-        word = (keys >> U64(64 - REGIONS)) * U64(per_region) + (h >> U64(32)) % U64(per_region)
+        word = (keys >> U64(64 - regions)) * U64(per_region) + (h >> U64(32)) % U64(per_region)
         bits = np.zeros(len(keys), dtype=U64)
         for k in range(PROBE_BITS):
             bits |= U64(1) << (h >> U64(6 * k) & U64(63))
@@ -220,7 +229,7 @@ class Filter:
         at = np.arange(len(keys))
         q = 1
         while len(at) and q < 64:
-            word, bits = self.probe(keys[at], q, self.per_region)
+            word, bits = self.probe(keys[at], q, self.per_region, self.regions)
             at = at[(self.words[word - self.first] & bits) == bits]
             out[at] = q
             q += 1
@@ -232,10 +241,10 @@ def middle(q: np.ndarray) -> np.ndarray:
     return np.where(q > 1, 0.75 * np.exp2(q), np.minimum(q, 1))
 
 
-def filter_words(tokens_seen: int, max_bytes: int | None = None) -> int:
+def filter_words(tokens_seen: int, max_bytes: int | None = None, regions: int = REGIONS) -> int:
     """64-bit words of the filter: the same number for each region."""
     need = tokens_seen * BITS_PER_TOKEN // 64
-    return (max(1, (need if max_bytes is None else min(need, max_bytes // 8)) >> REGIONS)) << REGIONS
+    return (max(1, (need if max_bytes is None else min(need, max_bytes // 8)) >> regions)) << regions
 
 
 def log_probability(single: np.ndarray, both: np.ndarray, at: np.ndarray, cut: np.ndarray, n: int, v: int) -> np.ndarray:
@@ -263,18 +272,20 @@ def score_documents(docs: DataFrame, mod: int = 7, rest: int = 2, head: int = HE
 
     Learns from the rows that are not held out.  Null texts are empty (the end
     alone); a null doc_id is not held out; repeated rows count and score each;
-    an empty table gives no rows; with nothing to learn from, V and N are 0.
+    an empty table gives no rows; with nothing to learn from, V and N are 0; a very long
+    text is a piece of its own, in memory proportional to its words.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id", mod, rest).alias("held_out"),
                        F.col("text").cast("string").alias("text"))
-    slices = _slices(docs)
-    uni = save(unigram_counts(rows.where("NOT held_out").select("text"), slices, head), "lm-unigrams")
+    uni = save(unigram_counts(rows.where("NOT held_out").select("text"), count_slices(docs), head), "lm-unigrams")
     top = uni.select("top_keys", "top_counts", "n", "v").orderBy("slice").toArrow().to_pydict()
     n, v = sum(top["n"]), sum(top["v"])
     head_keys = np.frombuffer(b"".join(top["top_keys"]), U64)
     head_counts = np.frombuffer(b"".join(top["top_counts"]), np.int64)
-    size = filter_words(n)
+    slices = filter_slices(n)
+    regions = max(REGIONS, int(math.log2(slices)))
+    size = filter_words(n, regions=regions)
     sent_head = spark.sparkContext.broadcast((head_keys, head_counts))
 
     words_per_slice = size // slices
@@ -285,12 +296,18 @@ def score_documents(docs: DataFrame, mod: int = 7, rest: int = 2, head: int = HE
         for c in counters:
             q = levels(c.merge().counts)
             for level in range(1, int(q.max()) + 1 if len(q) else 1):
-                word, bits = Filter.probe(c.keys[q >= level], level, size >> REGIONS)
+                word, bits = Filter.probe(c.keys[q >= level], level, size >> regions, regions)
                 np.bitwise_or.at(out, word - k * words_per_slice, bits)
-        return Filter(out, size >> REGIONS, k * words_per_slice)
+        return Filter(out, size >> regions, k * words_per_slice, regions)
+
+    def recut(batches):
+        """The words' counts by slice of the filter."""
+        for rb in batches:
+            for keys, counts in each(rb, "keys", "counts"):
+                keys, counts = np.frombuffer(keys, U64), np.frombuffer(counts, np.int64)
+                yield from _batches(_packed(1, slices, keys, [counts, counts[:0]], 0))
 
-    counted = uni.select("slice", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("chunk"), "keys", F.col("counts").alias("a"),
-                         F.lit(b"").alias("b"))
+    counted = uni.select("keys", "counts").mapInArrow(recut, _ROWS)
 
     def score(batches):
         """Per piece: one row of its texts as numbers of its distinct words, and its distinct n-grams by slice.
@@ -298,7 +315,7 @@ def score_documents(docs: DataFrame, mod: int = 7, rest: int = 2, head: int = HE
         The pairs carry how often they stand in rows to learn from.
         """
         task = TaskContext.get().partitionId()
-        for number, rb in enumerate(pieces(batches)):
+        for number, rb in enumerate(pieces(batches, limit=PIECE)):
             chunk = task << 32 | number
             words, cut = tokens(rb.column("text"))
             unique, back = np.unique(words, return_inverse=True)
@@ -311,7 +328,7 @@ def score_documents(docs: DataFrame, mod: int = 7, rest: int = 2, head: int = HE
             with pa.ipc.new_stream(sink, here.schema) as w:
                 w.write_table(here)
             rare = unique[~_found(unique, sent_head.value[0])[1]]
-            yield _batch([(number % slices, 2, chunk, sink.getvalue().to_pybytes(), _zip(np.diff(unique, prepend=U64(0))), _zip(back.astype(_number(unique)))),
+            yield _batch([(-1, 2, chunk, sink.getvalue().to_pybytes(), _zip(np.diff(unique, prepend=U64(0))), _zip(back.astype(_number(unique)))),
                           *_packed(3, slices, rare, [rare[:0], rare[:0]], chunk, True),
                           *_packed(4, slices, pair, [times, rare[:0]], chunk, True)])
 
@@ -319,24 +336,30 @@ def score_documents(docs: DataFrame, mod: int = 7, rest: int = 2, head: int = HE
         """Per slice: the words' counts and all pairs fill its part of the filter, then the n-grams are looked up in it."""
         def answers(k, one, asked):
             two = Counter()
+            grams = {3: [], 4: []}
             for kind, _, keys, times in asked:
+                grams[kind].append(_unzip_keys(keys))
                 if kind == 4:
                     times = _unzip(times, np.int64)
-                    two.add(_unzip_keys(keys)[times > 0], times[times > 0])
+                    two.add(grams[4][-1][times > 0], times[times > 0])
             filt = fill(k, (one, two))
-            for kind, chunk, keys, _ in asked:
-                grams, exact = _unzip_keys(keys), b""
-                if kind == 3:
-                    place, hit = _found(grams, one.keys)
-                    count = np.zeros(len(grams), np.int64)
-                    count[hit] = one.counts[place[hit]]
-                    exact = _zip(count)
-                yield k, kind, chunk, _zip(filt.level(grams).astype(np.uint8)), exact, b""
+            # all that is asked of this slice at once
+            every = {kind: np.concatenate([np.zeros(0, U64), *g]) for kind, g in grams.items()}
+            level = {kind: filt.level(x).astype(np.uint8) for kind, x in every.items()}
+            place, hit = _found(every[3], one.keys)
+            count = np.zeros(len(every[3]), np.int64)
+            count[hit] = one.counts[place[hit]]
+            at = {3: 0, 4: 0}
+            nth = {3: 0, 4: 0}
+            for kind, chunk, _, _ in asked:
+                a = at[kind]
+                b = at[kind] = a + len(grams[kind][nth[kind]])
+                nth[kind] += 1
+                yield k, kind, chunk, _zip(level[kind][a:b]), _zip(count[a:b]) if kind == 3 else b"", b""
 
         now, one, asked = None, Counter(), []
         for rb in batches:
-            out = []
-            for k, kind, chunk, keys, a, b in each(rb, "slice", "kind", "chunk", "keys", "a", "b"):
+            for k, kind, chunk, keys, a in each(rb, "slice", "kind", "chunk", "keys", "a"):
                 if k != now:
                     if asked:
                         yield from _batches(answers(now, one, asked))
@@ -344,11 +367,8 @@ def score_documents(docs: DataFrame, mod: int = 7, rest: int = 2, head: int = HE
                 if kind == 1:
                     one.add(np.frombuffer(keys, U64), np.frombuffer(a, np.int64))
                     one.merge()
-                elif kind == 2:
-                    out.append((k, kind, chunk, keys.to_pybytes(), a.to_pybytes(), b.to_pybytes()))
                 else:
                     asked.append((kind, chunk, keys.to_pybytes(), a.to_pybytes()))
-            yield from _batches(out)
         if asked:
             yield from _batches(answers(now, one, asked))
 
@@ -395,5 +415,6 @@ def score_documents(docs: DataFrame, mod: int = 7, rest: int = 2, head: int = HE
         if now is not None:
             yield one(here, *found)
 
-    return rows.mapInArrow(score, _ROWS).unionByName(counted).repartition("slice").sortWithinPartitions("slice", "kind") \
-        .mapInArrow(look_up, _ROWS).repartition("chunk").sortWithinPartitions("chunk", "kind", "slice").mapInArrow(total, _SCORES)
+    told = save(rows.mapInArrow(score, _ROWS), "lm-pieces")
+    found = told.where("kind > 2").unionByName(counted).repartition("slice").sortWithinPartitions("slice", "kind").mapInArrow(look_up, _ROWS)
+    return told.where("kind = 2").unionByName(found).repartition("chunk").sortWithinPartitions("chunk", "kind", "slice").mapInArrow(total, _SCORES)

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quarry.llm import base, language, rules, sentencepiece, simhash
+from quarry.llm import base, language, lm, rules, sentencepiece, simhash
 
 PROSE = "the cat sat on the mat and looked at the moon over the quiet old harbour town"
 
@@ -101,3 +101,22 @@ def test_a_repeated_trusted_id_is_dealt_over_tasks(spark):
     assert sum(r.target for r in got) == 200 * 5
     plan = rules.target_grams(docs, spark.createDataFrame([(1,)], "doc_id long"))._jdf.queryExecution().toString()
     assert "hashpartitioning(doc_id" in plan and "salt" in plan
+
+
+# ------------------------------------------------------------------ 8 language model
+
+def test_slices_follow_the_tokens():
+    assert [lm.filter_slices(n) for n in (0, 1, lm.SLICE_TOKENS, 100 * lm.SLICE_TOKENS, 10**5 * lm.SLICE_TOKENS)] == [16, 16, 16, 128, 1 << 17]
+
+
+def test_scores_do_not_depend_on_pieces_slices_and_partitions(spark, sf_smoke, monkeypatch):
+    docs = spark.read.parquet(f"{sf_smoke}/documents.parquet")
+    want = {r.doc_id: r for r in lm.score_documents(docs).collect()}
+    monkeypatch.setattr(lm, "PIECE", 20000)
+    monkeypatch.setattr(lm, "SLICE_TOKENS", 1000)
+    got = {r.doc_id: r for r in lm.score_documents(docs.repartition(40), head=50).collect()}
+    assert got.keys() == want.keys()
+    for d, r in want.items():
+        assert (got[d].n_tokens, got[d].n_known, got[d].train_tokens) == (r.n_tokens, r.n_known, r.train_tokens)
+        assert abs(got[d].base_score - r.base_score) < 1e-6 * max(1, abs(r.base_score))
+        assert abs(got[d].score - r.score) <= 0.05 * r.n_tokens
