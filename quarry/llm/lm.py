@@ -39,7 +39,7 @@ END = U64(0x8B1A0C52E97D364F)
 HEAD = 1 << 18
 PAIR = U64((1 << 64) - (1 << 16))  # pairs have 48 bits: at 10^10 of them 1 in 30,000 meets another, far under the filter's own errors
 REGIONS = 12  # bits of the hash that name a region of the filter; more if there are more slices
-PIECE = 8 << 20
+PIECE = 3 << 20
 SLICE_TOKENS = 1 << 21
 BITS_PER_TOKEN = 16
 PROBE_BITS = 4
