@@ -33,30 +33,44 @@ def words_of(text: str = "text") -> str:
     return f"regexp_extract_all(coalesce({text}, ''), '{WORD}', 0)"
 
 
-#: The base counts, from the columns text, words and bits.  Three-word windows are packed as
-#: (hash, place) in one long, the place in just the ``bits`` that a text of so many words needs, and
-#: sorted: equal windows become neighbours.  The words themselves are compared wherever hashes
-#: meet; should different windows share a hash, each is looked for among all.
-_MASK = "(shiftleft(1L, bits) - 1L)"
-_WINDOWS = f"""sort_array(transform(slice(words, 1, greatest(size(words) - 2, 0)), (w, i) ->
-    (xxhash64(w, words[i + 1], words[i + 2]) & ~{_MASK}) | i))"""
-_MEET = "shiftrightunsigned({a} ^ {b}, bits) = 0"
-_SAME = " AND ".join([_MEET, *(f"words[int({{a}} & {_MASK}) + {k}] = words[int({{b}} & {_MASK}) + {k}]" for k in range(3))])
-_BEFORE, _AFTER = dict(a="x", b="windows[i - 1]"), dict(a="x", b="windows[i + 1]")
-_AGAIN = f"""sort_array(transform(filter(windows, (x, i) ->
-    CASE WHEN i > 0 AND {_SAME.format(**_BEFORE)} THEN true
-         WHEN i < size(windows) - 1 AND {_SAME.format(**_AFTER)} THEN true
-         WHEN (i > 0 AND {_MEET.format(**_BEFORE)}) OR (i < size(windows) - 1 AND {_MEET.format(**_AFTER)})
-         THEN exists(windows, y -> y <> x AND {_SAME.format(a='x', b='y')}) ELSE false END),
-    x -> x & {_MASK}))"""
+def _windows(place: int) -> str:
+    return f"""sort_array(transform(slice(words, 1, greatest(size(words) - 2, 0)), (w, i) ->
+    (xxhash64(w, words[i + 1], words[i + 2]) & ~{(1 << place) - 1}L) | i))"""
+
+
+def _again(place: int) -> str:
+    mask = f"{(1 << place) - 1}L"
+
+    def meet(other: str) -> str:
+        return f"shiftrightunsigned(x ^ {other}, {place}) = 0"
+
+    def same(other: str) -> str:
+        return " AND ".join([meet(other), *(f"words[int(x & {mask}) + {k}] = words[int({other} & {mask}) + {k}]" for k in range(3))])
+
+    before, after = "windows[i - 1]", "windows[i + 1]"
+    return f"""sort_array(transform(filter(windows, (x, i) ->
+    CASE WHEN NOT ((i > 0 AND {meet(before)}) OR (i < size(windows) - 1 AND {meet(after)})) THEN false
+         WHEN i > 0 AND {same(before)} THEN true
+         WHEN i < size(windows) - 1 AND {same(after)} THEN true
+         ELSE exists(windows, y -> y <> x AND {same('y')}) END),
+    x -> x & {mask}))"""
+
+
+#: The base counts, from the columns text and words.  Three-word windows are packed as (hash,
+#: place) in one long and sorted: equal windows become neighbours.  Where hashes meet the words
+#: themselves are compared; should different windows share a hash, each is looked for among all.
+#: A place has 27 bits, and 31 (the longest array) in a text of more words than that.
+PLACES = (27, 31)
+_FEW = f"size(words) < {1 << PLACES[0]}"
+_WINDOWS = f"IF({_FEW}, {_windows(PLACES[0])}, {_windows(PLACES[1])})"
+_AGAIN = f"IF({_FEW}, {_again(PLACES[0])}, {_again(PLACES[1])})"
 _COVERED = "aggregate(again, named_struct('n', 0L, 'to', 0L), (a, x) -> named_struct('n', a.n + x + 3 - greatest(x, a.to), 'to', x + 3L)).n"
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` (with words) plus the five base counts and the base verdict."""
     return docs.selectExpr(
-        "*", "size(words) AS n_words_", "length(bin(size(words))) AS bits", "split(coalesce(text, ''), '\\n', -1) AS lines") \
-        .selectExpr("*", f"{_WINDOWS} AS windows") \
+        "*", "size(words) AS n_words_", "split(coalesce(text, ''), '\\n', -1) AS lines", f"{_WINDOWS} AS windows") \
         .selectExpr("*", f"{_AGAIN} AS again", r"filter(lines, x -> x RLIKE '[^\\x20\\x09-\\x0D]') AS full_lines") \
         .selectExpr(
             "*", "CAST(n_words_ AS LONG) AS n_words",
@@ -65,7 +79,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
             "CAST(size(full_lines) - size(array_distinct(full_lines)) AS LONG) AS n_dup_lines",
             f"{_COVERED} AS n_repeat_words") \
         .withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")) \
-        .drop("n_words_", "bits", "lines", "windows", "again", "full_lines")
+        .drop("n_words_", "lines", "windows", "again", "full_lines")
 
 
 #: Buckets of all one- and two-word n-grams of the column words.

@@ -88,7 +88,7 @@ def test_windows_that_share_a_hash_are_told_apart(spark):
     rng = random.Random(7)
     texts = [[rng.choice("abc") if k % 2 else f"w{rng.randrange(60)}" for _ in range(rng.randrange(90))] for k in range(40)]
     got = spark.createDataFrame([(k, w) for k, w in enumerate(texts)], "k int, words array<string>") \
-        .selectExpr("k", "words", "60 AS bits").selectExpr("*", f"{rules._WINDOWS} AS windows").selectExpr("*", f"{rules._AGAIN} AS again") \
+        .selectExpr("*", f"{rules._windows(60)} AS windows").selectExpr("*", f"{rules._again(60)} AS again") \
         .selectExpr("k", f"{rules._COVERED} AS n").collect()
     for r in got:
         w = [tuple(texts[r.k][i:i + 3]) for i in range(len(texts[r.k]) - 2)]
