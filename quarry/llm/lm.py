@@ -19,8 +19,7 @@ The exact add-one unigram score is computed beside it: the ``head`` most frequen
 words (a bounded table) are looked up where the text is, the others meet their
 counts, and their slice of the filter, in the task that owns their hash.  Arrays of hashes travel packed, one row
 for each piece of text (``PIECE`` bytes) and slice of hash space; there is a slice for every ``SLICE_TOKENS``
-training tokens, whatever the number of partitions.  Texts, as numbers of their piece's
-words, wait in a table and only meet the levels found.
+training tokens, whatever the number of partitions.
 """
 
 from __future__ import annotations
@@ -328,7 +327,8 @@ def score_documents(docs: DataFrame, mod: int = 7, rest: int = 2, head: int = HE
             with pa.ipc.new_stream(sink, here.schema) as w:
                 w.write_table(here)
             rare = unique[~_found(unique, sent_head.value[0])[1]]
-            yield _batch([(-1, 2, chunk, sink.getvalue().to_pybytes(), _zip(np.diff(unique, prepend=U64(0))), _zip(back.astype(_number(unique)))),
+            anywhere = int(mix(np.array([chunk], U64))[0]) % slices  # texts ask for nothing: they are dealt evenly
+            yield _batch([(anywhere, 2, chunk, sink.getvalue().to_pybytes(), _zip(np.diff(unique, prepend=U64(0))), _zip(back.astype(_number(unique)))),
                           *_packed(3, slices, rare, [rare[:0], rare[:0]], chunk, True),
                           *_packed(4, slices, pair, [times, rare[:0]], chunk, True)])
 
@@ -359,7 +359,8 @@ def score_documents(docs: DataFrame, mod: int = 7, rest: int = 2, head: int = HE
 
         now, one, asked = None, Counter(), []
         for rb in batches:
-            for k, kind, chunk, keys, a in each(rb, "slice", "kind", "chunk", "keys", "a"):
+            out = []
+            for k, kind, chunk, keys, a, b in each(rb, "slice", "kind", "chunk", "keys", "a", "b"):
                 if k != now:
                     if asked:
                         yield from _batches(answers(now, one, asked))
@@ -367,8 +368,11 @@ def score_documents(docs: DataFrame, mod: int = 7, rest: int = 2, head: int = HE
                 if kind == 1:
                     one.add(np.frombuffer(keys, U64), np.frombuffer(a, np.int64))
                     one.merge()
+                elif kind == 2:
+                    out.append((k, kind, chunk, keys.to_pybytes(), a.to_pybytes(), b.to_pybytes()))
                 else:
                     asked.append((kind, chunk, keys.to_pybytes(), a.to_pybytes()))
+            yield from _batches(out)
         if asked:
             yield from _batches(answers(now, one, asked))
 
@@ -415,6 +419,5 @@ def score_documents(docs: DataFrame, mod: int = 7, rest: int = 2, head: int = HE
         if now is not None:
             yield one(here, *found)
 
-    told = save(rows.mapInArrow(score, _ROWS), "lm-pieces")
-    found = told.where("kind > 2").unionByName(counted).repartition("slice").sortWithinPartitions("slice", "kind").mapInArrow(look_up, _ROWS)
-    return told.where("kind = 2").unionByName(found).repartition("chunk").sortWithinPartitions("chunk", "kind", "slice").mapInArrow(total, _SCORES)
+    found = rows.mapInArrow(score, _ROWS).unionByName(counted).repartition("slice").sortWithinPartitions("slice", "kind").mapInArrow(look_up, _ROWS)
+    return found.repartition("chunk").sortWithinPartitions("chunk", "kind", "slice").mapInArrow(total, _SCORES)
