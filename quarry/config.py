@@ -51,10 +51,21 @@ class Settings:
     delimiters: str = DEFAULT_DELIMITERS
     k1: float = BM25_K1
     b: float = BM25_B
-    avgdl: float = BM25_AVGDL
+    # a fixed length, or "corpus": the mean length of the corpus' chunks that have terms
+    avgdl: float | str = BM25_AVGDL
+    # query weights times the inverse document frequency
+    idf: bool = False
     # "occurrence": weight = tf * sat(tf, dl) (one entry per occurrence, summed);
     # "distinct": weight = sat(tf, dl).
     fold: str = "occurrence"
     stemming: bool = True
     default_limit: int = DEFAULT_SEARCH_LIMIT
     default_model: str = DEFAULT_MODEL
+
+    @property
+    def corpus_length(self) -> bool:
+        return self.avgdl == "corpus"
+
+    @property
+    def uses_statistics(self) -> bool:
+        return self.idf or self.corpus_length

@@ -198,6 +198,6 @@ def term_index(term) -> Column:
     return F.conv(F.substring(F.md5(_col(term)), 1, 8), 16, 10).cast("bigint")
 
 
-def bm25_saturation(tf, dl, k1: float, b: float, avgdl: float) -> Column:
+def bm25_saturation(tf, dl, k1: float, b: float, avgdl) -> Column:
     tf, dl = _col(tf).cast("double"), _col(dl).cast("double")
     return tf * F.lit(k1 + 1.0) / (tf + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * dl / F.lit(avgdl)))

@@ -68,19 +68,39 @@ def term_frequency(tokens: DataFrame, keys=CHUNK_KEYS) -> DataFrame:
                   .select(*keys, "lang", "term", "tf", F.col("dl").cast("bigint").alias("dl")))
 
 
-def bm25_weights(tf: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Adds ``term_index`` and ``weight`` (unrounded double)."""
-    sat = T.bm25_saturation("tf", "dl", settings.k1, settings.b, settings.avgdl)
-    weight = F.col("tf") * sat if settings.fold == "occurrence" else sat
-    return tf.select("*", T.term_index("term").alias("term_index"), weight.alias("weight"))
+def mean_length(tf: DataFrame, keys=CHUNK_KEYS):
+    """Mean ``dl`` of the texts that have terms, as a one-value column of the same plan."""
+    return tf.groupBy(*keys).agg(F.first("dl").alias("dl")).agg(F.avg("dl")).scalar()
+
+
+def bm25_weight(settings: Settings = Settings(), avgdl=None):
+    """Weight of ``tf`` occurrences in a text of ``dl`` tokens (unrounded double)."""
+    sat = T.bm25_saturation("tf", "dl", settings.k1, settings.b, settings.avgdl if avgdl is None else avgdl)
+    return F.col("tf") * sat if settings.fold == "occurrence" else sat
+
+
+def bm25_weights(tf: DataFrame, settings: Settings = Settings(), avgdl=None) -> DataFrame:
+    """Adds ``term_index`` and ``weight``; ``avgdl`` stands in for the one of the settings."""
+    return tf.select("*", T.term_index("term").alias("term_index"), bm25_weight(settings, avgdl).alias("weight"))
 
 
 def embed(texts: DataFrame, keys=CHUNK_KEYS, text_col: str = "content",
           settings: Settings = Settings()) -> DataFrame:
-    """Postings (long form): ``keys, lang, term, term_index, tf, dl, weight``."""
+    """Postings (long form): ``keys, lang, term, term_index, tf, dl, weight``.
+
+    With ``avgdl="corpus"`` the texts given are the corpus.
+    """
     analyzed = analyze(texts, keys, text_col)
     toks = token_rows(analyzed, keys, stemming=settings.stemming)
-    return bm25_weights(term_frequency(toks, keys), settings)
+    tf = term_frequency(toks, keys)
+    return bm25_weights(tf, settings, mean_length(tf, keys) if settings.corpus_length else None)
+
+
+def embed_terms(texts: DataFrame, keys=CHUNK_KEYS, text_col: str = "content",
+                settings: Settings = Settings()) -> DataFrame:
+    """Postings that are not weighted yet: ``keys, lang, term, term_index, tf, dl``."""
+    toks = token_rows(analyze(texts, keys, text_col), keys, stemming=settings.stemming)
+    return term_frequency(toks, keys).withColumn("term_index", T.term_index("term"))
 
 
 def folded_weights(postings: DataFrame, keys=CHUNK_KEYS) -> DataFrame:

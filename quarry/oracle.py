@@ -122,10 +122,10 @@ def term_index_sql(term: str) -> str:
     return f"CAST(CAST('0x' || substr(md5({term}), 1, 8) AS UBIGINT) AS BIGINT)"
 
 
-def weight_sql(tf: str = "tf", dl: str = "dl", fold: str = "occurrence") -> str:
+def weight_sql(tf: str = "tf", dl: str = "dl", fold: str = "occurrence", avgdl: str = dbl(BM25_AVGDL)) -> str:
     t, d = f"CAST({tf} AS DOUBLE)", f"CAST({dl} AS DOUBLE)"
     sat = (f"({t} * {dbl(BM25_K1 + 1.0)} / ({t} + {dbl(BM25_K1)} * ({dbl(1.0 - BM25_B)} + "
-           f"{dbl(BM25_B)} * {d} / {dbl(BM25_AVGDL)})))")
+           f"{dbl(BM25_B)} * {d} / {avgdl})))")
     return f"({t} * {sat})" if fold == "occurrence" else sat
 
 
@@ -141,7 +141,7 @@ def analyzed_cte(name: str, source: str, keys: list[str], text_col: str) -> str:
 
 
 def postings_cte(name: str, source: str, keys: list[str], text_col: str,
-                 stemming: bool = True, fold: str = "occurrence") -> str:
+                 stemming: bool = True, fold: str = "occurrence", avgdl: str = dbl(BM25_AVGDL)) -> str:
     """``{name}(keys..., lang, term, tf, dl, term_index, weight)`` plus helper CTEs."""
     k = ", ".join(keys)
     term = stem_sql("token", "lang") if stemming else "token"
@@ -154,7 +154,7 @@ def postings_cte(name: str, source: str, keys: list[str], text_col: str,
   SELECT {k}, lang, {term} AS term, count(*) AS tf FROM {name}_tk GROUP BY ALL
 ),
 {name} AS (
-  SELECT {k}, lang, term, tf, dl, {term_index_sql('term')} AS term_index, {weight_sql('tf', 'dl', fold)} AS weight
+  SELECT {k}, lang, term, tf, dl, {term_index_sql('term')} AS term_index, {weight_sql('tf', 'dl', fold, avgdl)} AS weight
   FROM (SELECT *, sum(tf) OVER (PARTITION BY {k}) AS dl FROM {name}_tf)
 )"""
 
@@ -191,14 +191,27 @@ def conversation_answers_cte(name: str = "answers") -> str:
   WHERE u.role = 'user')"""
 
 
-def search_ctes(queries: str = "queries", source: str = "documents") -> str:
+# Mean length of the chunks that have terms (of the terms of dpost, before they are weighted).
+CORPUS_AVGDL = "(SELECT avg(l) FROM (SELECT sum(tf) AS l FROM dpost_tf GROUP BY doc_id, chunk_no))"
+# Document frequency by term index, and ln(1 + (N - df + 1/2) / (df + 1/2)) of a row with df.
+FREQUENCY_CTES = """
+held AS (SELECT DISTINCT doc_id, chunk_no, term_index FROM dpost),
+freq AS (SELECT term_index, count(*) AS df FROM held GROUP BY term_index),
+corpus AS (SELECT count(*) AS n_chunks FROM (SELECT DISTINCT doc_id, chunk_no FROM held))"""
+IDF_SQL = "ln(1 + ((SELECT n_chunks FROM corpus) - df + 0.5) / CAST(df + 0.5 AS DOUBLE))"
+
+
+def search_ctes(queries: str = "queries", source: str = "documents", idf: bool = False,
+                avgdl: str = dbl(BM25_AVGDL)) -> str:
     """From ``{queries}`` and ``{source}(doc_id, text)``: chunks, postings, vectors, scores, hits."""
+    qvec = f"""{FREQUENCY_CTES}, {vectors_cte('qraw', 'qpost', ['query_id'])},
+qvec AS (SELECT query_id, term_index, weight * {IDF_SQL} AS weight FROM qraw JOIN freq USING (term_index))"""
     return ",".join([
         chunks_cte(source=source),
-        postings_cte("dpost", "chunks", ["doc_id", "chunk_no"], "content"),
+        postings_cte("dpost", "chunks", ["doc_id", "chunk_no"], "content", avgdl=avgdl),
         vectors_cte("dvec", "dpost", ["doc_id", "chunk_no"]),
-        postings_cte("qpost", queries, ["query_id"], "query"),
-        vectors_cte("qvec", "qpost", ["query_id"]),
+        postings_cte("qpost", queries, ["query_id"], "query", avgdl=avgdl),
+        qvec if idf else vectors_cte("qvec", "qpost", ["query_id"]),
         f"""
 qdef AS (SELECT query_id, query, coalesce("limit", {DEFAULT_SEARCH_LIMIT}) AS "limit",
                 coalesce(model, '{DEFAULT_MODEL}') AS model FROM {queries} WHERE coalesce("limit", 0) >= 0),

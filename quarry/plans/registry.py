@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quarry import oracle as O
 from quarry.config import CONTEXT_SEPARATOR, DEFAULT_MODEL, DEFAULT_SEARCH_LIMIT, Settings
 from quarry.functions import text as T
-from quarry.operators import chunking, collection, prompts, search, terms
+from quarry.operators import chunking, collection, prompts, search, statistics, terms, termtables
 from quarry.plans import commands
 from quarry.plans.retrieval import build_index, read_index, retrieve, write_index
 from quarry.session import scratch_path
@@ -250,6 +250,76 @@ def q_embed_queries(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("query_id", "lang", "term", "term_index", "tf", "dl", _r6("weight"))
 
 
+@register("detect_language_joined", f"""WITH {O.analyzed_cte('an', 'documents', ['doc_id'], 'text')}
+SELECT doc_id, lang_detected, lang FROM an WHERE len(tokens) > 0""")
+def q_detect_language_joined(spark: SparkSession, sf: str) -> DataFrame:
+    """The vote as a join with the stop-word table and a grouped count."""
+    counts = termtables.token_counts(tables.documents(spark, sf), ["doc_id"], "text")
+    an = termtables.analyze(counts, termtables.stopword_table(spark), ["doc_id"])
+    return an.select("doc_id", "lang_detected", "lang").distinct()
+
+
+@register("stopword_filter_joined", f"""WITH {O.analyzed_cte('an', 'documents', ['doc_id'], 'text')}
+SELECT doc_id, lang, token, count(*) AS n FROM (SELECT doc_id, lang, unnest(tokens) AS token FROM an)
+WHERE NOT {O.stopword_sql('token', 'lang')} GROUP BY ALL""")
+def q_stopword_filter_joined(spark: SparkSession, sf: str) -> DataFrame:
+    """J6 + E4: tokens that an anti join with the stop-word table of their language leaves."""
+    counts = termtables.token_counts(tables.documents(spark, sf), ["doc_id"], "text")
+    stop = termtables.stopword_table(spark)
+    return termtables.drop_stopwords(termtables.analyze(counts, stop, ["doc_id"]), stop).select("doc_id", "lang", "token", "n")
+
+
+@register("bm25_weights_joined", SQL_BM25)
+def q_bm25_weights_joined(spark: SparkSession, sf: str) -> DataFrame:
+    """E1-E10 by tables: stop words joined, each word of the vocabulary stemmed once."""
+    p = termtables.embed(chunking.chunk_documents(tables.documents(spark, sf)), settings=S)
+    return p.select("doc_id", "chunk_no", "term", "term_index", "tf", "dl", _r6("weight"))
+
+
+CORPUS_S = Settings(avgdl="corpus", idf=True)
+WITH_CORPUS_POSTINGS = f"{WITH_CHUNKS}, {O.postings_cte('dpost', 'chunks', ['doc_id', 'chunk_no'], 'content', avgdl=O.CORPUS_AVGDL)}"
+
+
+@register("corpus_statistics", f"""{WITH_CORPUS_POSTINGS}, {O.FREQUENCY_CTES}
+SELECT term_index, df, (SELECT n_chunks FROM corpus) AS n_chunks, round({O.CORPUS_AVGDL}, 6) AS avgdl FROM freq""")
+def q_corpus_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks, their mean length, and in how many of them each term index occurs."""
+    stats = statistics.corpus_stats(_index(spark, sf).postings)
+    return stats.terms.select("term_index", "df", stats.size.select("n_chunks").scalar().alias("n_chunks"),
+                              F.round(stats.size.select("avgdl").scalar(), 6).alias("avgdl"))
+
+
+@register("bm25_idf_weights", f"""{WITH_CORPUS_POSTINGS}, {O.FREQUENCY_CTES}
+SELECT doc_id, chunk_no, term, term_index, tf, dl, df, round(weight, 6) AS weight, round(weight * {O.IDF_SQL}, 6) AS idf_weight
+FROM dpost JOIN freq USING (term_index)""")
+def q_bm25_idf_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """E8-E10 with corpus statistics: mean chunk length for the fixed one, weights times idf."""
+    idx = build_index(tables.documents(spark, sf), CORPUS_S)
+    p = statistics.with_document_frequency(idx.postings, idx.stats)
+    share = F.col("weight") * statistics.idf("df", idx.stats.size.select("n_chunks").scalar())
+    return p.select("doc_id", "chunk_no", "term", "term_index", "tf", "dl", "df", _r6("weight"), F.round(share, 6).alias("idf_weight"))
+
+
+SQL_IDF_TOPK = f"""WITH RECURSIVE {O.benchmark_queries_cte()}, {O.search_ctes(idf=True, avgdl=O.CORPUS_AVGDL)}
+SELECT query_id, rank, doc_id, chunk_no, score FROM hits"""
+
+
+@register("search_idf_topk", SQL_IDF_TOPK)
+def q_search_idf_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """A6 with corpus statistics, from the corpus."""
+    a = retrieve(tables.benchmark_queries(spark, sf), build_index(tables.documents(spark, sf), CORPUS_S), CORPUS_S)
+    return a.hits.select("query_id", "rank", "doc_id", "chunk_no", "score")
+
+
+@register("search_idf_stored", SQL_IDF_TOPK)
+def q_search_idf_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from a stored index, whose statistics are stored with it."""
+    stored = scratch_path(spark, "idf-index")
+    write_index(build_index(tables.documents(spark, sf), CORPUS_S), stored)
+    a = retrieve(tables.benchmark_queries(spark, sf), read_index(spark, stored), CORPUS_S)
+    return a.hits.select("query_id", "rank", "doc_id", "chunk_no", "score")
+
+
 # ---------------------------------------------------------------------------
 # Search (J1-J3, A5-A9, P2-P4)
 # ---------------------------------------------------------------------------

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.config import BROADCAST_HITS_MAX_ROWS, DEFAULT_TERM_BUCKETS, PUSHDOWN_MAX_QUERY_TERMS, Settings
-from quarry.operators import chunking, prompts, search, terms
+from quarry.operators import chunking, prompts, search, statistics, terms
 from quarry.session import checkpoint_dir
 from quarry.sources.loads import Loads
 
@@ -21,6 +21,7 @@ class Index:
     term_buckets: int | None = None   # set when postings carry term_bucket
     settings: Settings | None = None  # set when postings can be made again from stored chunks
     docs: DataFrame | None = None     # doc_id, text: set when the chunks are not stored
+    stats: statistics.CorpusStats | None = None   # of all chunks, where settings can ask for them
 
     @property
     def search_side(self) -> DataFrame:
@@ -39,7 +40,12 @@ def build_index(docs: DataFrame, settings: Settings = Settings(), key: str = "do
         chunks = chunks.withColumnRenamed(key, "doc_id")
     postings = terms.embed(chunks, terms.CHUNK_KEYS, "content", settings)
     return Index(chunks, postings, search.chunk_vectors(postings), settings=settings,
-                 docs=docs.select(F.col(key).alias("doc_id"), F.col(text_col).alias("text")))
+                 docs=docs.select(F.col(key).alias("doc_id"), F.col(text_col).alias("text")),
+                 stats=statistics.corpus_stats(postings))
+
+
+#: What a stored index says of itself (one row).
+STORED_SETTINGS = "n_buckets int, statistics boolean, corpus_length boolean, k1 double, b double, fold string"
 
 
 def write_index(index: Index, path: str, n_buckets: int = DEFAULT_TERM_BUCKETS) -> None:
@@ -52,6 +58,10 @@ def write_index(index: Index, path: str, n_buckets: int = DEFAULT_TERM_BUCKETS)
     held by a third of all chunks) over several tasks and merges small ones.
     Files are sorted by term (tight parquet min/max per row group).  Every write
     is a load of its own: readers see the last complete one.
+
+    Where the index' settings ask for corpus statistics, postings keep ``tf`` and ``dl``,
+    the statistics are counted from the written postings and stored beside them, and
+    readers weigh with the stored mean length.
     """
     d = Loads(index.chunks.sparkSession, path, ["doc_id"])
     load, earlier = d.begin(), d.current()
@@ -59,11 +69,20 @@ def write_index(index: Index, path: str, n_buckets: int = DEFAULT_TERM_BUCKETS)
     chunks = d.rows("chunks", [load]).drop("load")
     postings = terms.embed(chunks.repartition("doc_id", "chunk_no"), terms.CHUNK_KEYS, "content", index.settings) \
         if index.settings else index.postings
-    post = (postings.select("doc_id", "chunk_no", "term_index", "weight")
+    s = index.settings or Settings()
+    measured = ["tf", "dl"] if s.uses_statistics else []
+    if s.corpus_length:  # the mean is not known before the postings are
+        postings = terms.embed_terms(chunks.repartition("doc_id", "chunk_no"), terms.CHUNK_KEYS, "content", s)
+    post = (postings.select("doc_id", "chunk_no", "term_index", *measured, *([] if s.corpus_length else ["weight"]))
             .withColumn("term_bucket", F.pmod(F.col("term_index"), F.lit(n_buckets)).cast("int"))
             .hint("rebalance", "term_bucket").sortWithinPartitions("term_bucket", "term_index"))
     d.write(load, "postings", post, "term_bucket")
-    d.write(load, "settings", d.spark.createDataFrame([(n_buckets,)], "n_buckets int"))
+    if s.uses_statistics:
+        stats = statistics.corpus_stats(d.rows("postings", [load]))
+        d.write(load, "frequencies", stats.terms)
+        d.write(load, "size", stats.size)
+    d.write(load, "settings", d.spark.createDataFrame(
+        [(n_buckets, s.uses_statistics, s.corpus_length, s.k1, s.b, s.fold)], STORED_SETTINGS))
     d.complete(load, covers=earlier)
 
 
@@ -73,8 +92,14 @@ def read_index(spark, path: str) -> Index:
     if not d.exists():
         raise FileNotFoundError(f"no postings under {path}")
     last = [d.current()[-1].load]
-    n_buckets = d.rows("settings", last).first()["n_buckets"]
-    return Index(d.rows("chunks", last).drop("load"), d.rows("postings", last).drop("load"), None, n_buckets)
+    stored = d.rows("settings", last).first()
+    postings, stats = d.rows("postings", last).drop("load"), None
+    if stored["statistics"]:
+        stats = statistics.CorpusStats(d.rows("size", last).drop("load"), d.rows("frequencies", last).drop("load"))
+    if stored["corpus_length"]:
+        mean = stats.size.first()["avgdl"]  # null where no chunk has terms
+        postings = postings.withColumn("weight", terms.bm25_weight(Settings(k1=stored["k1"], b=stored["b"], fold=stored["fold"]), mean or 1.0))
+    return Index(d.rows("chunks", last).drop("load"), postings, None, stored["n_buckets"], stats=stats)
 
 
 @dataclass
@@ -94,7 +119,18 @@ def retrieve(queries: DataFrame, index: Index, settings: Settings = Settings(),
     """
     qd = search.query_defaults(queries, settings).where(F.col("limit") >= 0)
     bounds = search.batch_bounds(qd)
+    size = None
+    if settings.uses_statistics:
+        if index.stats is None:
+            raise ValueError("the index holds no corpus statistics; build or write it with settings that ask for them")
+        size = index.stats.size.first()
+    if settings.corpus_length:
+        if index.settings is not None and not index.settings.corpus_length:
+            raise ValueError("the index is weighted with a fixed length")
+        settings = replace(settings, avgdl=size["avgdl"] or 1.0)  # no chunk with terms: nothing to weigh
     qvec = search.query_vectors(qd, settings)
+    if settings.idf:
+        qvec = statistics.query_idf(qvec, index.stats, size["n_chunks"], bounds["max_terms"])
     side = index.search_side
     if index.term_buckets and bounds["max_terms"] <= PUSHDOWN_MAX_QUERY_TERMS:
         side = search.restrict_to_terms(side, qvec, index.term_buckets)

@@ -25,6 +25,9 @@ def ingest_stream(docs_stream: DataFrame, sink: str, checkpoint: str,
                   settings: Settings = Settings(), key: str = "doc_id", text_col: str = "text",
                   available_now: bool = True):
     """Documents arriving as a stream -> postings appended per micro-batch."""
+    if settings.corpus_length:
+        raise ValueError("avgdl='corpus' needs the whole corpus, and a micro-batch is not it")
+
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         idx = build_index(batch, settings, key, text_col)
         _write_batch(idx.postings.select("doc_id", "chunk_no", "lang", "term", "term_index", "tf", "dl", "weight"),
