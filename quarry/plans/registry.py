@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quarry import oracle as O
 from quarry.config import CONTEXT_SEPARATOR, DEFAULT_MODEL, DEFAULT_SEARCH_LIMIT, Settings
 from quarry.functions import text as T
-from quarry.operators import chunking, collection, prompts, search, statistics, terms, termtables
+from quarry.operators import blocks, chunking, collection, prompts, search, statistics, terms, termtables
 from quarry.plans import commands
 from quarry.plans.retrieval import build_index, read_index, retrieve, write_index
 from quarry.session import scratch_path
@@ -146,6 +146,12 @@ def q_chunk_lossy_cuts(spark: SparkSession, sf: str) -> DataFrame:
     return ch.where(F.col("content").contains("\ufffd"))
 
 
+@register("chunk_blocks", f"{WITH_CHUNKS} SELECT doc_id, chunk_no, content, n_bytes FROM chunks")
+def q_chunk_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """C1 with each document dealt over tasks in blocks of 4 KB (so that these documents have many)."""
+    return blocks.chunk_documents(tables.documents(spark, sf), block_bytes=4096)
+
+
 # ---------------------------------------------------------------------------
 # Terms and BM25
 # ---------------------------------------------------------------------------
