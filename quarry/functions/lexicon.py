@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import glob
 import os
+import unicodedata
 import zipfile
 
 import regex
@@ -24,10 +25,8 @@ LANGUAGES = (("da", "danish"), ("de", "german"), ("en", "english"), ("es", "span
              ("pt", "portuguese"), ("ru", "russian"), ("sv", "swedish"), ("tr", "turkish"))
 # Language assumed when no stop word of any language occurs in a text.
 FALLBACK_LANGUAGE = "en"
-# Accent folding, applied after lower-casing: one-to-one letters ...
-FOLD_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-FOLD_TO = "aaaaaaceeeeiiiinooooouuuuyy"
-# ... and letters that expand to two.
+# Accent folding, applied after lower-casing: letters that expand to two (the one-to-one
+# letters follow from a rule, below).
 FOLD_EXPAND = (("ß", "ss"), ("œ", "oe"), ("æ", "ae"))
 # A token is a maximal run of letters and digits.
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
@@ -54,16 +53,36 @@ STEM_RULES = {
            ("s", "", 4, ())),
 }
 
+
+
+def _accented(first: int, last: int) -> list[tuple[str, str]]:
+    """The letters of a range that are a base letter and combining marks, with that letter."""
+    out = []
+    for c in map(chr, range(first, last + 1)):
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) > 1 and parts[0].isalpha() and all(p in COMBINING_MARKS for p in parts[1:]):
+            out.append((c, parts[0]))
+    return out
+
+
+# One-to-one folding: an accented Latin, Greek or Cyrillic letter becomes its base letter, and
+# the marks that a decomposed form writes after it are deleted, so that both forms of a
+# letter give one token.
+COMBINING_MARKS = "".join(map(chr, range(0x300, 0x370)))
+_ACCENTED = _accented(0xC0, 0x52F) + _accented(0x1E00, 0x1FFF)
+FOLD_FROM = "".join(a for a, _ in _ACCENTED) + COMBINING_MARKS
+FOLD_TO = "".join(b for _, b in _ACCENTED)
+
 _TOKEN_RE = regex.compile(TOKEN_PATTERN)
-_FOLD_TABLE = str.maketrans(FOLD_FROM, FOLD_TO)
+_FOLD_TABLE = {**str.maketrans(dict(_ACCENTED)), **dict.fromkeys(map(ord, COMBINING_MARKS))}
 
 
 def fold(text: str) -> str:
     """Python twin of the Spark folding expression (used for word lists)."""
-    out = text.lower()
+    out = text.lower().translate(_FOLD_TABLE)
     for src, dst in FOLD_EXPAND:
         out = out.replace(src, dst)
-    return out.translate(_FOLD_TABLE)
+    return out
 
 
 def _read_spark_list(name: str) -> list[str]:

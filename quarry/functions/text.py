@@ -121,10 +121,10 @@ def lossy_text(binary) -> Column:
 # Normalisation and tokens
 # ---------------------------------------------------------------------------
 def normalize(text) -> Column:
-    out = F.lower(_col(text))
+    out = F.translate(F.lower(_col(text)), lexicon.FOLD_FROM, lexicon.FOLD_TO)
     for src, dst in lexicon.FOLD_EXPAND:
         out = F.replace(out, F.lit(src), F.lit(dst))
-    return F.translate(out, lexicon.FOLD_FROM, lexicon.FOLD_TO)
+    return out
 
 
 def tokens(text) -> Column:

@@ -78,10 +78,10 @@ def chunks_cte(source: str = "documents", size: int = DEFAULT_CHUNK_SIZE,
 # Terms
 # ---------------------------------------------------------------------------
 def normalize_sql(col: str) -> str:
-    out = f"lower({col})"
+    out = f"translate(lower({col}), {q(lexicon.FOLD_FROM)}, {q(lexicon.FOLD_TO)})"
     for src, dst in lexicon.FOLD_EXPAND:
         out = f"replace({out}, {q(src)}, {q(dst)})"
-    return f"translate({out}, {q(lexicon.FOLD_FROM)}, {q(lexicon.FOLD_TO)})"
+    return out
 
 
 def tokens_sql(col: str) -> str:

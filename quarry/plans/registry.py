@@ -6,6 +6,8 @@ full.  ``ORACLE`` holds the DuckDB SQL for each query that SQL can express.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -174,6 +176,21 @@ def q_tokenize(spark: SparkSession, sf: str) -> DataFrame:
                .select("doc_id", F.col("pos").cast("bigint").alias("pos"), "token")
 
 
+@register("tokenize_decomposed", f"""SELECT doc_id, pos, token FROM (
+  SELECT doc_id, generate_subscripts(t, 1) - 1 AS pos, unnest(t) AS token
+  FROM (SELECT doc_id, {O.tokens_sql('nfc_normalize(text)')} AS t FROM documents))""")
+def q_tokenize_decomposed(spark: SparkSession, sf: str) -> DataFrame:
+    """E2 + E3: the documents with their accents written as combining marks give the same tokens."""
+    docs = tables.documents(spark, sf)
+    apart = F.col("text")
+    for letter, mark in (("a", 0x300), ("e", 0x301), ("e", 0x300), ("u", 0x308), ("o", 0x308), ("a", 0x308), ("n", 0x303), ("c", 0x327),
+                         ("o", 0x301), ("i", 0x301), ("u", 0x301), ("a", 0x301), ("e", 0x302), ("o", 0x302), ("i", 0x302), ("u", 0x300)):
+        for base in (letter, letter.upper()):
+            apart = F.replace(apart, F.lit(unicodedata.normalize("NFC", base + chr(mark))), F.lit(base + chr(mark)))
+    return docs.select("doc_id", F.posexplode(T.tokens(apart)).alias("pos", "token")) \
+               .select("doc_id", F.col("pos").cast("bigint").alias("pos"), "token")
+
+
 @register("stopword_filter", f"""WITH {O.analyzed_cte('an', 'documents', ['doc_id'], 'text')}
 SELECT doc_id, lang, CAST(len(tokens) AS BIGINT) AS n_tokens,
        CAST(len(list_filter(tokens, lambda t: NOT {O.stopword_sql('t', 'lang')})) AS BIGINT) AS n_kept

@@ -46,6 +46,16 @@ def test_tokens_fold_accents(spark):
     assert df.select(T.tokens("t").alias("x")).first().x == ["hello", "world", "strasse", "12ab"]
 
 
+def test_composed_and_decomposed_accents_give_one_token(spark):
+    import unicodedata
+    text = "Élève ça naïve Größe año Čeština győr Việt Σίσυφος йод ǽ İstanbul ﬁ 12é"
+    forms = [(unicodedata.normalize(f, text),) for f in ("NFC", "NFD")]
+    composed, apart = (r.x for r in spark.createDataFrame(forms, "t string").select(T.tokens("t").alias("x")).collect())
+    assert composed == apart
+    assert composed[:9] == ["eleve", "ca", "naive", "grosse", "ano", "cestina", "gyor", "viet", "σισυφος"]
+    assert [lexicon.fold(w) for w in unicodedata.normalize("NFD", text).split()][:8] == composed[:8]
+
+
 def test_language_vote(spark):
     df = spark.createDataFrame([
         (1, "the cat and the dog are in the house"),
