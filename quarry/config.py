@@ -18,6 +18,12 @@ DEFAULT_MODEL = "gpt-4.1"
 CONTEXT_SEPARATOR = "\n\n---\n\n"
 PROMPT_TEMPLATE = "Based on this context:\n\n```text\n{context}\n```\n\n, reply to this query:\n\n```text\n{query}\n```"
 NO_RESPONSE_DETAIL = "No response was generated by the language model"
+BAD_LIMIT_DETAIL = "limit must be a non-negative integer"
+SEARCH_FAILED = "Could not retrieve results because of "
+REQUEST_FAILED = "Could not generate a request because of "
+RESPONSE_FAILED = "Could not generate a response because of "
+NO_QUERY_TEXT = "a query without text"
+NO_MODEL_NAME = "a model without a name"
 DEFAULT_RATE_LIMIT_PER_MINUTE = 100
 SCORE_DECIMALS = 6
 # The template around the two inserted values (derived, not separate values).

@@ -14,7 +14,7 @@ def query_defaults(queries: DataFrame, settings: Settings = Settings()) -> DataF
     """``query_id, query, limit, model`` with NULL limit / model defaulted."""
     return queries.select(
         "query_id", "query",
-        F.coalesce(F.col("limit").cast("bigint"), F.lit(settings.default_limit)).alias("limit"),
+        F.coalesce(F.col("limit").try_cast("bigint"), F.lit(settings.default_limit)).alias("limit"),
         F.coalesce(F.col("model"), F.lit(settings.default_model)).alias("model"))
 
 

@@ -11,6 +11,7 @@ import unicodedata
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry import config as C
 from quarry import oracle as O
 from quarry.config import CONTEXT_SEPARATOR, DEFAULT_MODEL, DEFAULT_SEARCH_LIMIT, Settings
 from quarry.functions import text as T
@@ -448,16 +449,30 @@ def q_responses(spark: SparkSession, sf: str) -> DataFrame:
                     F.md5(F.encode(F.array_join("retrieved", CONTEXT_SEPARATOR), "UTF-8")).alias("retrieved_md5"))
 
 
-@register("query_errors", f"""WITH {O.conversation_queries_cte()}, {O.conversation_answers_cte()}
-SELECT query_id, 422 AS status_code, 'limit must be a non-negative integer' AS detail
-FROM queries WHERE "limit" < 0
-UNION ALL
-SELECT q.query_id, 500, {O.NO_RESPONSE_SQL}
-FROM queries q WHERE (q."limit" IS NULL OR q."limit" >= 0)
-  AND NOT EXISTS (SELECT 1 FROM answers a WHERE a.query_id = q.query_id AND a.response IS NOT NULL)""")
+SQL_REQUEST_FAILS = {k: f"(u.conv_id + 2 * u.turn) % {tables.FAILURE_DIVISOR} IN ({', '.join(map(str, v))})" for k, v in (
+    ("text", tables.NO_TEXT), ("model", tables.NAMELESS_MODEL), ("refused", tables.REFUSED))}
+
+
+@register("query_errors", f"""
+WITH asked AS (
+  SELECT {O.CONV_QUERY_ID.replace('conv_id', 'u.conv_id').replace('turn', 'u.turn')} AS query_id,
+         (u.conv_id + u.turn) % {len(tables.REQUEST_LIMITS)} AS kind, {SQL_REQUEST_FAILS['text']} AS no_text,
+         {SQL_REQUEST_FAILS['model']} AS nameless, {SQL_REQUEST_FAILS['refused']} AS refused, a.text AS answer
+  FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+  WHERE u.role = 'user'),
+staged AS (
+  SELECT *, CASE WHEN kind IN ({tables.REQUEST_LIMITS.index(1500)}, {tables.REQUEST_LIMITS.index(-1)}) THEN 'request'
+                 WHEN no_text THEN 'search' WHEN nameless THEN 'prompt'
+                 WHEN answer IS NULL OR refused THEN 'response' END AS stage FROM asked)
+SELECT query_id, stage, CASE stage WHEN 'request' THEN 422 ELSE 500 END AS status_code,
+       CASE stage WHEN 'request' THEN {O.q(C.BAD_LIMIT_DETAIL)} WHEN 'search' THEN {O.q(C.SEARCH_FAILED + C.NO_QUERY_TEXT)}
+                  WHEN 'prompt' THEN {O.q(C.REQUEST_FAILED + C.NO_MODEL_NAME)}
+                  ELSE CASE WHEN answer IS NOT NULL THEN {O.q(C.RESPONSE_FAILED + tables.REFUSAL)} ELSE {O.NO_RESPONSE_SQL} END END AS detail
+FROM staged WHERE stage IS NOT NULL""")
 def q_query_errors(spark: SparkSession, sf: str) -> DataFrame:
-    qd = tables.conversation_queries(spark, sf)
-    return prompts.query_errors(tables.conversation_answers(spark, sf), qd)
+    """Q7: requests that fail, by the first stage at which they do."""
+    queries, answers = tables.failing_requests(spark, sf)
+    return prompts.query_errors(answers, queries)
 
 
 # ---------------------------------------------------------------------------
@@ -719,3 +734,31 @@ def q_stream_rate_audit(spark: SparkSession, sf: str) -> DataFrame:
     jobs.rate_audit_stream(_stream_table(spark, sf, "events"), sink, ck,
                            AUDIT_WINDOW, AUDIT_LIMIT).awaitTermination()
     return jobs.read_rate_audit(spark, sink)
+
+
+# The events of the first hours of each day arrive after all others, against a watermark of ten days.
+LATE_BEFORE_HOUR, LATE_WATERMARK_DAYS = 6, 10
+
+
+@register("stream_late_rows", f"""
+WITH mark AS (SELECT max(ts) - INTERVAL {LATE_WATERMARK_DAYS} DAY AS passed FROM events WHERE hour(ts) >= {LATE_BEFORE_HOUR}),
+arrived AS (
+  SELECT user_id, date_trunc('day', ts) AS window_start,
+         hour(ts) < {LATE_BEFORE_HOUR} AND date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT passed FROM mark) AS late
+  FROM events)
+SELECT user_id, window_start, count(*) AS n_arrived, count(*) FILTER (NOT late) AS n_counted,
+       count(*) FILTER (late) AS n_late
+FROM arrived GROUP BY user_id, window_start""")
+def q_stream_late_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """What the audit's watermark drops, per client and window, when part of the events comes late."""
+    ev, src = tables.events(spark, sf), scratch_path(spark, "late-events")
+    sink, arrivals = scratch_path(spark, "late-sink"), scratch_path(spark, "late-arrivals")
+    checkpoints = scratch_path(spark, "late-ckpt"), scratch_path(spark, "late-arrivals-ckpt")
+    late = F.hour("ts") < LATE_BEFORE_HOUR
+    for part in (~late, late):
+        ev.where(part).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(ev.schema).parquet(src)
+        jobs.rate_audit_stream(stream, sink, checkpoints[0], AUDIT_WINDOW, AUDIT_LIMIT,
+                               f"{LATE_WATERMARK_DAYS} days").awaitTermination()
+        jobs.arrivals_stream(stream, arrivals, checkpoints[1], AUDIT_WINDOW).awaitTermination()
+    return jobs.late_rows(spark, sink, arrivals)

@@ -114,10 +114,11 @@ def retrieve(queries: DataFrame, index: Index, settings: Settings = Settings(),
              force_shuffle: bool = False) -> Answered:
     """A whole batch of queries: embed, score, rank, fetch content, build prompts.
 
-    Requests with a negative limit are no queries: they get error rows
-    (``prompts.query_errors``) and neither hits nor prompts.
+    Requests that fail on the way get an error row (``prompts.query_errors``)
+    and nothing of the stage at which they fail or of later ones: neither hits nor
+    prompts for a bad limit or a missing text, hits but no prompt for a model without a name.
     """
-    qd = search.query_defaults(queries, settings).where(F.col("limit") >= 0)
+    qd = search.query_defaults(prompts.searchable(queries), settings)
     bounds = search.batch_bounds(qd)
     size = None
     if settings.uses_statistics:
@@ -150,4 +151,4 @@ def retrieve(queries: DataFrame, index: Index, settings: Settings = Settings(),
                                           settings.delimiters, spread=False)
     hits = search.attach_content(ranked, chunks, most)
     ctx = prompts.retrieval_context(hits, qd)
-    return Answered(qd, hits, ctx, prompts.prompts(ctx, qd))
+    return Answered(qd, hits, ctx, prompts.prompts(ctx, qd.where(F.trim("model") != "")))

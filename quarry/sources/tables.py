@@ -16,6 +16,12 @@ REQUEST_LIMITS = (0, 1, 5, 1500, None, -1)
 REQUEST_MODELS = ("small-model", None, None, "large-model")
 
 
+# Of the requests for the account of errors, by conv_id + 2 * turn (fixed values): the divisor, and
+# the remainders of those without a text, of those whose model has no name, and of those that the service refuses.
+FAILURE_DIVISOR, NO_TEXT, NAMELESS_MODEL, REFUSED = 11, (3,), (4, 7), (5, 9)
+REFUSAL = "the rate limit of the service"
+
+
 def _by_remainder(values: tuple, kind: str):
     n = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(values)))
     out = F.lit(None).cast(kind)
@@ -57,6 +63,24 @@ def conversation_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.join(a, ["conv_id", "turn"]).select(_turn_id().alias("query_id"), "response")
 
 
+def _fails(remainders: tuple):
+    return F.pmod(F.col("conv_id") + 2 * F.col("turn"), F.lit(FAILURE_DIVISOR)).isin(*remainders)
+
+
+def failing_requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All user turns as requests and their answers, some of which fail at each stage (limits as text, one kind no number)."""
+    c = table(spark, sf_dir, "conversations")
+    limit = _by_remainder(REQUEST_LIMITS, "string")
+    queries = c.where(F.col("role") == "user").select(
+        _turn_id().alias("query_id"), F.when(~_fails(NO_TEXT), F.col("text")).alias("query"),
+        F.when(limit == "1500", F.lit("many")).otherwise(limit).alias("limit"),
+        F.when(_fails(NAMELESS_MODEL), F.lit(" ")).otherwise(_by_remainder(REQUEST_MODELS, "string")).alias("model"))
+    turn = c.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response"))
+    answers = turn.select(_turn_id().alias("query_id"), F.when(~_fails(REFUSED), F.col("response")).alias("response"),
+                          F.when(_fails(REFUSED), F.lit(REFUSAL)).alias("error"))
+    return queries, answers
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events")
 

@@ -121,3 +121,37 @@ def read_rate_audit(spark: SparkSession, sink: str) -> DataFrame:
     last = F.max_by(F.struct("n", "admitted", "throttled"), "batch_id")
     return (s.groupBy("user_id", "window_start").agg(last.alias("r"))
              .select("user_id", "window_start", "r.n", "r.admitted", "r.throttled"))
+
+
+def arrivals_stream(events_stream: DataFrame, sink: str, checkpoint: str, window: str = "1 minute",
+                    available_now: bool = True, client_col: str = "user_id", ts_col: str = "ts"):
+    """Rows per client and window as they arrive, late or not, one partition of counts a micro-batch.
+
+    The account beside :func:`rate_audit_stream`, over the same source with a
+    checkpoint of its own.  It holds no state and no watermark: each micro-batch
+    is counted by itself and the counts are added when they are read.
+    """
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        g = batch.groupBy(F.col(client_col).alias("user_id"), F.window(ts_col, window).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+        _write_batch(g.select("user_id", F.col("w.start").alias("window_start"), "n"), sink, batch_id)
+
+    w = events_stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
+
+
+def late_rows(spark: SparkSession, sink: str, arrivals: str) -> DataFrame:
+    """``user_id, window_start, n_arrived, n_counted, n_late``: what the audit's watermark dropped.
+
+    ``sink`` is that of :func:`rate_audit_stream`, ``arrivals`` that of
+    :func:`arrivals_stream`.  A row that arrived was counted or dropped, so the
+    difference is exact once both have read the same input; while one is ahead, its
+    lead shows as late (or as a negative number).  Rows without a time belong to
+    no window.  One exchange, by (client, window).
+    """
+    zero = F.lit(0).cast("bigint")
+    counted = read_rate_audit(spark, sink).select("user_id", "window_start", zero.alias("a"), F.col("n").alias("c"))
+    arrived = read_sink(spark, arrivals).select("user_id", "window_start", F.col("n").alias("a"), zero.alias("c"))
+    return (arrived.unionByName(counted).groupBy("user_id", "window_start")
+            .agg(F.sum("a").alias("n_arrived"), F.sum("c").alias("n_counted"))
+            .withColumn("n_late", F.col("n_arrived") - F.col("n_counted")))

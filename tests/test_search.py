@@ -181,3 +181,28 @@ def test_responses_and_errors(spark):
     assert r == {1: ("It is red.", ["red red apple", "red apple"])}
     errs = {x.query_id: (x.status_code, x.detail) for x in P.query_errors(answers, q).collect()}
     assert errs[2][0] == 500 and errs[3][0] == 422 and 1 not in errs
+
+
+def test_errors_by_stage(spark):
+    from quarry.operators import prompts as P
+    idx = build_index(corpus(spark, [(1, "red apple"), (2, "green pear")]))
+    q = spark.createDataFrame(
+        [(1, "red", "2", None), (2, "red", "two", None), (3, "red", "-1", ""), (4, None, "1", ""), (5, "red", None, " "),
+         (6, "pear", "3", "m"), (7, "pear", None, "m"), (8, "pear", "1", "m"), (9, "", "1", "m")],
+        "query_id long, query string, limit string, model string")
+    answers = spark.createDataFrame(
+        [(1, None, "x"), (1, "yes", None), (1, "yes", None), (6, None, "a"), (6, None, "b"), (7, None, None), (4, "no", None), (9, "none", None)],
+        "query_id long, response string, error string")
+    errs = {r.query_id: (r.stage, r.status_code) for r in P.query_errors(answers, q).collect()}
+    assert errs == {2: ("request", 422), 3: ("request", 422), 4: ("search", 500), 5: ("prompt", 500),
+                    6: ("response", 500), 7: ("response", 500), 8: ("response", 500)}
+    details = {r.query_id: r.detail for r in P.query_errors(answers, q).collect()}
+    assert details[6].endswith(" of b") and details[7] == details[8]
+    # a failing request has what comes before its stage and nothing else; others are not disturbed
+    a = retrieve(q, idx)
+    assert sorted(r.query_id for r in a.hits.collect()) == [1, 5, 6, 7, 8]
+    assert sorted(r.query_id for r in a.prompts.collect()) == [1, 6, 7, 8, 9]
+    # empty tables
+    assert P.query_errors(answers.limit(0), q.where("query_id = 1")).first().stage == "response"
+    assert P.query_errors(answers, q.limit(0)).count() == 0
+

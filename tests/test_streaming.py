@@ -85,3 +85,21 @@ def test_stream_audit_independent_of_session_time_zone(spark, sf_smoke):
         assert _sorted(s) == _sorted(b)
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_late_rows_are_counted_by_window(spark):
+    src = os.path.join(tempfile.mkdtemp(prefix="quarry-events-", dir="/tmp"), "e")
+    t0 = dt.datetime(2024, 1, 1, 12, 0, 0)
+    first = [(1, t0), (1, t0 + dt.timedelta(hours=2)), (None, t0), (2, None)]
+    late = [(1, t0 + dt.timedelta(seconds=5)), (1, t0 + dt.timedelta(seconds=5)), (None, t0), (3, t0),
+            (1, t0 + dt.timedelta(hours=2, seconds=1))]
+    sink, arrivals = scratch_path(spark, "audit"), scratch_path(spark, "arrivals")
+    cks = scratch_path(spark, "audit-ck"), scratch_path(spark, "arrivals-ck")
+    for rows in (first, late):
+        spark.createDataFrame(rows, "user_id long, ts timestamp_ntz").coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema("user_id long, ts timestamp_ntz").parquet(src)
+        jobs.rate_audit_stream(stream, sink, cks[0], "1 hour", 1, "10 minutes").awaitTermination()
+        jobs.arrivals_stream(stream, arrivals, cks[1], "1 hour").awaitTermination()
+    out = {(r.user_id, r.window_start.hour): (r.n_arrived, r.n_counted, r.n_late)
+           for r in jobs.late_rows(spark, sink, arrivals).collect()}
+    assert out == {(1, 12): (3, 1, 2), (None, 12): (2, 1, 1), (3, 12): (1, 0, 1), (1, 14): (2, 2, 0)}
