@@ -1,9 +1,11 @@
 """Every operator against a plain version of its definition, on small inputs."""
 
 import base64
+import bz2
 import gzip
 import hashlib
 import itertools
+import lzma
 import math
 import random
 import re
@@ -15,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+import zstandard
 
 from quarry.llm import base, decontaminate, language, lm, quality, rules, secrets, sentencepiece, simhash, suffix, toxicity
 from quarry.llm.queries import QUERIES
@@ -300,6 +303,47 @@ def test_nested_layers_map_to_the_text(outer, inner):
     assert e - s > len(wrapped) // 2
 
 
+FILL = " ".join(f"w{i * i % 997}" for i in range(300))
+ENC = lambda raw: base64.b64encode(raw).decode()
+LINES = lambda t: "\r\n".join(t[i:i + 76] for i in range(0, len(t), 76))
+LAYERS = {
+    "second gzip member": ENC(gzip.compress(b"hello") + gzip.compress(SECRET.encode())),
+    "member boundary within the find": ENC(gzip.compress(SECRET[:14].encode()) + gzip.compress(SECRET[14:].encode())),
+    "wrapped gzip": LINES(ENC(gzip.compress((FILL + SECRET).encode()))),
+    "wrapped, find across lines": LINES(ENC((FILL[:45] + SECRET + FILL).encode())),
+    "path before": "/v1/" + ENC(SECRET.encode()),
+    "misaligned path before": "/v12/" + ENC(SECRET.encode()),
+    "path before gzip": "/v1/" + ENC(gzip.compress(SECRET.encode())),
+    "control byte": ENC(b"abc\x01" + SECRET.encode()),
+    "bytes that are no text": ENC(b"\xff\xfe\x00" + SECRET.encode() + b"\x80"),
+    "gzip in percent escapes": urllib.parse.quote(gzip.compress(SECRET.encode())),
+    "gzip in form escapes": urllib.parse.quote_plus(gzip.compress((FILL + SECRET).encode())),
+    "zlib in byte escapes": "".join(f"\\x{c:02x}" for c in zlib.compress(SECRET.encode())),
+    "stream twice": ENC(bz2.compress(lzma.compress((FILL + SECRET).encode()))),
+    "zstandard frames": ENC(zstandard.compress(FILL.encode()) + zstandard.compress(SECRET.encode())),
+}
+
+
+@pytest.mark.parametrize("kind", LAYERS)
+def test_layers_in_bytes(kind):
+    text = f"é see {LAYERS[kind]} end of it"
+    base_spans, spans, _, _ = secrets.scan(text)
+    assert not base_spans and all(6 <= s < e <= len(text) - len(" end of it") for s, e, _ in spans)
+    assert {k for *_, k in spans} == {0}
+    clean = secrets.redact(text, spans)
+    assert secrets.scan(clean)[1] == [] and clean.startswith("é see ") and clean.endswith(" end of it")
+    # the same layer without a secret is left alone
+    assert secrets.scan(text.replace(LAYERS[kind], ENC(gzip.compress(FILL.encode()))))[1] == []
+
+
+def test_streams_are_read_to_their_end():
+    """A find behind 60 MB, and one across the ends of two windows."""
+    for before in (60 << 20, secrets.WINDOW - 10):
+        text = "see " + ENC(zlib.compress(b"x " * (before // 2) + SECRET.encode()))
+        spans, long = secrets.scan(text)[1::2]
+        assert [(s, k) for s, _, k in spans] == [(4, 0)] and long >= 1
+
+
 def test_cycles_end_and_redaction_removes_the_find():
     text = "%25%32%35 " + urllib.parse.quote(urllib.parse.quote(SECRET, safe=""), safe="")
     _, spans, layers, _ = secrets.scan(text)
