@@ -7,9 +7,10 @@ each line's probability of being good, and the mean of these, weighted by the
 lines' lengths, is the document's score.
 
 Training labels every line with its document's label and climbs the conditional
-likelihood in numpy, on at most ``per_class`` documents of each label (the first
-in order of a hash of their ids) and ``CHAIN`` lines in a row; scoring takes whole
-texts of any number of lines.
+likelihood in numpy, on the whole texts of a bounded sample: of each label the first
+``per_class`` documents in order of a hash of their ids, as many as have
+``max_lines`` lines together.  Scoring takes whole texts of any number of lines; the
+features are made for ``BLOCK`` lines at a time and only three numbers a line are kept.
 """
 
 from __future__ import annotations
@@ -25,7 +26,12 @@ from quarry.llm.base import U64, blob, held_out, pieces, range_hash, running_sum
 from quarry.llm.toxicity import first_by_hash
 
 PER_CLASS = 2000
-CHAIN = 200
+#: Lines of the training documents of one label.
+MAX_LINES = 100_000
+#: Lines whose features are held at once while scoring.
+BLOCK = 1 << 16
+#: Lines of a chain that are worked through one after the other.
+SPAN = 1024
 _CLASS = np.zeros(256, dtype=np.int64)  # 0 other
 for _lo, _hi, _k in ((97, 122, 1), (65, 90, 2), (48, 57, 3), (128, 255, 4)):
     _CLASS[_lo:_hi + 1] = _k
@@ -55,8 +61,26 @@ def lines_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def shapes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features of each line, its length in bytes, its row)."""
     start, end, row = lines_of(data, off)
+    return _shapes(data, start, end, np.append(start, off[-1])), end - start, row
+
+
+def evidence(data: np.ndarray, off: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weight of 'good' of each line from itself and its neighbours, its length in bytes, its row)."""
+    start, end, row = lines_of(data, off)
+    edges, parts = np.append(start, off[-1]), emit.reshape(3, N_SHAPE).T
+    told = np.empty((len(start), 3))  # what a line says of itself, of the line after it and of the line before it
+    for a in range(0, len(start), BLOCK):
+        b = min(a + BLOCK, len(start))
+        lo, hi = edges[a], edges[b]
+        told[a:b] = _shapes(data[lo:hi], start[a:b] - lo, end[a:b] - lo, edges[a:b + 1] - lo) @ parts
+    good, same = told[:, 0].copy(), row[1:] == row[:-1]
+    good[1:][same] += told[:-1, 1][same]
+    good[:-1][same] += told[1:, 2][same]
+    return good, end - start, row
+
+
+def _shapes(data: np.ndarray, start: np.ndarray, end: np.ndarray, edges: np.ndarray) -> np.ndarray:
     n, size = len(start), end - start
-    edges = np.append(start, off[-1])
     counts = np.zeros((n, 10))
     if len(data):
         owner = np.repeat(np.arange(n), np.diff(edges))
@@ -76,13 +100,12 @@ def shapes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     distinct = np.bincount(line[key][fresh], minlength=n)
     last = np.where(size > 0, _CLASS[data[np.maximum(end - 1, 0)]] if len(data) else 0, 0)
     odd_end = np.isin(_CLASS[data[we - 1]], (5, 6, 7)) if len(ws) else np.zeros(0, bool)
-    shape = np.column_stack([
+    return np.column_stack([
         np.ones(n), size == 0, np.log1p(size) / 5, np.log1p(words) / 3, size < 40,
         counts[:, [1, 2, 3, 4, 5, 6, 7, 8]] / chars,
         np.bincount(line, weights=again, minlength=n) / wordy, 1 - distinct / wordy,
         np.bincount(line, weights=odd_end, minlength=n) / wordy, (size - counts[:, 9]) / wordy / 10,
         counts[:, 2] > counts[:, 1], last == 8]).astype(float)
-    return shape, size, row
 
 
 def with_neighbours(shape: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -101,33 +124,61 @@ class Crf:
     emit: np.ndarray
     move: np.ndarray  # 2 x 2, from state to state; state 1 is good
 
-    def marginals(self, x: np.ndarray, row: np.ndarray) -> np.ndarray:
-        return forward_backward(np.clip(x @ self.emit, -30, 30), row, self.move)[0]
+    def marginals(self, good: np.ndarray, row: np.ndarray) -> np.ndarray:
+        return forward_backward(np.clip(good, -30, 30), row, self.move, moves=False)[0]
 
 
-def forward_backward(good: np.ndarray, row: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(good) of each line, and the expected transitions of all chains (2 x 2).
+def forward_backward(good: np.ndarray, row: np.ndarray, move: np.ndarray, moves: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """P(good) of each line, and the expected transitions of all chains (2 x 2; zeros without ``moves``).
 
-    The chains are worked on side by side, one place in the chain at a time.
+    Chains are cut into blocks of ``SPAN`` lines, and all blocks are worked on side by side, one
+    place in the block at a time.  Where a chain has several, each block's steps are first
+    multiplied into one 2 x 2 matrix; these carry the messages from block to block.
     """
     n = len(good)
     if not n:
         return np.zeros(0), np.zeros((2, 2))
     start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
     size = np.diff(np.append(start, n))
-    order = np.argsort(-size, kind="stable")
-    start, size = start[order], size[order]
+    blocks = -(-size // SPAN)  # of each chain
+    last = np.cumsum(blocks) - 1
+    first = last - blocks + 1
+    chain = np.repeat(np.arange(len(size)), blocks)
+    number = np.arange(len(chain)) - first[chain]
+    length = np.minimum(SPAN, size[chain] - number * SPAN)
+    order = np.argsort(-length, kind="stable")
+    live = np.searchsorted(-length[order], -np.arange(1, length.max() + 1), side="right")
+    start, head = (start[chain] + number * SPAN)[order], (number == 0)[order]
     e = np.exp(np.column_stack([np.zeros(n), good]) - np.maximum(0, good)[:, None])
     t = np.exp(move - move.max())
+    enter, leave = np.ones((len(chain), 2)), np.ones((len(chain), 2))
+    if blocks.max() > 1:
+        steps = np.tile(np.eye(2), (len(chain), 1, 1))
+        for k, m in enumerate(live):
+            step = t * e[start[:m] + k][:, None, :]
+            if k == 0:
+                step[head] = np.eye(2) * e[start[head]][:, None, :]
+            steps[:m] = steps[:m] @ step
+            steps[:m] /= steps[:m].sum(axis=(1, 2), keepdims=True)
+        steps[order] = steps.copy()
+        most = np.argsort(-blocks, kind="stable")
+        for k in range(1, int(blocks.max())):
+            c = most[:np.searchsorted(-blocks[most], -k)]
+            b = first[c] + k
+            a = (enter[b - 1][:, None, :] @ steps[b - 1])[:, 0]
+            enter[b] = a / a.sum(axis=1, keepdims=True)
+            b = last[c] - k
+            a = (steps[b + 1] @ leave[b + 1][:, :, None])[:, :, 0]
+            leave[b] = a / a.sum(axis=1, keepdims=True)
+    enter, leave = enter[order], leave[order]
     fwd, bwd = np.empty((n, 2)), np.empty((n, 2))
-    live = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")
-    for k in range(int(size[0])):
-        at = start[:live[k]] + k
-        a = e[at] if k == 0 else (fwd[at - 1] @ t) * e[at]
+    for k, m in enumerate(live):
+        at = start[:m] + k
+        a = (np.where(head[:, None], enter, enter @ t) if k == 0 else fwd[at - 1] @ t) * e[at]
         fwd[at] = a / a.sum(axis=1, keepdims=True)
-    for k in range(int(size[0]) - 1, -1, -1):
+    for k in range(len(live) - 1, -1, -1):
         at = start[:live[k]] + k
-        b = np.ones((len(at), 2))
+        b = leave[:live[k]].copy()
         more = live[k + 1] if k + 1 < len(live) else 0
         if more:
             nxt = at[:more] + 1
@@ -135,6 +186,8 @@ def forward_backward(good: np.ndarray, row: np.ndarray, move: np.ndarray) -> tup
         bwd[at] = b / b.sum(axis=1, keepdims=True)
     p = fwd * bwd
     p /= p.sum(axis=1, keepdims=True)
+    if not moves:
+        return p[:, 1], np.zeros((2, 2))
     inner = np.flatnonzero(row[1:] == row[:-1]) + 1
     pair = fwd[inner - 1][:, :, None] * t[None] * (e[inner] * bwd[inner])[:, None, :]
     pair /= pair.sum(axis=(1, 2), keepdims=True)
@@ -161,8 +214,13 @@ def fit(shape: np.ndarray, row: np.ndarray, label: np.ndarray, steps: int = 250,
     return Crf(theta[:-4], theta[-4:].reshape(2, 2))
 
 
-def train(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, per_class: int = PER_CLASS) -> Crf:
-    """Fit on labelled rows that are not held out.  Of several labels of a document the worst counts."""
+def train(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, per_class: int = PER_CLASS,
+          max_lines: int = MAX_LINES) -> Crf:
+    """Fit on labelled rows that are not held out.  Of several labels of a document the worst counts.
+
+    The sample is bounded by ``per_class`` documents and ``max_lines`` lines of each label and holds
+    whole texts: a document that would bring more lines than are left is passed over.
+    """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")) \
         .where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out("doc_id", mod, rest)) \
         .groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -171,16 +229,23 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, per_c
     def run(batches):
         for rb in pieces(batches):
             shape, _, row = shapes(*blob(rb.column("text")))
-            first = np.searchsorted(row, np.arange(rb.num_rows))
-            keep = np.arange(len(row)) - first[row] < CHAIN
-            shape, row = shape[keep], row[keep]
             cut = np.searchsorted(row, np.arange(rb.num_rows + 1)).astype(np.int32) * N_SHAPE
             yield pa.RecordBatch.from_arrays(
                 [rb.column("doc_id"), rb.column("quality"), pa.ListArray.from_arrays(pa.array(cut), pa.array(shape.astype(np.float32).ravel()))],
                 ["doc_id", "quality", "shape"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text") \
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    counted = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality") \
+        .agg(F.sum(F.coalesce(n_lines, F.lit(1)).cast("long")).alias("lines")) \
+        .orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # 2 x per_class rows at most
+    left, sample = {0: max_lines, 1: max_lines}, []
+    for r in counted:
+        if r["lines"] <= left[r["quality"]]:
+            left[r["quality"]] -= r["lines"]
+            sample.append((r["doc_id"], r["quality"]))
+    fitting = docs.sparkSession.createDataFrame(sample, "doc_id long, quality int")
+    rows = texts.join(F.broadcast(fitting), "doc_id").select("doc_id", "quality", "text") \
         .mapInArrow(run, "doc_id long, quality int, shape array<float>").orderBy("doc_id").toArrow()
     if not rows.num_rows:
         return Crf(np.zeros(3 * N_SHAPE), np.zeros((2, 2)))
@@ -202,8 +267,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int
     def run(batches):
         model = sent.value
         for rb in pieces(batches):
-            shape, size, row = shapes(*blob(rb.column("text")))
-            p = model.marginals(with_neighbours(shape, row), row)
+            good, size, row = evidence(*blob(rb.column("text")), model.emit)
+            p = model.marginals(good, row)
             n = rb.num_rows
             weight = np.where(np.bincount(row, weights=size, minlength=n)[row] > 0, size, 1.0)
             value = np.bincount(row, weights=p * weight, minlength=n) / np.bincount(row, weights=weight, minlength=n)

@@ -254,6 +254,71 @@ def test_nnpu_finds_the_telling_feature():
     assert min(margin[:10]) > 0 > max(margin[10:])
 
 
+def test_long_chains_are_cut_without_a_difference(monkeypatch):
+    rng = np.random.default_rng(5)
+    row = np.repeat(np.arange(9), [1, 40, 2, 7, 8, 9, 1, 100, 16])
+    good, move = rng.normal(size=len(row)) * 8, rng.normal(size=(2, 2)) * 3
+    want, moves = quality.forward_backward(good, row, move)
+    for span in (1, 2, 7, 8, 64):
+        monkeypatch.setattr(quality, "SPAN", span)
+        p, m = quality.forward_backward(good, row, move)
+        assert np.allclose(p, want) and np.allclose(m, moves)
+
+
+def test_evidence_in_blocks_is_that_of_all_features(monkeypatch):
+    texts = ["", "One line. Another one!\n\n| a | b |\n#### 12", None, "\n" * 7, "é x\n" * 40, "last"]
+    data, off = base.blob(pa.array(texts))
+    emit = np.random.default_rng(3).normal(size=3 * quality.N_SHAPE)
+    shape, size, row = quality.shapes(data, off)
+    want = quality.with_neighbours(shape, row) @ emit
+    for block in (1, 3, 1000):
+        monkeypatch.setattr(quality, "BLOCK", block)
+        good, size2, row2 = quality.evidence(data, off, emit)
+        assert np.allclose(good, want) and (size2 == size).all() and (row2 == row).all()
+
+
+def test_document_score_is_the_weighted_mean_over_all_labellings(spark, monkeypatch):
+    """The query's score of small documents, from the trained weights and every labelling of their lines."""
+    texts = {1: "A good line of text, it seems.\nshort\n\n%% $$ ##", 2: "", 3: None, 4: "x\ny", 5: "plain words here and there\n" * 3}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (4, 0), (5, 1), (2, 1)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    got = {r.doc_id: r.score for r in quality.score_documents(docs, labels).collect()}
+    for doc, text in texts.items():
+        shape, size, row = quality.shapes(*base.blob(pa.array([text], pa.string())))
+        good = np.clip(quality.with_neighbours(shape, row) @ model.emit, -30, 30)
+        total, on = 0.0, np.zeros(len(good))
+        for states in itertools.product((0, 1), repeat=len(good)):
+            w = math.exp(sum(g for g, y in zip(good, states) if y) + sum(model.move[a, b] for a, b in zip(states, states[1:])))
+            total += w
+            on += w * np.array(states)
+        weight = size if size.sum() else np.ones(len(size))
+        assert got[doc] == pytest.approx((on / total * weight).sum() / weight.sum(), abs=1e-6)
+
+
+def test_training_takes_whole_texts_within_its_bound(spark, monkeypatch):
+    """Lines far down a text are learned from; a text over the bound is passed over whole."""
+    ids = [i for i in range(60) if not held(i, 4, 2)]
+    head, bad = "the same words at the top\n" * 300, "@@ ## $$ %% ^^\n" * 300
+    docs = spark.createDataFrame([(i, head + (bad if i % 2 else head)) for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in ids], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    good, _, row = quality.evidence(*base.blob(pa.array([bad, head])), model.emit)
+    p = model.marginals(good, row)
+    assert p[row == 0].mean() < 0.1 and p[row == 1].mean() > 0.5
+    assert not quality.train(docs, labels, max_lines=600).emit.any()
+
+
+def test_many_short_lines_stay_in_bounds():
+    import resource
+    text = "\n" * 4_000_000
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    good, _, row = quality.evidence(*base.blob(pa.array([text])), np.ones(3 * quality.N_SHAPE))
+    p = quality.Crf(np.ones(3 * quality.N_SHAPE), np.zeros((2, 2))).marginals(good, row)
+    assert len(p) == 4_000_001 and (p > 0).all()
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_500_000  # KB
+
+
 # ------------------------------------------------------------------ 6 secrets
 
 WORDS = "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
