@@ -103,3 +103,17 @@ def test_late_rows_are_counted_by_window(spark):
     out = {(r.user_id, r.window_start.hour): (r.n_arrived, r.n_counted, r.n_late)
            for r in jobs.late_rows(spark, sink, arrivals).collect()}
     assert out == {(1, 12): (3, 1, 2), (None, 12): (2, 1, 1), (3, 12): (1, 0, 1), (1, 14): (2, 2, 0)}
+
+
+def test_streams_read_tables_stored_as_folders(spark, sf_smoke):
+    """A table is a folder of part files at size; each stream reads all of them."""
+    sf = tempfile.mkdtemp(prefix="quarry-parts-", dir="/tmp")
+    docs = spark.read.parquet(f"{sf_smoke}/documents.parquet").where("doc_id < 60")
+    docs.repartition(3).write.parquet(os.path.join(sf, "documents.parquet"))
+    spark.read.parquet(f"{sf_smoke}/pages.parquet").where("page_id < 5").write.parquet(os.path.join(sf, "pages.parquet"))
+    spark.read.parquet(f"{sf_smoke}/events.parquet").repartition(3).write.parquet(os.path.join(sf, "events.parquet"))
+    assert _sorted(registry.q_stream_ingest(spark, sf)) == _sorted(registry.q_bm25_weights(spark, sf))
+    assert _sorted(registry.q_stream_rate_audit(spark, sf)) == _sorted(registry.q_rate_audit(spark, sf))
+    loaded = registry.q_stream_load_command(spark, sf)
+    assert _sorted(loaded) == _sorted(registry.q_load_command(spark, sf).drop("point_id"))
+    assert loaded.count() > 60
