@@ -214,3 +214,20 @@ def test_serve_from_points_equals_postings(spark, sf_smoke):
     a = retrieve(q, idx).hits.select("query_id", "rank", "doc_id", "chunk_no", "score")
     b = commands.serve(spark, coll, q).hits.select("query_id", "rank", "doc_id", "chunk_no", "score")
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_a_load_embeds_once_and_leaves_no_copies(spark, monkeypatch):
+    """The scratch copies of a load go with it, failed or not, and chunks without terms still get their row."""
+    made = []
+    monkeypatch.setattr(commands, "scratch_path", lambda s, name: made.append(scratch_path(s, name)) or made[-1])
+    d = make_folder()
+    with open(os.path.join(d, "empty.md"), "w") as f:
+        f.write("the and of\n")
+    coll, parsed = scratch_path(spark, "coll"), scratch_path(spark, "parsed")
+    n = commands.load(spark, d, coll, parsed, extractors=PDF)["load"]
+    assert made and not [p for p in made if os.path.exists(p)]
+    rows = collection.store(spark, coll).rows("skipped", [n]).collect()
+    assert [(r.chunk_no, r.n_bytes) for r in rows] == [(0, 11)]
+    with pytest.raises(ValueError):
+        commands.load(spark, d, coll, parsed, strict=True)
+    assert not [p for p in made if os.path.exists(p)]
