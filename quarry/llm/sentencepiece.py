@@ -34,6 +34,9 @@ BYTE_WEIGHT = 1e-5
 #: Segments are filtered as plain products while their least likely path stays above
 #: this; longer ones byte by byte in logarithms.
 LEAST_PRODUCT = 1e-300
+#: Text sampled at once.  More shares more segments, but the lattice takes some 100 bytes
+#: for each byte, in every task of an executor at the same time.
+SAMPLE_BYTES = 512 << 10
 
 
 class Vocabulary:
@@ -335,7 +338,7 @@ def encode(docs: DataFrame, model: str = MODEL, seed: int = 42, theta: float = 1
 
     def run(batches):
         v = sent.value
-        for rb in pieces(batches, "text", 2 << 20):  # more text shares more segments
+        for rb in pieces(batches, "text", SAMPLE_BYTES):
             data, off = blob(rb.column("text"))
             keys = rb.column("key").to_numpy(zero_copy_only=False)
             ids, cut = sample(v, data, off, keys, seed)

@@ -2,6 +2,7 @@
 
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -120,3 +121,22 @@ def test_scores_do_not_depend_on_pieces_slices_and_partitions(spark, sf_smoke, m
         assert (got[d].n_tokens, got[d].n_known, got[d].train_tokens) == (r.n_tokens, r.n_known, r.train_tokens)
         assert abs(got[d].base_score - r.base_score) < 1e-6 * max(1, abs(r.base_score))
         assert abs(got[d].score - r.score) <= 0.05 * r.n_tokens
+
+
+def test_encoding_a_large_batch_holds_a_bounded_lattice(spark, monkeypatch):
+    """A task's lattice is that of a small piece of its batch: two run side by side in an executor."""
+    rng = np.random.default_rng(4)
+    words = np.array(["".join(rng.choice(list("abcdefghijklmno"), 6)) for _ in range(50000)])
+    texts = [" ".join(rng.choice(words, 800)) for _ in range(700)]  # 3.9 MB
+    docs = spark.createDataFrame([(0, "x")], "doc_id long, text string")
+    held = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: held.append(f))
+    sentencepiece.encode(docs)
+    batch = pa.record_batch([pa.array(range(700), pa.int64()), pa.array(range(700), pa.int64()), pa.array(texts)], ["doc_id", "key", "text"])
+    list(held[0]([batch.slice(0, 1)]))  # tables of the vocabulary
+    tracemalloc.start()
+    try:
+        assert sum(rb.num_rows for rb in held[0]([batch])) == 700
+        assert tracemalloc.get_traced_memory()[1] < 100e6
+    finally:
+        tracemalloc.stop()
