@@ -32,6 +32,8 @@ MAX_LINES = 100_000
 BLOCK = 1 << 16
 #: Lines of a chain that are worked through one after the other.
 SPAN = 1024
+#: The fit goes back to its best step if the last one has a line's label this much less likely (mean logarithm).
+SWING = 0.05
 _CLASS = np.zeros(256, dtype=np.int64)  # 0 other
 for _lo, _hi, _k in ((97, 122, 1), (65, 90, 2), (48, 57, 3), (128, 255, 4)):
     _CLASS[_lo:_hi + 1] = _k
@@ -195,7 +197,11 @@ def forward_backward(good: np.ndarray, row: np.ndarray, move: np.ndarray, moves:
 
 
 def fit(shape: np.ndarray, row: np.ndarray, label: np.ndarray, steps: int = 250, rate: float = 0.08, decay: float = 1e-4) -> Crf:
-    """Climb the conditional log likelihood of the lines' labels (Adam, all chains at once)."""
+    """Climb the conditional log likelihood of the lines' labels (Adam, all chains at once).
+
+    On long chains of equal lines a step can overshoot by the whole chain, and where the climb ends is
+    then chance.  The last step stands unless an earlier one told the lines' labels clearly better.
+    """
     x = with_neighbours(shape, row)
     model = Crf(np.zeros(x.shape[1]), np.zeros((2, 2)))
     if not len(x):
@@ -205,12 +211,20 @@ def fit(shape: np.ndarray, row: np.ndarray, label: np.ndarray, steps: int = 250,
     np.add.at(seen, (label[inner - 1], label[inner]), 1)
     theta = np.zeros(x.shape[1] + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, steps + 1):
+    best, top = theta, -np.inf
+    for step in range(1, steps + 2):
         p, moves = forward_backward(np.clip(x @ theta[:-4], -30, 30), row, theta[-4:].reshape(2, 2))
+        told = np.log(np.maximum(np.where(label == 1, p, 1 - p), 1e-12)).mean()
+        if told > top:
+            best, top = theta.copy(), told
+        if step > steps:
+            break
         grad = np.concatenate([x.T @ (label - p), (seen - moves).ravel()]) / len(x) - decay * theta
         m += 0.1 * (grad - m)
         v += 0.001 * (grad * grad - v)
         theta += rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
+    if told < top - SWING:
+        theta = best
     return Crf(theta[:-4], theta[-4:].reshape(2, 2))
 
 
