@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from quarry.config import Settings
-from quarry.operators import collection, search, skew, statistics, terms
-from quarry.plans import registry
+from quarry.operators import collection, scoring, search, skew, statistics, terms
+from quarry.plans import registry, retrieval
 from quarry.plans.retrieval import build_index, retrieve, store_terms
 from quarry.session import scratch_path
 
@@ -66,3 +66,18 @@ def test_both_loads_of_the_compacted_collection_take_the_same_points(spark, monk
     got = registry.q_collection_compact(spark, str(tmp_path)).collect()
     assert len(seen) == 2 and not any("posexplode" in p for p in seen)
     assert sorted(r.point_id for r in got) == list(range(1, 41))
+
+
+def test_a_batch_with_statistics_embeds_the_corpus_once(spark, monkeypatch):
+    """Mean length, frequencies and scores come from the rows of the batch's terms, which are written once."""
+    asked = spark.createDataFrame([(1, "alpha", 5, None), (2, "beta word7", None, None), (3, "nowhere", None, None)],
+                                  "query_id long, query string, limit long, model string")
+    idx, seen, scores = build_index(docs(spark), BOTH), [], scoring.best_scores
+    path = scratch_path(spark, "once-index")
+    retrieval.write_index(idx, path)
+    want = retrieve(asked, retrieval.read_index(spark, path), BOTH).hits
+    monkeypatch.setattr(scoring, "best_scores", lambda q, d, *a: (seen.extend(map(optimized, (q, d))), scores(q, d, *a))[1])
+    got = retrieve(asked, idx, BOTH).hits.select(*want.columns)
+    assert seen and not any("posexplode" in p for p in seen)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert retrieve(asked, build_index(docs(spark).limit(0), BOTH), BOTH).hits.count() == 0
