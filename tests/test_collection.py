@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from quarry.operators import collection
 from quarry.plans.retrieval import build_index
 from quarry.session import scratch_path
+from quarry.sources.loads import Loads
 
 
 @pytest.fixture(scope="module")
@@ -168,3 +169,21 @@ def test_fields_are_searched_apart(spark, pts):
     assert commands.serve(spark, path, q, field="title").hits.count() > 0
     with pytest.raises(RuntimeError):
         commands.serve(spark, path, q)
+
+
+def test_a_load_keeps_no_shuffle_files_and_writes_every_bucket(spark, monkeypatch):
+    """Postings go out in passes, each bucket once; what a step shuffled is dropped with it, and the setting is put back."""
+    from quarry.session import CLEAN_UP
+    path, seen, write = scratch_path(spark, "coll"), [], Loads.write
+    monkeypatch.setattr(Loads, "write", lambda self, load, part, df, *by: (seen.append((part, spark.conf.get(CLEAN_UP, None))), write(self, load, part, df, *by))[1])
+    collection.create_collection(spark, path)
+    seen.clear()
+    rows = [(f"d{i}", 0, "text", list(range(i, i + 70)), [1.0 + i] * 70) for i in range(3)]
+    collection.upsert_collection(spark, path, spark.createDataFrame(rows, "doc_id string, chunk_no int, content string, indices array<bigint>, values array<double>"))
+    assert [part for part, _ in seen].count("postings") == 4 and {on for _, on in seen} == {"true"}
+    assert spark.conf.get(CLEAN_UP, None) != "true"
+    postings, _, buckets = collection.read_postings(spark, path)
+    got = sorted((r.doc_id, r.term_index, r.term_bucket, r.weight) for r in postings.collect())
+    assert got == [(d, i, i % buckets, v) for d, _, _, ids, (v, *_) in rows for i in ids]
+    sizes = sorted(map(tuple, collection.read_sizes(spark, path).collect()))
+    assert sizes == [(1, "d0", 0, 70), (2, "d1", 0, 70), (3, "d2", 0, 70)]

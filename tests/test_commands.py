@@ -231,3 +231,35 @@ def test_a_load_embeds_once_and_leaves_no_copies(spark, monkeypatch):
     with pytest.raises(ValueError):
         commands.load(spark, d, coll, parsed, strict=True)
     assert not [p for p in made if os.path.exists(p)]
+
+
+def test_a_first_load_shuffles_no_content(spark, monkeypatch):
+    """Nothing is looked up where all is read, few versions are broadcast, and the scratch copy of the texts goes early."""
+    from quarry.operators import collection as stored
+    rows = [(f"/x/{n}.txt", n, b"alpha beta %d." % n) for n in range(4)] + [("/x/bad.txt", 9, b"\xff"), (None, 1, b"no path")]
+    files_df = spark.createDataFrame(rows, "path string, n int, content binary") \
+        .selectExpr("path", "timestamp'2024-01-01 00:00:00' AS modificationTime", "cast(n AS long) AS length", "content")
+    plans, left, saved, upsert = [], [], commands._saved, stored.upsert_collection
+
+    def watch(df, name, paths):
+        if name == "read":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return saved(df, name, paths)
+
+    def at_upsert(*a, **kw):
+        import os
+        left.extend(os.listdir(os.path.dirname(coll)))
+        return upsert(*a, **kw)
+
+    monkeypatch.setattr(commands, "_saved", watch)
+    monkeypatch.setattr(stored, "upsert_collection", at_upsert)
+    coll, parsed = scratch_path(spark, "first-coll"), scratch_path(spark, "first-parsed")
+    before = set(os.listdir(os.path.dirname(coll.removeprefix("file:"))))
+    out = commands.load_files(spark, files_df, coll, parsed)
+    assert (out["files"], out["parsed"], out["quarantined"]) == (6, 4, 2)
+    assert "Join" not in plans[0]
+    assert not any(p.startswith("read-") for p in set(left) - before)
+    commands.load_files(spark, files_df.unionByName(files_df.where("length = 1 AND path IS NOT NULL").selectExpr(
+        "'/x/new.txt' AS path", "modificationTime", "length", "content")), coll, parsed)
+    assert "BroadcastHashJoin" in plans[1] and "SortMergeJoin" not in plans[1]
+    assert stored.read_collection(spark, coll).count() == 5
