@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quarry.config import Settings
-from quarry.operators import collection, scoring, search, skew, statistics, terms
+from quarry.operators import collection, scoring, search, skew, statistics, terms, termtables
 from quarry.plans import registry, retrieval
 from quarry.plans.retrieval import build_index, retrieve, store_terms
 from quarry.session import scratch_path
@@ -81,3 +81,12 @@ def test_a_batch_with_statistics_embeds_the_corpus_once(spark, monkeypatch):
     assert seen and not any("posexplode" in p for p in seen)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert retrieve(asked, build_index(docs(spark).limit(0), BOTH), BOTH).hits.count() == 0
+
+
+def test_the_joined_term_path_reads_the_texts_once(spark):
+    """Tokens and vocabulary are written, so that the lookup of the stems does not cut and judge the texts again."""
+    idx = build_index(docs(spark))
+    got = termtables.embed(idx.chunks)
+    assert "posexplode" not in optimized(got) and "Generate" not in optimized(got)
+    rows = lambda df: sorted((r.doc_id, r.chunk_no, r.lang, r.term, r.tf, r.dl, r.term_index, round(r.weight, 9)) for r in df.collect())
+    assert rows(got) == rows(idx.postings)
