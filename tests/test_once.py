@@ -90,3 +90,12 @@ def test_the_joined_term_path_reads_the_texts_once(spark):
     assert "posexplode" not in optimized(got) and "Generate" not in optimized(got)
     rows = lambda df: sorted((r.doc_id, r.chunk_no, r.lang, r.term, r.tf, r.dl, r.term_index, round(r.weight, 9)) for r in df.collect())
     assert rows(got) == rows(idx.postings)
+
+
+def test_all_loads_of_the_shrunk_collection_take_the_same_points(spark, monkeypatch, tmp_path):
+    docs(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    seen, upsert = [], collection.upsert_collection
+    monkeypatch.setattr(collection, "upsert_collection", lambda s, p, new, *a, **kw: (seen.append(optimized(new)), upsert(s, p, new, *a, **kw))[1])
+    got = registry.q_collection_shrink_append(spark, str(tmp_path)).collect()
+    assert len(seen) == 3 and not any("posexplode" in p for p in seen)
+    assert sorted(r.point_id for r in got) == list(range(1, 81))
