@@ -187,3 +187,16 @@ def test_a_load_keeps_no_shuffle_files_and_writes_every_bucket(spark, monkeypatc
     assert got == [(d, i, i % buckets, v) for d, _, _, ids, (v, *_) in rows for i in ids]
     sizes = sorted(map(tuple, collection.read_sizes(spark, path).collect()))
     assert sizes == [(1, "d0", 0, 70), (2, "d1", 0, 70), (3, "d2", 0, 70)]
+
+
+def test_threads_leave_the_setting_as_it_was(spark):
+    """The first to enter is the first to leave: the others keep the setting, and it does not stay."""
+    from quarry.session import CLEAN_UP, shuffles_dropped
+    before = spark.conf.get(CLEAN_UP, None)
+    first, second = shuffles_dropped(spark), shuffles_dropped(spark)
+    first.__enter__()
+    second.__enter__()
+    first.__exit__(None, None, None)
+    assert spark.conf.get(CLEAN_UP) == "true"
+    second.__exit__(None, None, None)
+    assert spark.conf.get(CLEAN_UP, None) == before
